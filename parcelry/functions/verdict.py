@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelry.functions.text import as_col, strip
 from parcelry.schema import BUILDING_TYPES, FLOOR_RANGE, PROPERTY_CATEGORIES, VERDICT
@@ -66,70 +66,84 @@ def parse_json(text: str | Column) -> Column:
     text = as_col(text)
     as_element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     as_member = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
-    single = F.try_variant_get(as_element, "$[1]", "variant").isNull()
-    return F.when(as_member.isNotNull() & single, as_element)
+    return F.when(as_member.isNotNull(), as_element)
 
 
-class _Fields:
-    """Typed access to the members of the parsed object."""
+_MEMBERS = "struct<" + ",".join(f"{f.name}:variant" for f in VERDICT.fields) + ">"
 
-    def __init__(self, parsed: Column):
-        self.parsed = parsed
 
-    def raw(self, name: str) -> Column:
-        return F.try_variant_get(self.parsed, f"$[0].{name}", "variant")
+class _Member:
+    """One member of the parsed answer, held in three plain columns.
 
-    def kind(self, name: str) -> Column:
-        """STRING, BOOLEAN, BIGINT, DECIMAL(..), DOUBLE, ARRAY<..>, OBJECT<..>; null for absent or JSON null."""
-        kind = F.schema_of_variant(self.raw(name))
-        return F.when(kind != "VOID", kind)
+    ``kind`` is STRING, BOOLEAN, BIGINT, DECIMAL(..), DOUBLE, ARRAY<..> or OBJECT<..>, and null when
+    the member is absent or JSON null.
+    """
+
+    def __init__(self, name: str):
+        self.raw = F.col(f"_members.{name}")
+        self.kind, self.text = F.col(f"_kind_{name}"), F.col(f"_text_{name}")
+        self.number = self.text.try_cast("double")
+        self.is_number = self.kind.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+        self.is_text = self.kind == "STRING"
+        self.is_flag = self.kind == "BOOLEAN"
+        self.absent = self.kind.isNull()
+
+    @staticmethod
+    def columns(name: str) -> dict[str, Column]:
+        raw = F.col(f"_members.{name}")
+        kind = F.schema_of_variant(raw)
+        return {f"_kind_{name}": F.when(kind != "VOID", kind), f"_text_{name}": F.try_variant_get(raw, "$", "string")}
 
-    def text(self, name: str) -> Column:
-        return F.try_variant_get(self.parsed, f"$[0].{name}", "string")
 
-    def number(self, name: str) -> Column:
-        return F.try_variant_get(self.parsed, f"$[0].{name}", "double")
+def _open(df: DataFrame, body: Column) -> DataFrame:
+    """Adds ``_body``, ``_parsed`` and the member columns.
 
+    Each step is its own projection: later steps refer to a step's result several times, and Spark
+    keeps such projections apart, so an answer is parsed once.
+    """
+    opened = df.withColumn("_body", body).withColumn("_parsed", parse_json(F.col("_body")))
+    opened = opened.withColumn("_sole", F.try_variant_get("_parsed", "$[1]", "variant").isNull())
+    opened = opened.withColumn(
+        "_members", F.when(F.col("_sole"), F.try_variant_get("_parsed", "$[0]", _MEMBERS))
+    )
+    extra = {}
+    for field in VERDICT.fields:
+        extra.update(_Member.columns(field.name))
+    return opened.withColumns(extra)
 
-def _is_number(kind: Column) -> Column:
-    return kind.rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
 
+def _close(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(("_body", "_parsed", "_sole", "_members", "_kind_", "_text_", "_ok_", "_val_"))], "_failed")
 
-def _strict_bool(fields: _Fields, name: str) -> tuple[Column, Column]:
-    """Value and validity flag; null is valid here and checked by the caller where required."""
-    kind, text, number = fields.kind(name), F.lower(fields.text(name)), fields.number(name)
-    value = (
-        F.when(kind == "BOOLEAN", text == "true")
-        .when((kind == "STRING") & text.isin(*TRUE_WORDS), F.lit(True))
-        .when((kind == "STRING") & text.isin(*FALSE_WORDS), F.lit(False))
-        .when(_is_number(kind) & (number == 1), F.lit(True))
-        .when(_is_number(kind) & (number == 0), F.lit(False))
+
+def _strict_bool(member: _Member) -> Column:
+    word = F.lower(member.text)
+    return (
+        F.when(member.is_flag, member.text == "true")
+        .when(member.is_text & word.isin(*TRUE_WORDS), F.lit(True))
+        .when(member.is_text & word.isin(*FALSE_WORDS), F.lit(False))
+        .when(member.is_number & (member.number == 1), F.lit(True))
+        .when(member.is_number & (member.number == 0), F.lit(False))
     )
-    return value, kind.isNull() | value.isNotNull()
 
 
-def _strict_int(fields: _Fields, name: str) -> tuple[Column, Column]:
-    """Integers, integral decimals and strings of either sort; anything else is a violation."""
-    kind = fields.kind(name)
-    digits = strip(fields.text(name))
+def _strict_int(member: _Member) -> Column:
+    """Integers, integral decimals and strings of either sort, within the floor range."""
+    digits = strip(member.text)
     value = (
-        F.when(_is_number(kind) & (fields.number(name) == F.floor(fields.number(name))), fields.number(name))
-        .when((kind == "STRING") & digits.rlike(r"^[+-]?[0-9]+(\.0+)?$"), digits.try_cast("double"))
-        .when(kind == "BOOLEAN", (fields.text(name) == "true").cast("double"))
+        F.when(member.is_number, member.number)
+        .when(member.is_text & digits.rlike(r"^[+-]?[0-9]+(\.0+)?$"), digits.try_cast("double"))
+        .when(member.is_flag, (member.text == "true").cast("double"))
     )
-    in_range = value.between(*FLOOR_RANGE)
-    return F.when(in_range, value.cast("int")), kind.isNull() | F.coalesce(in_range, F.lit(False))
+    return F.when((value == F.floor(value)) & value.between(*FLOOR_RANGE), value.cast("int"))
 
 
-def _strict_text(fields: _Fields, name: str) -> tuple[Column, Column]:
-    kind = fields.kind(name)
-    value = F.when(kind == "STRING", fields.text(name))
-    return value, kind.isNull() | (kind == "STRING")
+def _strict_text(member: _Member) -> Column:
+    return F.when(member.is_text, member.text)
 
 
-def _strict_choice(fields: _Fields, name: str, choices: tuple[str, ...]) -> tuple[Column, Column]:
-    value, valid = _strict_text(fields, name)
-    return value, valid & (value.isNull() | value.isin(*choices))
+def _strict_choice(member: _Member, choices: tuple[str, ...]) -> Column:
+    return F.when(member.is_text & member.text.isin(*choices), member.text)
 
 
 def _struct(relevant: Column, reason: Column, **extra: Column) -> Column:
@@ -140,112 +154,128 @@ def _struct(relevant: Column, reason: Column, **extra: Column) -> Column:
     return F.struct(*members)
 
 
-def _strict_from_parsed(parsed: Column, default_relevant: bool) -> Column:
-    fields = _Fields(parsed)
-    relevant, relevant_ok = _strict_bool(fields, "relevant")
-    reason, reason_ok = _strict_text(fields, "reason")
-    floor, floor_ok = _strict_int(fields, "floor")
-    street, street_ok = _strict_text(fields, "street")
-    building, building_ok = _strict_choice(fields, "building_type", BUILDING_TYPES)
-    category, category_ok = _strict_choice(fields, "property_category", PROPERTY_CATEGORIES)
-    terrace, terrace_ok = _strict_bool(fields, "has_terrace")
-    checks = {
-        "relevant": relevant_ok & relevant.isNotNull(),
-        "reason": reason_ok & reason.isNotNull(),
-        "floor": floor_ok,
-        "street": street_ok,
-        "building_type": building_ok,
-        "property_category": category_ok,
-        "has_terrace": terrace_ok,
+def _judge(opened: DataFrame) -> DataFrame:
+    """Adds a typed ``_val_`` column per member and ``_failed``, the names of the invalid ones."""
+    members = {f.name: _Member(f.name) for f in VERDICT.fields}
+    values = {
+        "relevant": _strict_bool(members["relevant"]),
+        "reason": _strict_text(members["reason"]),
+        "floor": _strict_int(members["floor"]),
+        "street": _strict_text(members["street"]),
+        "building_type": _strict_choice(members["building_type"], BUILDING_TYPES),
+        "property_category": _strict_choice(members["property_category"], PROPERTY_CATEGORIES),
+        "has_terrace": _strict_bool(members["has_terrace"]),
     }
-    failed = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in checks.items()]))
-    accepted = _struct(
-        relevant,
-        reason,
-        floor=floor,
-        street=F.when(strip(street) != "", street),
-        building_type=building,
-        property_category=category,
-        has_terrace=terrace,
+    judged = opened.withColumns({f"_val_{name}": value for name, value in values.items()})
+    required = ("relevant", "reason")
+    broken = [
+        F.when(
+            F.col(f"_val_{name}").isNull() if name in required else F.col(f"_val_{name}").isNull() & ~member.absent,
+            F.lit(name),
+        )
+        for name, member in members.items()
+    ]
+    return judged.withColumn("_failed", F.array_join(F.array(*broken), ","))
+
+
+def _accepted() -> Column:
+    value = {f.name: F.col(f"_val_{f.name}") for f in VERDICT.fields}
+    value["street"] = F.when(strip(value["street"]) != "", value["street"])
+    return _struct(**value)
+
+
+def with_strict_verdict(
+    df: DataFrame,
+    answer: str | Column,
+    policy: FailurePolicy = POLICIES["live"],
+    into: str = "verdict",
+) -> DataFrame:
+    """Adds the validated verdict of an answer: one bad field voids the whole answer.
+
+    The reason of a refused answer lists the offending fields. A null answer reads as one without an
+    object.
+    """
+    judged = _judge(_open(df, outer_object(answer)))
+    default = F.lit(policy.on_parse_error)
+    verdict = (
+        F.when(F.col("_body").isNull(), _struct(default, F.lit(NO_OBJECT)))
+        .when(F.col("_members").isNull(), _struct(default, F.lit(BAD_JSON)))
+        .when(F.col("_failed") == "", _accepted())
+        .otherwise(_struct(default, F.concat(F.lit(INVALID_PREFIX), F.col("_failed"))))
     )
-    refused = _struct(F.lit(default_relevant), F.concat(F.lit(INVALID_PREFIX), F.array_join(failed, ",")))
-    return F.when(F.size(failed) == 0, accepted).otherwise(refused)
+    return _close(judged.withColumn(into, verdict))
 
 
-def strict_verdict(text: str | Column, policy: FailurePolicy = POLICIES["live"]) -> Column:
-    """Validated verdict: one bad field voids the whole answer.
-
-    The reason of a refused answer lists the offending fields.
-    """
-    body = outer_object(text)
-    parsed = parse_json(body)
-    default = F.lit(policy.on_parse_error)
-    return (
-        F.when(body.isNull(), _struct(default, F.lit(NO_OBJECT)))
-        .when(parsed.isNull(), _struct(default, F.lit(BAD_JSON)))
-        .otherwise(_strict_from_parsed(parsed, policy.on_parse_error))
+def with_member_verdict(df: DataFrame, member: str, into: str = "verdict") -> DataFrame:
+    """Adds the verdict of one batch member, which is JSON or null; null stays null."""
+    judged = _judge(_open(df, F.col(member)))
+    refused = _struct(F.lit(True), F.concat(F.lit(INVALID_PREFIX), F.col("_failed")))
+    verdict = F.when(
+        F.col("_body").isNotNull(), F.when(F.col("_failed") == "", _accepted()).otherwise(refused)
     )
+    return _close(judged.withColumn(into, verdict))
 
 
-def _truthy(fields: _Fields, name: str) -> Column:
+def _truthy(member: _Member) -> Column:
     """Truth value of any JSON member: empty text, zero, null and empty containers are false."""
-    kind, text, number = fields.kind(name), fields.text(name), fields.number(name)
     return (
-        F.when(kind.isNull(), F.lit(False))
-        .when(kind == "BOOLEAN", text == "true")
-        .when(kind == "STRING", text != "")
-        .when(_is_number(kind), number != 0)
-        .otherwise(~F.to_json(fields.raw(name)).isin("[]", "{}"))
+        F.when(member.absent, F.lit(False))
+        .when(member.is_flag, member.text == "true")
+        .when(member.is_text, member.text != "")
+        .when(member.is_number, member.number != 0)
+        .otherwise(~F.to_json(member.raw).isin("[]", "{}"))
     )
 
 
-def _plain(fields: _Fields, name: str) -> Column:
-    return F.coalesce(fields.text(name), F.to_json(fields.raw(name)))
+def _plain(member: _Member) -> Column:
+    """Text of any member: null reads None, booleans are capitalised, containers stay JSON."""
+    return (
+        F.when(member.absent, F.lit("None"))
+        .when(member.is_flag, F.initcap(member.text))
+        .otherwise(F.coalesce(member.text, F.to_json(member.raw)))
+    )
 
 
-def lenient_verdict(text: str | Column) -> Column:
+def with_lenient_verdict(df: DataFrame, answer: str, into: str = "verdict") -> DataFrame:
     """Earlier reading: bad floors become null, anything truthy counts, unusable answers are irrelevant."""
-    body = outer_object(text)
-    parsed = parse_json(body)
-    fields = _Fields(parsed)
-    floor_text = strip(fields.text("floor"))
+    opened = _open(df, outer_object(answer))
+    member = {f.name: _Member(f.name) for f in VERDICT.fields}
+    level = member["floor"]
     floor = (
-        F.when(_is_number(fields.kind("floor")), F.try_variant_get(parsed, "$[0].floor", "double").cast("int"))
-        .when((fields.kind("floor") == "STRING") & floor_text.rlike(r"^[+-]?[0-9]+$"), floor_text.try_cast("int"))
-        .when(fields.kind("floor") == "BOOLEAN", (fields.text("floor") == "true").cast("int"))
+        F.when(level.is_number, level.number.cast("int"))
+        .when(level.is_text & strip(level.text).rlike(r"^[+-]?[0-9]+$"), strip(level.text).try_cast("int"))
+        .when(level.is_flag, (level.text == "true").cast("int"))
     )
     optional = {
-        name: F.when(_truthy(fields, name), _plain(fields, name))
+        name: F.when(_truthy(member[name]), _plain(member[name]))
         for name in ("street", "building_type", "property_category")
     }
-    reason = F.when(fields.raw("reason").isNull(), F.lit(NO_REASON)).otherwise(
-        F.coalesce(_plain(fields, "reason"), F.lit("None"))
-    )
+    terrace = member["has_terrace"]
+    reason = F.when(member["reason"].raw.isNull(), F.lit(NO_REASON)).otherwise(_plain(member["reason"]))
     usable = _struct(
-        _truthy(fields, "relevant"),
+        _truthy(member["relevant"]),
         reason,
         floor=floor,
-        has_terrace=F.when(fields.kind("has_terrace").isNotNull(), _truthy(fields, "has_terrace")),
+        has_terrace=F.when(~terrace.absent, _truthy(terrace)),
         **optional,
     )
-    raw = as_col(text)
-    return (
-        F.when(body.isNull(), _struct(F.lit(False), F.concat(F.lit("No JSON object found in response: "), raw)))
-        .when(parsed.isNull(), _struct(F.lit(False), F.concat(F.lit("Invalid JSON in response: "), raw)))
+    raw = as_col(answer)
+    verdict = (
+        F.when(F.col("_body").isNull(), _struct(F.lit(False), F.concat(F.lit("No JSON object found in response: "), raw)))
+        .when(F.col("_members").isNull(), _struct(F.lit(False), F.concat(F.lit("Invalid JSON in response: "), raw)))
         .otherwise(usable)
     )
+    return _close(opened.withColumn(into, verdict))
 
 
-def batch_members(text: str | Column, size: int = 3) -> Column:
-    """The members of an answer to ``size`` listings as JSON strings, or null when it has another size."""
-    parsed = parse_json(outer_array(text))
-    members = F.try_variant_get(parsed, "$[0]", "array<variant>")
-    return F.when(F.size(members) == size, F.transform(members, lambda m: F.to_json(m)))
-
-
-def strict_member(text: str | Column) -> Column:
-    """Validated verdict of one batch member, which is JSON already."""
-    return _strict_from_parsed(parse_json(text), True)
+def with_batch_members(df: DataFrame, answer: str, size: int = 3, into: str = "parts") -> DataFrame:
+    """Adds the members of an answer to ``size`` listings as JSON strings, or null when it has another size."""
+    parsed = df.withColumn("_parsed", parse_json(outer_array(answer))).withColumn(
+        "_members", F.try_variant_get("_parsed", "$[0]", "array<variant>")
+    )
+    sole = F.try_variant_get("_parsed", "$[1]", "variant").isNull()
+    members = F.when(sole & (F.size("_members") == size), F.transform("_members", lambda m: F.to_json(m)))
+    return parsed.withColumn(into, members).drop("_parsed", "_members")
 
 
 def failed_call(message: Column, policy: FailurePolicy = POLICIES["live"]) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelry.functions.rules import (
     CURRENT_RULES,
@@ -17,15 +17,15 @@ from parcelry.functions.rules import (
     exclusion_reason,
     routed_text,
 )
-from parcelry.functions.text import cache_key, combined_text, preview, strip
+from parcelry.functions.text import cache_key, combined_text, preview
 from parcelry.functions.verdict import (
     INVALID_PREFIX,
     POLICIES,
     FailurePolicy,
-    batch_members,
     failed_call,
-    strict_member,
-    strict_verdict,
+    with_batch_members,
+    with_member_verdict,
+    with_strict_verdict,
 )
 from parcelry.operators.contracts import violations
 from parcelry.operators.dedup import first_per_key, without_keys
@@ -99,7 +99,9 @@ def cache_lookup(df: DataFrame, cache: DataFrame, as_of: str, ttl_hours: int = 4
     """
     start = F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(0), F.lit(ttl_hours))
     fresh = cache.where((F.col("created_at") > start) & (F.col("created_at") <= F.to_timestamp(F.lit(as_of))))
-    newest = fresh.groupBy("cache_key").agg(F.max_by("verdict", "created_at").alias("verdict"))
+    newest = fresh.groupBy("cache_key").agg(
+        F.max(F.struct("created_at", "verdict")).getField("verdict").alias("verdict")
+    )
     return df.join(newest, "cache_key", "left").withColumn("cache_hit", F.col("verdict").isNotNull())
 
 
@@ -132,6 +134,14 @@ class Caller:
         return source.mapInPandas(run, "cache_key string, answer string, call_error string")
 
 
+def judged_answers(answers: DataFrame, policy: FailurePolicy) -> DataFrame:
+    """``(cache_key, verdict)`` of model answers and failed calls."""
+    judged = with_strict_verdict(answers, "answer", policy)
+    failure = F.col("call_error")
+    verdict = F.when(failure.isNotNull(), failed_call(failure, policy)).otherwise(F.col("verdict"))
+    return judged.select("cache_key", verdict.alias("verdict"))
+
+
 def classify_by_model(
     df: DataFrame,
     caller: Caller,
@@ -155,12 +165,7 @@ def classify_by_model(
     # min() keeps the choice of representative independent of partitioning.
     missing = keyed.where(~F.col("cache_hit")).groupBy("cache_key").agg(F.min("_text").alias("_text"))
     answers = caller.answers(missing.select("cache_key", prompt_for(F.col("_text"), template).alias("prompt")))
-    parsed = answers.select(
-        "cache_key",
-        F.when(F.col("call_error").isNotNull(), failed_call(F.col("call_error"), policy))
-        .otherwise(strict_verdict("answer", policy))
-        .alias("_fresh"),
-    )
+    parsed = judged_answers(answers, policy).withColumnRenamed("verdict", "_fresh")
     if keep is not None:
         parsed = keep(parsed)
     return (
@@ -170,18 +175,69 @@ def classify_by_model(
     )
 
 
-def classify_batches_of_three(df: DataFrame, answer: str, single: Column) -> DataFrame:
-    """Verdicts from answers that cover three listings each.
+BATCH_PROMPT = (
+    "Judge each of these {count} listings on its own.\n"
+    "{listings}"
+    "Answer with a JSON array of exactly {count} objects in the same order."
+)
+BATCH = 3
+
+
+def groups_of_three(df: DataFrame, key: str, columns: Sequence[str], buckets: int) -> DataFrame:
+    """Full groups of three rows as arrays; left-over rows come as groups of one or two.
 
-    ``df`` has one row per group with ``members`` (the ids in prompt order) and the answer; when the
-    answer does not hold exactly three members, every member falls back to ``single``.
+    Rows are numbered inside hash buckets of the (unique) key, so no task numbers the whole table.
     """
-    parts = df.withColumn("_parts", batch_members(answer))
-    members = parts.select("*", F.posexplode("members").alias("position", "article_id"))
-    part = F.col("_parts")[F.col("position")]
-    return members.withColumn("verdict", F.when(part.isNotNull(), strict_member(part)).otherwise(single)).drop(
-        "_parts", "members"
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets))
+    position = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
+    numbered = df.withColumn("_bucket", bucket).withColumn("_position", position)
+    members = F.array_sort(F.collect_list(F.struct("_position", key, *columns)))
+    grouped = numbered.groupBy("_bucket", F.floor(F.col("_position") / BATCH).alias("_group"))
+    return grouped.agg(members.alias("members")).drop("_bucket", "_group")
+
+
+def batch_prompt(members: Column, text: str, template: str = BATCH_PROMPT) -> Column:
+    before, rest = template.replace("{count}", str(BATCH)).split("{listings}")
+    parts = F.transform(members, lambda m, i: F.concat(F.lit("#"), (i + 1).cast("string"), F.lit(": "), m[text], F.lit("\n")))
+    return F.concat(F.lit(before), F.array_join(parts, ""), F.lit(rest))
+
+
+def verdicts_of_batches(batches: DataFrame, key: str, answer: str = "answer") -> DataFrame:
+    """``key`` and ``verdict`` per member, by position; null verdicts mean the answer was not usable.
+
+    An answer counts only when it holds exactly three members.
+    """
+    parts = with_batch_members(batches, answer, BATCH)
+    rows = parts.select(F.posexplode("members").alias("_index", "_member"), "parts")
+    members = rows.select(F.col(f"_member.{key}").alias(key), F.col("parts")[F.col("_index")].alias("_part"))
+    return with_member_verdict(members, "_part").drop("_part")
+
+
+def classify_in_batches(
+    texts: DataFrame,
+    caller: Caller,
+    buckets: int,
+    policy: FailurePolicy = POLICIES["batch"],
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """``texts(cache_key, text)``, one row per key, to ``(cache_key, verdict)``.
+
+    Three listings per call; whatever a call leaves without a verdict is asked again on its own.
+    """
+    grouped = groups_of_three(texts, "cache_key", ["text"], buckets)
+    full = grouped.where(F.size("members") == BATCH).withColumn(
+        "group_key", F.sha2(F.to_json("members.cache_key"), 256)
     )
+    asked = caller.answers(
+        full.select(F.col("group_key").alias("cache_key"), batch_prompt(F.col("members"), "text").alias("prompt"))
+    ).withColumnRenamed("cache_key", "group_key")
+    first = verdicts_of_batches(full.join(asked, "group_key"), "cache_key")
+    if keep is not None:
+        first = keep(first)
+    settled = first.where(F.col("verdict").isNotNull())
+    rest = without_keys(texts, settled, ["cache_key"])
+    single = caller.answers(rest.select("cache_key", prompt_for(F.col("text")).alias("prompt")))
+    return settled.unionByName(judged_answers(single, policy))
 
 
 @dataclass(frozen=True)
@@ -263,7 +319,3 @@ def feedback_entries(decided: DataFrame, reviewed: DataFrame | None = None, key:
 
 def decision_log(decided: DataFrame) -> DataFrame:
     return decided.select("article_id", "description", "relevant", "reason")
-
-
-def usable_texts(df: DataFrame, column: str) -> DataFrame:
-    return df.where(strip(column) != "")

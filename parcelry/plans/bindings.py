@@ -124,8 +124,8 @@ PHRASES = (
 )
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as listings with text: some titles and descriptions missing, some very short."""
+def article_columns() -> list[Column]:
+    """Listing columns computed from a document row."""
     doc = F.col("doc_id")
     phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (doc % len(PHRASES) + 1).cast("int"))
     description = (
@@ -133,14 +133,19 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(doc % 29 == 0, F.lit(" Röviden. "))
         .otherwise(F.concat("text", phrase))
     )
-    return table(spark, sf_dir, "documents").select(
+    return [
         doc.cast("string").alias("article_id"),
         F.when(doc % 31 != 0, F.concat(F.lit("Eladó ("), "lang", F.lit(") "), "source")).alias("title"),
         description.alias("description"),
         F.when(doc % 37 == 0, -1.0).otherwise(F.col("n_chars") * 1000.0).alias("price_huf"),
         (doc % 120 + 5).cast("double").alias("area_sqm"),
         F.col("lang").alias("district"),
-    )
+    ]
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as listings with text: some titles and descriptions missing, some very short."""
+    return table(spark, sf_dir, "documents").select(*article_columns())
 
 
 _PHRASE_SQL = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES))

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from parcelry.plans import listing_queries
+from parcelry.plans import listing_queries, text_queries
 
-CATALOG = {**listing_queries.registry.entries}
+CATALOG = {**listing_queries.registry.entries, **text_queries.registry.entries}
