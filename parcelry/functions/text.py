@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-# Every code point that str.split() treats as white space, spelt out so that Java and RE2 agree.
-WHITESPACE = (
-    r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# White space as str.split() sees it: the Unicode property plus the four ASCII separators.
+SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 # A word character, and its complement with and without the line feed.
 WORD_CHAR = r"[\p{L}\p{N}_]"
@@ -26,12 +28,12 @@ def as_col(value: str | Column) -> Column:
 
 def strip(text: str | Column) -> Column:
     """Trim white space of any kind from both ends."""
-    return F.regexp_replace(as_col(text), f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(as_col(text), F.lit(SPACES))
 
 
 def normalise(text: str | Column) -> Column:
     """Lower-case, collapse white space runs, trim."""
-    return F.trim(F.regexp_replace(F.lower(as_col(text)), f"{WHITESPACE}+", " "))
+    return F.trim(F.regexp_replace(F.lower(as_col(text)), SPACE_RUN, " "))
 
 
 def cache_key(text: str | Column) -> Column:

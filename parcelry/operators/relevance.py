@@ -52,9 +52,9 @@ def classify_by_rules(df: DataFrame, rules: RuleSet = CURRENT_RULES) -> DataFram
     """
     title = F.col("title") if "title" in df.columns else F.lit("")
     text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce("description", F.lit(""))))
-    staged = df.withColumn("_broken", violations(df)).withColumn(
-        "_excluded", F.when(F.size("_broken") == 0, exclusion_reason(text, rules))
-    )
+    # The cascade looks at the text many times, so lower-casing is a projection of its own.
+    staged = df.withColumn("_broken", violations(df)).withColumn("_lower", text)
+    staged = staged.withColumn("_excluded", F.when(F.size("_broken") == 0, exclusion_reason("_lower", rules)))
     broken, excluded = F.size("_broken") > 0, F.col("_excluded").isNotNull()
     return (
         staged.withColumn("relevant", F.when(broken, True).when(excluded, False))
@@ -65,14 +65,16 @@ def classify_by_rules(df: DataFrame, rules: RuleSet = CURRENT_RULES) -> DataFram
             .otherwise(F.lit(UNDECIDED_REASON)),
         )
         .withColumn("needs_llm", ~(broken | excluded))
-        .drop("_broken", "_excluded")
+        .drop("_broken", "_excluded", "_lower")
     )
 
 
 def classify_by_earlier_rules(df: DataFrame) -> DataFrame:
     """The earlier first phase: short texts fall back to the title or are taken as relevant."""
-    staged = df.withColumn("_text", routed_text("title", "description")).withColumn(
-        "_excluded", earlier_exclusion_reason(F.lower(F.concat(F.lit(" "), F.col("_text"), F.lit(" "))))
+    staged = (
+        df.withColumn("_text", routed_text("title", "description"))
+        .withColumn("_lower", F.lower(F.concat(F.lit(" "), F.col("_text"), F.lit(" "))))
+        .withColumn("_excluded", earlier_exclusion_reason("_lower"))
     )
     unusable, excluded = F.col("_text").isNull(), F.col("_excluded").isNotNull()
     return (
@@ -80,7 +82,7 @@ def classify_by_earlier_rules(df: DataFrame) -> DataFrame:
         .withColumn("reason", F.when(unusable, F.lit(SHORT_TEXT_REASON)).otherwise(F.col("_excluded")))
         .withColumn("needs_llm", ~(unusable | excluded))
         .withColumnRenamed("_text", "model_text")
-        .drop("_excluded")
+        .drop("_excluded", "_lower")
     )
 
 
@@ -260,9 +262,11 @@ def two_phase(
     """Rules decide what they can; only the rest reaches the model.
 
     The split is a filter before ``mapInPandas``: a conditional inside one expression would not keep
-    decided rows away from Python.
+    decided rows away from Python. Both halves read the ruled rows; ``keep`` stores those too.
     """
     ruled = classify_by_rules(df, rules)
+    if keep is not None:
+        ruled = keep(ruled)
     settled = ruled.where(~F.col("needs_llm")).withColumn("filtered_by", F.lit("worker"))
     for name in VERDICT.fields[2:]:
         settled = settled.withColumn(name.name, F.lit(None).cast(name.dataType))

@@ -35,12 +35,18 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+# White space spelt out for RE2, whose own class is ASCII only.
+_SPACE = (
+    r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+
+
 def _normal(column: str) -> str:
-    return f"trim(regexp_replace(lower({column}), '{text.WHITESPACE}+', ' ', 'g'))"
+    return f"trim(regexp_replace(lower({column}), '{_SPACE}+', ' ', 'g'))"
 
 
 def _strip(column: str) -> str:
-    return f"regexp_replace({column}, '^{text.WHITESPACE}+|{text.WHITESPACE}+$', '', 'g')"
+    return f"regexp_replace({column}, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
 
 
 # ---- Keys, previews, checksums --------------------------------------------------------------
