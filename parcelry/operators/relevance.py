@@ -30,6 +30,7 @@ from parcelry.functions.verdict import (
 from parcelry.operators.contracts import violations
 from parcelry.operators.dedup import first_per_key, without_keys
 from parcelry.schema import VERDICT
+from parcelry.session import task_slots
 
 # A model takes prompts and gives one answer text each; an exception fails its whole batch.
 Model = Callable[[pd.Series], pd.Series]
@@ -93,18 +94,24 @@ def prompt_for(text: Column, template: str = PROMPT, limit: int | None = None) -
     return F.concat(F.lit(before), body, F.lit(after))
 
 
+def live_verdicts(cache: DataFrame, as_of: str, ttl_hours: int = 48) -> DataFrame:
+    """``(cache_key, verdict)`` of the newest unexpired entry of each key."""
+    moment = F.to_timestamp(F.lit(as_of))
+    start = moment - F.make_dt_interval(F.lit(0), F.lit(ttl_hours))
+    fresh = cache.where((F.col("created_at") > start) & (F.col("created_at") <= moment))
+    return fresh.groupBy("cache_key").agg(
+        F.max(F.struct("created_at", "verdict")).getField("verdict").alias("verdict")
+    )
+
+
 def cache_lookup(df: DataFrame, cache: DataFrame, as_of: str, ttl_hours: int = 48) -> DataFrame:
     """``df`` (with ``cache_key``) plus the live cached ``verdict`` and ``cache_hit``.
 
-    The newest entry of a key counts. Copies of one text share a key, so the row side may be skewed:
-    the cache side is unique per key and AQE splits the row side.
+    Copies of one text share a key, so the row side may be skewed: the cache side is unique per key
+    and AQE splits the row side.
     """
-    start = F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(0), F.lit(ttl_hours))
-    fresh = cache.where((F.col("created_at") > start) & (F.col("created_at") <= F.to_timestamp(F.lit(as_of))))
-    newest = fresh.groupBy("cache_key").agg(
-        F.max(F.struct("created_at", "verdict")).getField("verdict").alias("verdict")
-    )
-    return df.join(newest, "cache_key", "left").withColumn("cache_hit", F.col("verdict").isNotNull())
+    joined = df.join(live_verdicts(cache, as_of, ttl_hours), "cache_key", "left")
+    return joined.withColumn("cache_hit", F.col("verdict").isNotNull())
 
 
 @dataclass(frozen=True)
@@ -118,9 +125,12 @@ class Caller:
     def answers(self, prompts: DataFrame) -> DataFrame:
         """``prompts(cache_key, prompt)`` to ``(cache_key, answer, call_error)``.
 
-        One task calls the model one batch at a time, so the partition count caps concurrency.
+        One task calls the model one batch at a time, so the partition count caps concurrency. It is
+        set explicitly because AQE merges the small shuffle before it into few tasks, and by a hash of
+        the key because a repartition by the grouping key itself would be dropped as redundant.
         """
         model, rows = self.model, self.batch_rows
+        width = self.partitions or task_slots(prompts.sparkSession)
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -132,8 +142,7 @@ class Caller:
                         answer, error = [None] * len(part), str(problem)
                     yield pd.DataFrame({"cache_key": part["cache_key"], "answer": answer, "call_error": error})
 
-        source = prompts.repartition(self.partitions, "cache_key") if self.partitions else prompts
-        return source.mapInPandas(run, "cache_key string, answer string, call_error string")
+        return prompts.repartition(width, F.xxhash64("cache_key")).mapInPandas(run, "cache_key string, answer string, call_error string")
 
 
 def judged_answers(answers: DataFrame, policy: FailurePolicy) -> DataFrame:
@@ -153,27 +162,36 @@ def classify_by_model(
     policy: FailurePolicy = POLICIES["live"],
     template: str = PROMPT,
     keep: Callable[[DataFrame], DataFrame] | None = None,
+    key: str = "article_id",
 ) -> DataFrame:
-    """Adds ``verdict`` and ``cache_hit``: cached verdicts first, then one call per distinct text.
+    """Adds ``verdict``, ``cache_key`` and ``cache_hit`` to the rows whose ``text`` is not null.
 
-    ``keep`` may store the parsed answers (a checkpoint, a written table) so that several uses of
-    the result, or a lost executor, do not repeat model calls.
+    Each distinct text without a live cached verdict is sent to the model once; rows without text are
+    never sent. ``keep`` may store the parsed answers (a checkpoint, a written table) so that several
+    uses of the result, or a lost executor, do not repeat model calls.
     """
     keyed = df.withColumn("_text", text).withColumn("cache_key", cache_key("_text"))
+    # min() makes the representative of a key independent of partitioning. Rows without text meet in
+    # one group, which map-side combining keeps to a row per partition.
+    asked = keyed.groupBy("cache_key").agg(F.min("_text").alias("_text")).where(F.col("_text").isNotNull())
+    cached = None
     if cache is not None:
-        keyed = cache_lookup(keyed, cache, as_of)
-    else:
-        keyed = keyed.withColumn("verdict", F.lit(None).cast(VERDICT)).withColumn("cache_hit", F.lit(False))
-    # min() keeps the choice of representative independent of partitioning.
-    missing = keyed.where(~F.col("cache_hit")).groupBy("cache_key").agg(F.min("_text").alias("_text"))
-    answers = caller.answers(missing.select("cache_key", prompt_for(F.col("_text"), template).alias("prompt")))
-    parsed = judged_answers(answers, policy).withColumnRenamed("verdict", "_fresh")
+        cached = live_verdicts(cache, as_of)
+        asked = asked.join(cached.select("cache_key"), "cache_key", "left_anti")
+    prompts = asked.select("cache_key", prompt_for(F.col("_text"), template).alias("prompt"))
+    resolved = judged_answers(caller.answers(prompts), policy)
     if keep is not None:
-        parsed = keep(parsed)
+        resolved = keep(resolved)
+    resolved = resolved.withColumn("_hit", F.lit(False))
+    if cached is not None:
+        resolved = resolved.unionByName(cached.withColumn("_hit", F.lit(True)))
+    # A key of their own keeps the rows without text from piling up in the null partition.
+    lone = F.concat(F.lit("no-text:"), F.xxhash64(key).cast("string"))
+    rows = keyed.drop("_text").withColumn("cache_key", F.coalesce("cache_key", lone))
     return (
-        keyed.join(parsed, "cache_key", "left")
-        .withColumn("verdict", F.coalesce("verdict", "_fresh"))
-        .drop("_text", "_fresh")
+        rows.join(resolved, "cache_key", "left")
+        .withColumn("cache_hit", F.coalesce("_hit", F.lit(False)))
+        .drop("_hit")
     )
 
 
@@ -261,32 +279,32 @@ def two_phase(
 ) -> Decisions:
     """Rules decide what they can; only the rest reaches the model.
 
-    The split is a filter before ``mapInPandas``: a conditional inside one expression would not keep
-    decided rows away from Python. Both halves read the ruled rows; ``keep`` stores those too.
+    Decided rows carry no model text, so they drop out before the model's Python stage: a conditional
+    inside one expression would not keep them away from it. The rows stay in one flow, as filtering
+    them into two halves would run the rules once per half.
     """
     ruled = classify_by_rules(df, rules)
-    if keep is not None:
-        ruled = keep(ruled)
-    settled = ruled.where(~F.col("needs_llm")).withColumn("filtered_by", F.lit("worker"))
-    for name in VERDICT.fields[2:]:
-        settled = settled.withColumn(name.name, F.lit(None).cast(name.dataType))
     title = F.col("title") if "title" in df.columns else F.lit("")
-    open_rows = ruled.where(F.col("needs_llm")).drop("relevant", "reason")
-    asked = classify_by_model(open_rows, caller, combined_text(title, "description"), cache, as_of, policy, keep=keep)
-    fields = [F.col(f"verdict.{name}").alias(name) for name in VERDICT_FIELDS]
-    kept = [c for c in open_rows.columns if c not in VERDICT_FIELDS]
-    judged = (
-        asked.select(*kept, *fields)
-        .withColumn("reason", F.concat(F.lit(MODEL_PREFIX), F.col("reason")))
-        .withColumn("filtered_by", F.lit("llm"))
-    )
+    text = F.when(F.col("needs_llm"), combined_text(title, "description"))
+    own = ruled.withColumnsRenamed({"relevant": "_relevant", "reason": "_reason"})
+    asked = classify_by_model(own, caller, text, cache, as_of, policy, keep=keep)
+    by_model = F.col("needs_llm")
+    model_reason = F.concat(F.lit(MODEL_PREFIX), F.col("verdict.reason"))
+    values = {
+        "relevant": F.when(by_model, F.col("verdict.relevant")).otherwise(F.col("_relevant")),
+        "reason": F.when(by_model, model_reason).otherwise(F.col("_reason")),
+        "filtered_by": F.when(by_model, F.lit("llm")).otherwise(F.lit("worker")),
+        **{name: F.col(f"verdict.{name}") for name in VERDICT_FIELDS[2:]},
+    }
+    own_columns = [c for c in df.columns if c not in values]
+    decided = asked.select(*own_columns, *[value.alias(name) for name, value in values.items()])
     fresh = (
-        asked.where(~F.col("cache_hit"))
+        asked.where(by_model & ~F.col("cache_hit"))
         .groupBy("cache_key")
         .agg(F.any_value("verdict").alias("verdict"))
         .withColumn("created_at", F.to_timestamp(F.lit(as_of)))
     )
-    return Decisions(settled.unionByName(judged, allowMissingColumns=True).drop("needs_llm"), fresh)
+    return Decisions(decided, fresh)
 
 
 def attach_verdicts(raw: DataFrame, decided: DataFrame, key: str = "article_id", how: str = "left") -> DataFrame:

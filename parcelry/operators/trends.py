@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from parcelry.functions.dates import look_back_start, month_label, month_start, to_timestamp, trend_class
 from parcelry.operators.listings import in_district, in_range, only_relevant
-from parcelry.operators.quantiles import exact_median
+from parcelry.operators.quantiles import exact_medians
 
 # Least rows and months for an analysis, months forecast.
 MIN_ROWS = 10
@@ -50,10 +50,10 @@ def monthly_means(rows: DataFrame) -> DataFrame:
 
 def monthly_statistics(rows: DataFrame) -> DataFrame:
     """Per month: mean and median prices, count, mean area and a label."""
+    medians = exact_medians(rows, ["month"], {"price_huf": "median_price", "price_per_sqm": "median_price_per_sqm"})
     return (
         monthly_means(rows)
-        .join(exact_median(rows, ["month"], "price_huf", "median_price"), "month", "left")
-        .join(exact_median(rows, ["month"], "price_per_sqm", "median_price_per_sqm"), "month", "left")
+        .join(medians, "month", "left")
         .select(
             "month",
             month_label("month").alias("year_month"),

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from parcelry.session import spread
+
 # Reporting moment for listings and for the event log.
 AS_OF = "2001-11-30"
 EVENTS_AS_OF = "2024-01-31"
@@ -22,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores: every query on them does heavy work per text."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _area_price() -> tuple[Column, Column]:
     return F.col("l_quantity"), F.round(F.col("l_extendedprice") * 1000)
 
@@ -36,6 +43,28 @@ _NEEDS = {
 }
 
 
+# Order-line columns behind each listing column.
+_LINE_COLUMNS = {
+    "article_id": ("l_orderkey", "l_linenumber"),
+    "title": (),
+    "price_huf": ("l_extendedprice",),
+    "area_sqm": ("l_quantity",),
+    "price_per_sqm": ("l_extendedprice", "l_quantity"),
+    "rooms": (),
+    "floor": ("l_tax",),
+    "district": (),
+    "delivery_day": ("l_shipdate",),
+    "valid_from": (),
+    "valid_till": ("l_linenumber", "l_shipdate"),
+    "building_type": (),
+    "property_category": ("l_linestatus",),
+    "has_terrace": ("l_linenumber", "l_returnflag"),
+    "relevant": ("l_returnflag",),
+    "part_id": (),
+    "supplier_id": ("l_suppkey",),
+}
+
+
 def listings(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataFrame:
     """The requested listing columns; only the tables they come from are joined.
 
@@ -67,6 +96,10 @@ def listings(spark: SparkSession, sf_dir: str, columns: Sequence[str]) -> DataFr
     }
     needed = {t for c in columns for t in _NEEDS.get(c, ())}
     rows = table(spark, sf_dir, "lineitem")
+    if needed:
+        # Only the columns in use travel when the scan has to be redistributed.
+        used = {t for c in columns for t in _LINE_COLUMNS[c]} | {"l_orderkey", "l_partkey"}
+        rows = spread(rows.select(*sorted(used)))
     if "part" in needed:
         part = table(spark, sf_dir, "part")
         rows = rows.join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -145,7 +178,7 @@ def article_columns() -> list[Column]:
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as listings with text: some titles and descriptions missing, some very short."""
-    return table(spark, sf_dir, "documents").select(*article_columns())
+    return documents(spark, sf_dir).select(*article_columns())
 
 
 _PHRASE_SQL = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES))
@@ -164,7 +197,7 @@ ARTICLES_SQL = f"""articles AS (
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled examples for the nearest-example classifier."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("relevant"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("description")).join(labels, "doc_id")
+    return documents(spark, sf_dir).select("doc_id", F.col("text").alias("description")).join(labels, "doc_id")
 
 
 # Model answers of every sound and broken shape, one per document, chosen by its number.
@@ -194,7 +227,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = F.element_at(
         F.array(*[F.lit(a.replace("\\n", "\n")) for a in ANSWERS]), (doc % len(ANSWERS) + 1).cast("int")
     )
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id", F.regexp_replace(chosen, '"reason": "', F.concat(F.lit('"reason": "'), "lang", F.lit(" "))).alias("answer")
     )
 

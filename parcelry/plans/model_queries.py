@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelry.operators import dedup, features, metrics, neighbours, pricing, similarity
-from parcelry.plans.bindings import LISTINGS_SQL, TIE_BREAK, labelled_documents, listings, table
+from parcelry.plans.bindings import LISTINGS_SQL, TIE_BREAK, documents, labelled_documents, listings
 from parcelry.plans.listing_queries import FIRST_ORDER_SQL
 from parcelry.plans.registry import Registry, rounded
 from parcelry.plans.text_queries import _normal
@@ -29,7 +29,7 @@ def _terms_sql(source: str, key: str) -> str:
 SELECT term, count(*) AS total, count(DISTINCT doc_id) AS df FROM terms GROUP BY term"""
 )
 def tokens_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.term_totals(table(spark, sf_dir, "documents"), "text")
+    return similarity.term_totals(documents(spark, sf_dir), "text")
 
 
 VOCABULARY_SQL = f"""examples AS (SELECT doc_id, text AS body, quality = 1 AS relevant FROM documents JOIN labels USING (doc_id)
@@ -56,7 +56,7 @@ weights AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))
 @query(f"WITH {WEIGHTS_SQL} SELECT doc_id, term, round(weight, 6) AS weight FROM weights")
 def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = similarity.TextVectors.fit(labelled_documents(spark, sf_dir), "description")
-    return rounded(vectors.weights(table(spark, sf_dir, "documents"), "doc_id", "text"), 6, "weight")
+    return rounded(vectors.weights(documents(spark, sf_dir), "doc_id", "text"), 6, "weight")
 
 
 SIMILARITY_SQL = f"""{WEIGHTS_SQL}, pairs AS (
@@ -76,7 +76,7 @@ SIMILARITY_SQL = f"""{WEIGHTS_SQL}, pairs AS (
 
 def _similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     classifier = similarity.ExampleClassifier.fit(labelled_documents(spark, sf_dir))
-    found = classifier.similarities(table(spark, sf_dir, "documents"), "doc_id", "text")
+    found = classifier.similarities(documents(spark, sf_dir), "doc_id", "text")
     return rounded(found, 6, "relevant_sim", "irrelevant_sim")
 
 

@@ -55,3 +55,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor loses nothing."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def task_slots(spark: SparkSession) -> int:
+    """Partitions that keep every core busy; the configured shuffle width if that is larger."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that has fewer splits than there are cores, before heavy work per row.
+
+    A file with one row group is read by one task whatever its size. A table of many splits, the
+    normal case on a cluster, is left alone and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
