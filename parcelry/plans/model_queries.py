@@ -242,3 +242,45 @@ def knn_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = pricing.split(points)
     scored = neighbours.NeighbourModel.fit(train).predict(test)
     return rounded(scored.select("key", "label", "prediction"), 6, "label", "prediction")
+
+
+# ---- Price models ---------------------------------------------------------------------------
+
+# Smaller trees than the library defaults, so that all models fit in about a minute on few cores.
+# The rows are the whole table all the same.
+SMALL = pricing.Settings(
+    forest_trees=10,
+    forest_depth=8,
+    boosted_trees=10,
+    boosted_depth=5,
+    stack_forest_trees=5,
+    stack_forest_depth=6,
+    stack_boosted_trees=5,
+    stack_boosted_depth=4,
+)
+
+
+def _price_data(spark: SparkSession, sf_dir: str) -> pricing.PriceData:
+    return pricing.PriceData.of(_model_listings(spark, sf_dir))
+
+
+@query()
+def price_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All compared models with their test metrics, best first."""
+    comparison, _ = pricing.compare(_price_data(spark, sf_dir), SMALL)
+    return comparison
+
+
+@query()
+def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = _price_data(spark, sf_dir)
+    forest = pricing.fit_forest(data.train, SMALL.forest_trees, SMALL.forest_depth, SMALL.forest_min_leaf)
+    return metrics.top_features(pricing.importances(spark, forest, data.features))
+
+
+@query()
+def price_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing scored with the ridge model of the training rows."""
+    data = _price_data(spark, sf_dir)
+    ridge = pricing.fit_ridge(data.train, SMALL.ridge_alpha)
+    return pricing.score(_model_listings(spark, sf_dir), ridge, data.features)
