@@ -1,3 +1,10 @@
 """Parcelry: classified-listing analytics expressed as Spark DataFrame transformations."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions used inside tasks travel with the task, so workers need not have the package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

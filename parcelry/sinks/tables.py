@@ -89,7 +89,10 @@ def merge_layers(
     order: tuple[str, ...] = ("reason",),
 ) -> None:
     """Upsert decisions into both layers; a key whose verdict flipped moves over."""
-    former = irrelevant.read().withColumnsRenamed({"reason_to_relevance": "reason"})
+    former = irrelevant.read()
+    if "reason_to_relevance" in former.columns:
+        own = [F.col("reason")] if "reason" in former.columns else []
+        former = former.withColumn("reason", F.coalesce("reason_to_relevance", *own)).drop("reason_to_relevance")
     merged = upsert_layers(relevant.read(), former, decided, [key], order, FLAG).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         kept, dropped = split_rows(merged)

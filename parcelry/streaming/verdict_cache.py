@@ -6,46 +6,41 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Fixed value: life of a cached verdict.
 TTL_HOURS = 48
 OUTPUT = "cache_key string, answer string, cache_hit boolean"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "answer string, expires_ms long"
 
 
-class CachedAnswers(StatefulProcessor):
-    """Passes on one row per input row; the first answer of a key serves the later ones until expiry."""
-
-    def __init__(self, ttl_hours: int = TTL_HOURS):
-        self.ttl_hours = ttl_hours
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.answer = handle.getValueState("answer", "answer string", ttlDurationMs=self.ttl_hours * 3_600_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.answer.get()[0] if self.answer.exists() else None
-        for frame in rows:
-            hits = []
-            answers = []
+def cached_answers(stream: DataFrame, ttl_hours: int = TTL_HOURS) -> DataFrame:
+    """``stream(cache_key, answer)`` with repeats answered from state until the first answer expires.
+
+    Rows of a key arrive as batches of an iterator, so a key with very many rows is never held whole.
+    """
+    life = ttl_hours * 3_600_000
+
+    def serve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.getCurrentProcessingTimeMs()
+        known, expires = state.get if state.exists else (None, 0)
+        if expires <= now:
+            known = None
+        for frame in frames:
+            hits, answers = [], []
             for answer in frame["answer"]:
                 hits.append(known is not None)
                 if known is None and answer is not None:
-                    known = answer
-                    self.answer.update((answer,))
+                    known, expires = answer, now + life
                 answers.append(known)
             yield pd.DataFrame({"cache_key": key[0], "answer": answers, "cache_hit": hits})
+        if known is not None:
+            state.update((known, expires))
+            state.setTimeoutDuration(max(1, expires - now))
 
-    def close(self) -> None:
-        pass
-
-
-def cached_answers(stream: DataFrame, ttl_hours: int = TTL_HOURS) -> DataFrame:
-    """``stream(cache_key, answer)`` with repeats answered from state; needs the RocksDB state store."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.groupBy("cache_key").transformWithStateInPandas(
-        statefulProcessor=CachedAnswers(ttl_hours),
-        outputStructType=OUTPUT,
-        outputMode="Append",
-        timeMode="ProcessingTime",
+    return stream.groupBy("cache_key").applyInPandasWithState(
+        serve, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )

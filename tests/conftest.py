@@ -1,9 +1,13 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+ROOT = Path(__file__).resolve().parent.parent
+sys.path.insert(0, str(ROOT))
+# Stand-in models live in test modules, which workers import.
+os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), str(ROOT / "tests"), os.environ.get("PYTHONPATH", "")])
 
 from parcelry.session import local_session  # noqa: E402
 
@@ -15,12 +19,7 @@ def spark(tmp_path_factory):
     session = local_session(
         8,
         8,
-        **{
-            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints")),
-            "spark.sql.streaming.stateStore.providerClass": (
-                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-            ),
-        },
+        **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("checkpoints"))},
     )
     yield session
     session.stop()

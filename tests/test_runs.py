@@ -333,15 +333,28 @@ def test_state_cache_answers_repeats(spark, tmp_path):
     stream = listing_stream(spark, f"{folder}/in", LISTING, files_per_batch=1).select(
         F.col("article_id").alias("cache_key"), F.col("description").alias("answer")
     )
-    cached_answers(stream).writeStream.format("parquet").option("path", f"{folder}/out").option(
-        "checkpointLocation", f"{folder}/p"
-    ).trigger(availableNow=True).start().awaitTermination()
+    # Processing-time timeouts always want another batch, so the query is polled and stopped.
+    query = (
+        cached_answers(stream)
+        .writeStream.format("parquet")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/p")
+        .trigger(processingTime="1 second")
+        .start()
+    )
+    try:
+        for _ in range(60):
+            time.sleep(0.5)
+            if sum(r["rows"] for r in progress_report(query)) >= 4:
+                break
+    finally:
+        query.stop()
     got = rows(spark.read.parquet(f"{folder}/out").select("cache_key", "answer", "cache_hit"))
     assert got == [("k1", "first", False), ("k1", "first", True), ("k2", "x", False), ("k3", "y", False)]
 
 
 def test_cache_takes_the_newest_live_entry(spark):
-    entry = lambda key, hours, reason: (key, (True, reason, None, None, None, None, None), pd.Timestamp("2024-01-03") - pd.Timedelta(hours=hours))
+    entry = lambda key, hours, reason: (key, (True, reason, None, None, None, None, None), (pd.Timestamp("2024-01-03") - pd.Timedelta(hours=hours)).to_pydatetime())
     cache = spark.createDataFrame([entry("k", 1, "new"), entry("k", 5, "old"), entry("gone", 48, "x"), entry("later", -1, "x")], VERDICT_CACHE)
     df = spark.createDataFrame([("k",), ("gone",), ("later",)], "cache_key string")
     got = {r["cache_key"]: r["verdict"] and r["verdict"]["reason"] for r in relevance.cache_lookup(df, cache, "2024-01-03").collect()}
