@@ -34,6 +34,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced, self.max_chunks, self.max_chars = spaced, max_chunks, max_chars
+        self.folded = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
@@ -85,6 +86,8 @@ class Encoder:
         if not len(texts):
             return []
         texts = pc.fill_null(texts.cast(pa.string()), "")
+        if self.folded:
+            texts = pc.ascii_lower(texts)
         alone = np.zeros(len(texts), bool)
         if self.spaced:
             alone = pc.match_substring_regex(texts, LOOSE_SPACE).to_numpy(zero_copy_only=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelry.llm import packing, sharding, token_files
+from parcelry.llm import html_text, packing, sharding, token_files
 from parcelry.llm.common import read, scratch_path
 from parcelry.plans.registry import Registry
 
@@ -43,3 +43,9 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@registry.query()
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract(read(spark, sf_dir, "pages"), "html", ("page_id", "url"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
