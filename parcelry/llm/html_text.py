@@ -63,6 +63,9 @@ LABELLED = (
     (7, 0.5, 4, 1.0, 6, 1.0, 0, -1, 0), (2, 0.0, 0, 0.0, 3, 1.0, 0, -1, 0), (12, 1.0, 40, 0.0, 45, 0.0, 0, -1, 0),
 )
 
+#: Blocks of pages that mark their article count so often, as such marks say more than lengths do.
+MARKED_WEIGHT = 6.0
+
 # Element names of HTML by their part in a page.
 DROPPED = "script style noscript template svg math iframe object canvas audio video select option textarea button head title map"
 INLINE = (
@@ -190,9 +193,10 @@ def described(blocks: list[tuple]) -> list[tuple[float, ...]]:
 
 def fit(spark: SparkSession, labelled: tuple = LABELLED, depth: int = 6) -> tuple:
     """A decision tree over ``FEATURES`` as nested (feature, threshold, low, high) with labels as leaves."""
-    rows = spark.createDataFrame([tuple(map(float, r)) for r in labelled], [*FEATURES, "label"]).coalesce(1)
+    weighted = [(*map(float, r), 1.0 if r[7] < 0 else MARKED_WEIGHT) for r in labelled]
+    rows = spark.createDataFrame(weighted, [*FEATURES, "label", "weight"]).coalesce(1)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    model = DecisionTreeClassifier(maxDepth=depth, seed=7).fit(vectors)
+    model = DecisionTreeClassifier(maxDepth=depth, weightCol="weight", seed=7).fit(vectors)
     return nested(model._java_obj.rootNode())
 
 
