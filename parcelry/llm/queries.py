@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelry.llm import html_text, packing, quality, sharding, simhash, token_files
+from parcelry.llm import html_text, packing, quality, secret_scan, sharding, simhash, token_files
 from parcelry.llm.common import read, scratch_path
 from parcelry.plans.registry import Registry
 
@@ -60,3 +60,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query(quality.SQL)
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(read(spark, sf_dir, "documents"), "text", "source").select("doc_id", *quality.MEASURES[:8])
+
+
+@registry.query()
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secret_scan.scan(read(spark, sf_dir, "documents"), "text", "source")
+    found = scanned.select("doc_id", F.explode(F.filter("candidates", lambda c: c["secret"])).alias("c"))
+    return found.select(
+        "doc_id", F.col("c.place").alias("place"), F.char_length("c.value").cast("long").alias("length"),
+        F.sha2(F.col("c.value").cast("binary"), 256).alias("value_sha256"), F.col("c.score").alias("score"),
+    )
