@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelry.llm import html_text, packing, quality, secret_scan, sharding, simhash, token_files
+from parcelry.llm import decontaminate, html_text, packing, quality, secret_scan, sharding, simhash, token_files
 from parcelry.llm.common import read, scratch_path
 from parcelry.plans.registry import Registry
 
@@ -70,3 +70,14 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("c.place").alias("place"), F.char_length("c.value").cast("long").alias("length"),
         F.sha2(F.col("c.value").cast("binary"), 256).alias("value_sha256"), F.col("c.score").alias("score"),
     )
+
+
+@registry.query()
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    matched = decontaminate.with_matches(documents, "text", read(spark, sf_dir, "benchmark"), "item_id", "text")
+    found = matched.select("doc_id", F.explode("matches").alias("m"))
+    return found.select(
+        "doc_id", F.col("m.item").alias("item_id"), F.col("m.start").alias("start"), F.col("m.words").alias("n_words"),
+        F.col("m.distance").alias("distance"),
+    )
