@@ -81,42 +81,56 @@ class Items:
         self.lengths = dict(sorted(lengths.items()))
         self.longest = max(self.lengths, default=0)
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [self.words[n] for ns in lengths.values() for n in ns]))
-        self.known, self.keys, self.plans = {}, {}, {}
+        self.times, self.keys, self.plans = {}, {}, {}
         for length, numbers in self.lengths.items():
             table = np.stack([self.words[n] for n in numbers])
-            known = np.zeros(len(self.vocabulary) + 1, bool)
-            known[np.searchsorted(self.vocabulary, table.ravel())] = True
-            self.known[length] = known
+            times = np.zeros(len(self.vocabulary) + 1, np.int16)
+            for n in numbers:
+                places, counts = np.unique(np.searchsorted(self.vocabulary, self.words[n]), return_counts=True)
+                times[places] = np.maximum(times[places], counts)
+            self.times[length] = times
             self.plans[length] = self.plan(length)
             held = []
-            for key in self.embedded(table, length):
+            for key in self.embedded(table, length).T:
                 order = np.argsort(key, kind="stable")
                 held.append((key[order], np.array(numbers)[order]))
             self.keys[length] = held
 
     def plan(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Salt of each repetition and step, and the steps that each repetition samples."""
+        """Salt of each step and repetition, and whether the repetition samples the step."""
         random = np.random.default_rng(1_000 + length)
         steps = 2 * length
-        salts = random.integers(1, 2**63, (self.search.repetitions, steps), dtype=np.uint64)
-        sampled = np.stack([random.choice(steps, min(self.search.sampled, steps), replace=False) for _ in salts])
-        return salts, np.sort(sampled, axis=1)
-
-    def embedded(self, windows: np.ndarray, length: int) -> Iterator[np.ndarray]:
-        """Key of each window (a row of words) in each repetition."""
+        salts = random.integers(1, 2**63, (steps, self.search.repetitions), dtype=np.uint64)
+        sampled = np.zeros(salts.shape, bool)
+        for repetition in range(self.search.repetitions):
+            sampled[random.choice(steps, min(self.search.sampled, steps), replace=False), repetition] = True
+        return salts, sampled
+
+    def embedded(self, windows: np.ndarray, length: int) -> np.ndarray:
+        """Key of each window (a row of words) in each repetition (columns), all walked side by side."""
         padded = np.concatenate([windows, np.zeros((len(windows), 1), np.uint64)], axis=1)
-        rows = np.arange(len(windows))
-        for salts, sampled in zip(*self.plans[length]):
-            at, key = np.zeros(len(windows), np.int64), np.zeros(len(windows), np.uint64)
-            wanted = set(sampled.tolist())
-            for step in range(int(sampled[-1]) + 1):
-                word = padded[rows, at]
-                if step in wanted:
-                    key = (key ^ word) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step + 1)
-                mixed = (word ^ salts[step]) * np.uint64(0xD6E8FEB86659FD93)
-                mixed ^= mixed >> np.uint64(32)
-                at = np.minimum(at + ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.int64), length)
-            yield key
+        rows = np.arange(len(windows))[:, None]
+        at = np.zeros((len(windows), self.search.repetitions), np.int64)
+        key = np.zeros(at.shape, np.uint64)
+        for step, (salts, sampled) in enumerate(zip(*self.plans[length])):
+            word = padded[rows, at]
+            if sampled.any():
+                key[:, sampled] = (key[:, sampled] ^ word[:, sampled]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(step + 1)
+            mixed = (word ^ salts) * np.uint64(0xD6E8FEB86659FD93)
+            mixed ^= mixed >> np.uint64(32)
+            at += ((mixed * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(np.int64)
+            np.minimum(at, length, out=at)
+        return key
+
+    def shared(self, place: np.ndarray, starts: np.ndarray, length: int, need: int) -> np.ndarray:
+        """Starts of the windows that take ``need`` words from items of the length, each word no more
+        often than any of these items has it."""
+        ordered = np.sort(place[starts[:, None] + np.arange(length)], axis=1)
+        column = np.arange(length)
+        changed = np.ones(ordered.shape, bool)
+        changed[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+        copy = column - np.maximum.accumulate(np.where(changed, column, 0), axis=1)
+        return starts[(copy < self.times[length][ordered]).sum(axis=1) >= need]
 
     def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(window start, item) of windows that share a key with an item; ``words`` ends with
@@ -130,12 +144,14 @@ class Items:
             need = length - int(self.search.max_edits * length)
             starts = np.flatnonzero(total[length : length + size] - total[:size] >= need)
             if len(starts):
-                inside = np.concatenate([[0], np.cumsum(self.known[length][place], dtype=np.int32)])
+                inside = np.concatenate([[0], np.cumsum(self.times[length][place] > 0, dtype=np.int32)])
                 starts = starts[inside[starts + length] - inside[starts] >= need]
-            for low in range(0, len(starts), 8192):
-                part = starts[low : low + 8192]
+            starts = [self.shared(place, starts[low : low + 4096], length, need) for low in range(0, len(starts), 4096)]
+            starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+            for low in range(0, len(starts), 2048):
+                part = starts[low : low + 2048]
                 windows = words[part[:, None] + np.arange(length)]
-                for (keys, numbers), key in zip(held, self.embedded(windows, length)):
+                for (keys, numbers), key in zip(held, self.embedded(windows, length).T):
                     first, last = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                     count = last - first
                     if count.any():
@@ -232,7 +248,7 @@ def one_block(df: DataFrame, text: str, block: list[tuple], name: str, fields: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = worker_state(label, lambda: Finder(sent.value, search))
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 8 << 20):
             texts = batch.column(batch.schema.names.index(text)).to_pylist()
             rows = [[dict(zip(("item", "start", "words", "distance"), m)) for m in ms] for ms in finder.find(texts)]
             key = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
