@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelry.llm import decontaminate, html_text, packing, quality, secret_scan, sharding, simhash, token_files
+from parcelry.llm import decontaminate, html_text, packing, quality, secret_scan, sharding, simhash, substring_dedup, token_files
 from parcelry.llm.common import read, scratch_path
 from parcelry.plans.registry import Registry
 
@@ -81,3 +81,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("m.item").alias("item_id"), F.col("m.start").alias("start"), F.col("m.words").alias("n_words"),
         F.col("m.distance").alias("distance"),
     )
+
+
+@registry.query()
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = substring_dedup.remove_shared(read(spark, sf_dir, "documents"), "doc_id", "text", window=50)
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
