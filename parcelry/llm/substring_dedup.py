@@ -19,6 +19,7 @@ The texts are grouped into blocks of documents, to which the answers for their o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from parcelry.llm.common import scratch_path, shuffle_width, slices, words_of
 from parcelry.session import cut_lineage
 
-ROUNDS = 12
-RUN_ROUNDS = (0, 4, 8)
+RUNS_EVERY = 6
 BASE1, BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 LAST = np.iinfo(np.int64).max
 
@@ -44,18 +44,23 @@ def mix(values: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def rounds(words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(first, last, name) of the symbols of every round, the words themselves first: symbol i depends
+def rounds_for(window: int) -> int:
+    """Rounds until symbols stand for about a ninth of a window; a round leaves three of four symbols."""
+    return max(1, round(math.log(max(window, 12) / 9) / math.log(4 / 3)))
+
+
+def rounds(words: np.ndarray, count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, name) of the symbols of each of ``count`` rounds, the words themselves first: symbol i depends
     on the words from ``first[i]`` up to ``last[i]``, exclusive. Zeros in ``words`` separate documents
     and never become part of a symbol."""
     name = words.copy()
     first = np.arange(len(words), dtype=np.int64)
     last = first + 1
     yield first, last, name
-    for number in range(ROUNDS):
+    for number in range(count):
         if len(name) < 2:
             return
-        if number in RUN_ROUNDS:
+        if number % RUNS_EVERY == 0:
             begins = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (name[1:] == 0)))
             ends = np.append(begins[1:], len(name)) - 1
             length = (ends - begins + 1).astype(np.uint64)
@@ -85,7 +90,7 @@ def anchors(words: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndar
     """Anchor (name with round, first word of its stretch) of the window at each of ``starts``, ascending."""
     found, place = np.zeros(len(starts), np.uint64), np.zeros(len(starts), np.int64)
     levels = []
-    for number, (first, last, name) in enumerate(rounds(words)):
+    for number, (first, last, name) in enumerate(rounds(words, rounds_for(window))):
         fits = (last - first <= (window + 1) // 2) & (name != 0)
         if not fits.any():
             break
