@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelry.llm import decontaminate, html_text, packing, quality, secret_scan, sharding, simhash, substring_dedup, token_files
+from parcelry.llm import decontaminate, html_text, packing, quality, secret_scan, sharding, simhash, substring_dedup, suffix_tree, token_files
 from parcelry.llm.common import read, scratch_path
 from parcelry.plans.registry import Registry
 
@@ -87,3 +87,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = substring_dedup.remove_shared(read(spark, sf_dir, "documents"), "doc_id", "text", window=50)
     return cleaned.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@registry.query()
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 7 == 2
+    scored = suffix_tree.score(read(spark, sf_dir, "documents"), "doc_id", "text", ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
