@@ -47,7 +47,7 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, ASCII_UPPER, ASCII_UPPER.lower())
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes of ``column``, a longer row alone."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
@@ -81,3 +81,26 @@ def working_name(df: DataFrame, *wanted: str) -> list[str]:
 def quoted(name: str) -> Column:
     """A column by its exact name, dots included."""
     return F.col("`" + re.sub("`", "``", name) + "`")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used there and wherever the
+    optimizer moves the expression. Inside lambdas a column may else be computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def map_columns(df: DataFrame, run: Callable, inputs: list[str], name: str, kind: str) -> DataFrame:
+    """``df`` with one more column: ``run`` of the Arrow batches of rows yields (batch, array) pairs.
+
+    ``run`` is given an iterator over batches and the places of ``inputs``. Columns keep any name that
+    they have, which ``mapInArrow`` itself does not allow for.
+    """
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    places = [df.columns.index(c) for c in inputs]
+    fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(plain, df.schema))
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in run(batches, *places):
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*plain, "found"])
+
+    return df.toDF(*plain).mapInArrow(batches_of, f"{fields}, found {kind}").toDF(*df.columns, name)

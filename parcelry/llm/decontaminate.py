@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from parcelry.llm.common import quoted, slices, worker_state, working_name
+from parcelry.llm.common import map_columns, quoted, slices, worker_state, working_name
 
 EDGES = string.punctuation + "«»„“”‘’‚…–—¿¡"
 #: Share of equal steps of two embeddings at the edit limit, a low estimate (see the recall test).
@@ -233,27 +233,26 @@ def with_matches(
     """
     kept = [c for c in df.columns if c.lower() != name.lower()]
     kind = items.schema[item_key].dataType.simpleString()
-    fields = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept)
     out = f"array<struct<item:{kind}, start:long, words:long, distance:long>>"
     result = df.select(*[quoted(c) for c in kept]).withColumn(name, F.array().cast(out))
     for block in item_blocks(items, item_key, item_text, search):
-        result = one_block(result, text, block, name, fields, out, kind, search)
+        result = one_block(result, text, block, name, out, kind, search)
     return result
 
 
-def one_block(df: DataFrame, text: str, block: list[tuple], name: str, fields: str, out: str, kind: str, search: Search) -> DataFrame:
+def one_block(df: DataFrame, text: str, block: list[tuple], name: str, out: str, kind: str, search: Search) -> DataFrame:
     (found,) = working_name(df, "_found")
     sent = df.sparkSession.sparkContext.broadcast(block)
     label = f"finder {id(sent)} {hash(tuple(map(str, block[:1000])))} {search}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         finder = worker_state(label, lambda: Finder(sent.value, search))
-        for batch in slices(batches, text, 8 << 20):
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
+        key = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+        matched = pa.list_(pa.struct([("item", key)] + [(c, pa.int64()) for c in ("start", "words", "distance")]))
+        for batch in slices(batches, at, 8 << 20):
+            texts = batch.column(at).to_pylist()
             rows = [[dict(zip(("item", "start", "words", "distance"), m)) for m in ms] for ms in finder.find(texts)]
-            key = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-            matched = pa.list_(pa.struct([("item", key)] + [(c, pa.int64()) for c in ("start", "words", "distance")]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, matched)], names=[*batch.schema.names, found])
+            yield batch, pa.array(rows, matched)
 
-    joined = df.mapInArrow(run, f"{fields}, `{name}` {out}, `{found}` {out}")
-    return joined.withColumn(name, F.concat(name, found)).drop(found)
+    joined = map_columns(df, run, [text], found, out)
+    return joined.withColumn(name, F.concat(quoted(name), found)).drop(found)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from parcelry.llm.common import SPACE_CLASS, SPACES, WORD_CLASS, quoted, working_name
+from parcelry.llm.common import SPACE_CLASS, SPACES, WORD_CLASS, let, quoted, working_name
 from parcelry.session import cut_lineage
 
 WINDOW = 5
@@ -45,29 +45,34 @@ def normalised(line: Column) -> Column:
     return F.lower(F.regexp_replace(trimmed(line), f"{SPACE_CLASS}+", " "))
 
 
-def with_repeats(df: DataFrame, tokens: str, name: str) -> DataFrame:
-    """``df`` with ``name``: words inside windows of five words that occur twice or more in the text.
+def repeated_words(tokens: Column) -> Column:
+    """Words inside windows of five words that occur twice or more among ``tokens``.
 
-    Only a text with a repeated window has its windows sorted; their hashes stand beside their places,
-    so equal windows become neighbours.
+    Only where a window is repeated are the windows sorted; their hashes stand beside their places, so
+    equal windows become neighbours.
     """
-    hashes, ordered, places = working_name(df, "_hashes", "_ordered", "_places")
-    count = F.size(tokens)
-    window = lambda i: F.xxhash64(*[F.get(F.col(tokens), i + k) for k in range(WINDOW)])
-    starts = F.sequence(F.lit(0), count - WINDOW)
-    none = F.array().cast("array<bigint>")
-    hashed = df.withColumn(hashes, F.when(count >= WINDOW, F.transform(starts, window)).otherwise(none))
-    pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    sorted_ = hashed.withColumn(ordered, F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), pairs))
 
-    def repeated(pair: Column, j: Column) -> Column:
-        same = lambda k: F.coalesce(F.get(F.col(ordered), k)["h"] == pair["h"], F.lit(False))
-        return F.when(same(j - 1) | same(j + 1), pair["i"])
+    def hashes(w: Column) -> Column:
+        window = lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])
+        return F.transform(F.sequence(F.lit(0), F.size(w) - WINDOW), window)
 
-    placed = sorted_.withColumn(places, F.sort_array(F.array_compact(F.transform(ordered, repeated))))
-    steps = F.transform(places, lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(F.col(places), j + 1) - p, F.lit(WINDOW))))
-    total = F.aggregate(steps, F.lit(0), lambda a, b: a + b)
-    return placed.withColumn(name, F.coalesce(total, F.lit(0)).cast("long")).drop(hashes, ordered, places)
+    def places(ordered: Column) -> Column:
+        def repeated(pair: Column, j: Column) -> Column:
+            same = lambda k: F.coalesce(F.get(ordered, k)["h"] == pair["h"], F.lit(False))
+            return F.when(same(j - 1) | same(j + 1), pair["i"])
+
+        return F.sort_array(F.array_compact(F.transform(ordered, repeated)))
+
+    def covered(at: Column) -> Column:
+        steps = F.transform(at, lambda p, j: F.least(F.lit(WINDOW), F.coalesce(F.get(at, j + 1) - p, F.lit(WINDOW))))
+        return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
+
+    def count(h: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        found = let(pairs, lambda ordered: let(places(ordered), covered))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), found).otherwise(F.lit(0))
+
+    return let(tokens, lambda w: F.when(F.size(w) >= WINDOW, let(hashes(w), count)).otherwise(F.lit(0))).cast("long")
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "kept", "clean_text")
@@ -98,7 +103,6 @@ def assess(df: DataFrame, text: str, host: str, rules: Rules = Rules()) -> DataF
     lost = cut_lineage(held.join(common, [at, "line"]).groupBy(k1, k2).agg(F.collect_set("line").alias(bad)))
 
     measured = marked.withColumn(tokens, words(F.col(t)))
-    measured = with_repeats(measured, tokens, "n_repeat_words")
     counts = lambda x: F.struct(hashed(x).alias("h"), F.size(F.split(trimmed(x), f"{SPACE_CLASS}+")).alias("w"))
     raw = with_word(t)
     measured = measured.select(
@@ -107,7 +111,7 @@ def assess(df: DataFrame, text: str, host: str, rules: Rules = Rules()) -> DataF
         F.char_length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
         (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size(raw) - F.size(F.array_distinct(raw))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
+        repeated_words(F.col(tokens)).alias("n_repeat_words"),
         F.transform(raw, counts).alias(lines),
     )
     few, much = F.col("n_words") < rules.min_words, 100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
@@ -123,7 +127,7 @@ def assess(df: DataFrame, text: str, host: str, rules: Rules = Rules()) -> DataF
     return removed.select(
         *[quoted(c) for c in columns],
         *MEASURES[:7],
-        (~F.col("base_failed") & ~depleted).alias("kept"),
+        (F.col("base_failed").cast("int") + depleted.cast("int") == 0).alias("kept"),
         clean.alias("clean_text"),
     )
 

@@ -65,7 +65,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.query()
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secret_scan.scan(read(spark, sf_dir, "documents"), "text", "source")
-    found = scanned.select("doc_id", F.explode(F.filter("candidates", lambda c: c["secret"])).alias("c"))
+    # Outer, so that the scan is not made a second time to see which rows have a candidate.
+    found = scanned.select("doc_id", F.explode_outer(F.filter("candidates", lambda c: c["secret"])).alias("c")).where("c is not null")
     return found.select(
         "doc_id", F.col("c.place").alias("place"), F.char_length("c.value").cast("long").alias("length"),
         F.sha2(F.col("c.value").cast("binary"), 256).alias("value_sha256"), F.col("c.score").alias("score"),

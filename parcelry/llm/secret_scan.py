@@ -12,7 +12,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelry.llm.common import quoted, working_name
+from parcelry.llm.common import let, quoted, working_name
 from parcelry.llm.trees import as_sql, nested
 
 # What may be a secret (long runs, and what is assigned), and the words that speak for or against one.
@@ -145,9 +145,9 @@ def scan(
     place = F.coalesce(quoted(path).cast("string"), F.lit(""))
     words = literal(known)
 
-    def describe(value: Column, i: Column) -> Column:
-        left = F.substring(F.get(F.col(gaps), i), -CONTEXT, CONTEXT)
-        right = F.substring(F.get(F.col(gaps), i + 1), 1, CONTEXT)
+    def describe(around: Column, value: Column, i: Column) -> Column:
+        left = F.substring(F.get(around, i), -CONTEXT, CONTEXT)
+        right = F.substring(F.get(around, i + 1), 1, CONTEXT)
         assigned = left.rlike(ASSIGNED)
         values = features(value, left, right, place, assigned, words)
         worth = value.rlike("[0-9]") | assigned
@@ -157,16 +157,16 @@ def scan(
     votes = " + ".join(f"({as_sql(tree, names)})" for tree in forest)
     score = f"CASE WHEN c.worth THEN ({votes}) / {len(forest)}D ELSE 0D END"
     judged = f"transform(`{described}`, c -> named_struct('value', c.value, 'worth', c.worth, 'score', {score}))"
-    rows = rows.withColumn(described, F.transform(found, describe)).withColumn(scored, F.expr(judged))
+    rows = rows.withColumn(described, let(F.col(gaps), lambda g: F.transform(found, lambda v, i: describe(g, v, i)))).withColumn(scored, F.expr(judged))
     candidate = lambda c, i: F.struct(
         i.alias("place"), c["value"].alias("value"), c["score"].alias("score"), (c["score"] >= threshold).alias("secret"),
         c["worth"].alias("worth"),
     )
     listed = F.transform(F.filter(F.transform(scored, candidate), lambda c: c["worth"]), lambda c: c.dropFields("worth"))
-    shown = F.transform(
-        scored,
-        lambda c, i: F.concat(F.get(F.col(gaps), i), F.when(c["score"] >= threshold, F.lit(MASK)).otherwise(c["value"])),
+    piece = lambda g, c, i: F.concat(
+        F.get(g, i), F.when(c["score"] >= threshold, F.lit(MASK)).otherwise(c["value"])
     )
+    shown = let(F.col(gaps), lambda g: F.transform(scored, lambda c, i: piece(g, c, i)))
     hit = F.exists(scored, lambda c: c["score"] >= threshold)
     redacted = F.when(hit, F.concat(F.array_join(shown, ""), F.element_at(gaps, -1))).otherwise(quoted(text))
     return rows.select(*[quoted(c) for c in kept], listed.alias("candidates"), redacted.alias("redacted"))

@@ -14,9 +14,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parcelry.llm.common import working_name
+from parcelry.llm.common import map_columns, quoted, working_name
 from parcelry.session import cut_lineage
 
 
@@ -59,9 +59,9 @@ def by_bytes(
     spark = df.sparkSession
     kept = [c for c in df.columns if c.lower() not in ("shard", "slot", "size")]
     g, k, r, first, tie = working_name(df, "_group", "_key", "_range", "_first", "_tie")
-    content = F.xxhash64(*[F.col(c) for c in kept])
+    content = F.xxhash64(*[quoted(c) for c in kept])
     keyed = df.select(
-        *kept, F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.xxhash64(group).alias(g), F.xxhash64(key).alias(k),
+        *map(quoted, kept), F.coalesce(size, F.lit(0)).cast("long").alias("size"), F.xxhash64(group).alias(g), F.xxhash64(key).alias(k),
         content.alias(tie),
     )
     total, rows = keyed.agg(F.sum("size"), F.count(F.lit(1))).first()
@@ -72,15 +72,12 @@ def by_bytes(
     sample = np.array([tuple(row) for row in keyed.where(drawn).select(g, k).collect()], np.int64).reshape(-1, 2)
     bounds = splitters(sample, ranges)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], *at: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
         for batch in batches:
-            names = batch.schema.names
-            group_of, key_of = (batch.column(names.index(c)).to_numpy() for c in (g, k))
-            found = pa.array(range_of(group_of, key_of, bounds).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*names, r])
+            found = range_of(*(batch.column(i).to_numpy() for i in at), bounds)
+            yield batch, pa.array(found.astype(np.int32))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema)
-    ranged = keyed.mapInArrow(run, f"{fields}, `{r}` int")
+    ranged = map_columns(keyed, run, [g, k], r, "int")
     counted = ranged.groupBy(r).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).orderBy(r).collect()
     dealt, before, held = [], 0, [0] * shards
     for number, size_of, rows_of in counted:
@@ -88,11 +85,9 @@ def by_bytes(
         dealt.append((number, shard, held[shard]))
         before, held[shard] = before + size_of, held[shard] + rows_of
     table = spark.createDataFrame(dealt, f"`{r}` int, shard int, `{first}` long")
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(r).orderBy(g, k, tie)) - 1
     placed = ranged.withColumn("slot", place.cast("long"))
-    return placed.join(F.broadcast(table), r).select(*kept, "size", "shard", (F.col(first) + F.col("slot")).alias("slot"))
+    return placed.join(F.broadcast(table), r).select(*map(quoted, kept), "size", "shard", (F.col(first) + F.col("slot")).alias("slot"))
 
 
 def narrow_by_bytes(df: DataFrame, key: str, group: Column, size: Column, shards: int, **columns: Column) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from parcelry.llm.common import slices, worker_state, working_name
+from parcelry.llm.common import map_columns, quoted, slices, worker_state, working_name
 from parcelry.llm.graph import connected_components
 from parcelry.session import cut_lineage
 
@@ -76,15 +76,12 @@ def lower_words(text: str | None) -> list[bytes]:
 
 def with_fingerprint(df: DataFrame, text: str, name: str, shingle: int = 3) -> DataFrame:
     """``df`` with the fingerprint of ``text`` (A-Z in lower case; null: as empty) as signed long ``name``."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    def run(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+        for batch in slices(batches, at):
+            found = np.array([fingerprint(lower_words(t), shingle) for t in batch.column(at).to_pylist()], np.uint64)
+            yield batch, pa.array(found.view(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            found = np.array([fingerprint(lower_words(t), shingle) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*batch.schema.names, name])
-
-    return df.mapInArrow(run, f"{fields}, `{name}` long")
+    return map_columns(df, run, [text], name, "long")
 
 
 def distinct_rows(numbers: np.ndarray) -> np.ndarray:
@@ -198,11 +195,11 @@ def representatives(df: DataFrame, key: str, text: str, shingle: int = 3, most:
     """One row of ``df`` for each component, with its columns: the smallest key (nulls last), among equal
     keys the row with the smallest hash of all its columns. An empty table gives an empty one."""
     fp, label, order, tie = working_name(df, "_fp", "_label", "_order", "_tie")
-    marked = with_fingerprint(df, text, fp, shingle).withColumn(tie, F.xxhash64(*df.columns))
-    by = [F.col(key).asc_nulls_last(), F.col(tie)]
+    marked = with_fingerprint(df, text, fp, shingle).withColumn(tie, F.xxhash64(*[quoted(c) for c in df.columns]))
+    by = [quoted(key).asc_nulls_last(), F.col(tie)]
     first = marked.withColumn(order, F.row_number().over(Window.partitionBy(fp).orderBy(*by))).where(F.col(order) == 1)
     first = cut_lineage(first)
     labels = linked_classes(first.select(F.col(fp).alias("fp")), most).select(F.col("node").alias(fp), F.col("label").alias(label))
     grouped = first.join(labels, fp, "left").withColumn(label, F.coalesce(label, fp))
     lowest = grouped.withColumn(order, F.row_number().over(Window.partitionBy(label).orderBy(*by))).where(F.col(order) == 1)
-    return lowest.select(*df.columns)
+    return lowest.select(*[quoted(c) for c in df.columns])
