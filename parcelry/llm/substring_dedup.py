@@ -227,14 +227,15 @@ def remove_shared(df: DataFrame, key: str, text: str, window: int = 50, block_by
     spread = variants.withColumns(
         {"spans": F.count(F.lit(1)).over(same), "lowest": F.min("low").over(same), "highest": F.max("high").over(same)}
     )
-    shared = cut_lineage(spread.where("lowest < highest").select("name", "span", "low", "high", "spans"))
+    spread = spread.where("lowest < highest").withColumn("id", F.monotonically_increasing_id())
+    shared = cut_lineage(spread.select("name", "span", "low", "high", "spans", "id"))
     plain = shared.where("spans = 1").select("name", "span", F.col("low").alias("from"), F.lit(None).cast("binary").alias("each"))
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
         """Hashes of the windows of the asked occurrences."""
         wanted = left.filter(pc.is_in(left["doc"], value_set=right["low"].combine_chunks() if right.num_rows else pa.array([], pa.int64())))
         held = Block(wanted["text"].to_pylist(), window, Hashes())
-        names, spans, low, high = (right[c].to_numpy() for c in ("name", "span", "low", "high"))
+        names, spans, low, number = (right[c].to_numpy() for c in ("name", "span", "low", "id"))
         hit, at = held.matched(names.view(np.uint64), spans.view(np.uint64))
         mine = wanted["doc"].to_numpy()[held.owner[hit]] == low[at] if len(hit) else np.zeros(0, bool)
         hit, at = hit[mine], at[mine]
@@ -244,19 +245,19 @@ def remove_shared(df: DataFrame, key: str, text: str, window: int = 50, block_by
         offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         start = np.repeat(held.low[hit], count) + offset
         hashes = [signed(held.stretches.of(start, start + window, i)) for i in (0, 1)]
-        rest = [pa.array(np.repeat(c[at], count)) for c in (names, spans, low, high)]
-        return pa.table([*rest, pa.array(offset.astype(np.int32)), *hashes], names=["name", "span", "low", "high", "at", "h1", "h2"])
+        rest = [pa.array(np.repeat(c[at], count)) for c in (number, low)]
+        return pa.table([*rest, pa.array(offset.astype(np.int32)), *hashes], names=["id", "low", "at", "h1", "h2"])
 
-    asked = shared.where("spans > 1").select("name", "span", "low", "high", F.pmod(F.xxhash64("low"), F.lit(blocks)).alias("block"))
+    asked = shared.where("spans > 1").select("name", "span", "low", "id", F.pmod(F.xxhash64("low"), F.lit(blocks)).alias("block"))
     texts = docs.select("key", "text", "doc", "block")
     hashed = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
-        windows, "name long, span long, low long, high long, at int, h1 long, h2 long"
+        windows, "id long, low long, at int, h1 long, h2 long"
     )
-    earliest = hashed.groupBy("h1", "h2").agg(F.min("low").alias("from"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # A span is its own earliest document for windows that no other span has.
-    compared = hashed.join(earliest, ["h1", "h2"], "left").withColumn("from", F.coalesce("from", "low")).where("`from` < high")
+    # One row for each span that has a window; copies of a span are not among them.
+    earliest = hashed.withColumn("from", F.min("low").over(Window.partitionBy("h1", "h2")))
     entry = F.concat(F.lpad(F.hex("at"), 8, "0"), F.lpad(F.hex("from"), 16, "0"))
-    mixed = compared.groupBy("name", "span").agg(F.unhex(F.array_join(F.collect_list(entry), "")).alias("each"))
+    listed = earliest.groupBy("id").agg(F.unhex(F.array_join(F.collect_list(entry), "")).alias("each"))
+    mixed = shared.select("id", "name", "span").join(listed, "id")
     answers = plain.unionByName(mixed.select("name", "span", F.lit(None).cast("long").alias("from"), "each"))
     sent = seen.select("name", "span", "block").join(answers, ["name", "span"]).select("block", "name", "span", "from", "each")
 
