@@ -32,7 +32,7 @@ def violations(df: DataFrame, key: str = "article_id") -> Column:
             number = F.col(column).try_cast("double")
             unreadable = F.col(column).isNotNull() & number.isNull()
             rules[f"{column} not a number"] = unreadable
-            rules[f"{column} out of range"] = ~number.between(low, high)
+            rules[f"{column} out of range"] = ~F.isnan(number) & ~number.between(low, high)
     return F.array_compact(F.array(*[F.when(broken, F.lit(name)) for name, broken in rules.items()]))
 
 

@@ -110,11 +110,6 @@ def posted_in_month(day: str) -> Column:
     return month_start(to_timestamp("valid_from")) == month_start(F.lit(day).cast("timestamp"))
 
 
-def top_rows(df: DataFrame, by: Sequence[Column], n: int) -> DataFrame:
-    """The first ``n`` rows under a total order (a top-k per partition, then a merge)."""
-    return df.orderBy(*by).limit(n)
-
-
 # Console questions over the registered view; the two dated ones take the reporting day.
 CONSOLE = {
     "count_by_district": "SELECT district, COUNT(*) AS count FROM relevant_data GROUP BY district ORDER BY count DESC",

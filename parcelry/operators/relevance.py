@@ -87,11 +87,10 @@ def classify_by_earlier_rules(df: DataFrame) -> DataFrame:
     )
 
 
-def prompt_for(text: Column, template: str = PROMPT, limit: int | None = None) -> Column:
+def prompt_for(text: Column, template: str = PROMPT) -> Column:
     """Template with the listing text in place of ``{text}``."""
     before, after = template.split("{text}")
-    body = F.substring(text, 1, limit) if limit else text
-    return F.concat(F.lit(before), body, F.lit(after))
+    return F.concat(F.lit(before), text, F.lit(after))
 
 
 def live_verdicts(cache: DataFrame, as_of: str, ttl_hours: int = 48) -> DataFrame:
@@ -137,20 +136,27 @@ class Caller:
                 for start in range(0, len(frame), rows):
                     part = frame.iloc[start : start + rows]
                     try:
-                        answer, error = list(model(part["prompt"])), None
-                    except Exception as problem:  # a failed call is data: the policy decides
-                        answer, error = [None] * len(part), str(problem)
+                        answer, error = list(model(part["prompt"])), [None] * len(part)
+                    except Exception:  # one call may have failed for all: ask row by row
+                        answer, error = [], []
+                        for i in range(len(part)):
+                            try:
+                                answer.append(list(model(part["prompt"].iloc[i : i + 1]))[0])
+                                error.append(None)
+                            except Exception as problem:  # a failed call is data: the policy decides
+                                answer.append(None)
+                                error.append(str(problem))
                     yield pd.DataFrame({"cache_key": part["cache_key"], "answer": answer, "call_error": error})
 
         return prompts.repartition(width, F.xxhash64("cache_key")).mapInPandas(run, "cache_key string, answer string, call_error string")
 
 
 def judged_answers(answers: DataFrame, policy: FailurePolicy) -> DataFrame:
-    """``(cache_key, verdict)`` of model answers and failed calls."""
+    """``(cache_key, verdict, call_failed)`` of model answers and failed calls."""
     judged = with_strict_verdict(answers, "answer", policy)
     failure = F.col("call_error")
     verdict = F.when(failure.isNotNull(), failed_call(failure, policy)).otherwise(F.col("verdict"))
-    return judged.select("cache_key", verdict.alias("verdict"))
+    return judged.select("cache_key", verdict.alias("verdict"), failure.isNotNull().alias("call_failed"))
 
 
 def classify_by_model(
@@ -164,7 +170,7 @@ def classify_by_model(
     keep: Callable[[DataFrame], DataFrame] | None = None,
     key: str = "article_id",
 ) -> DataFrame:
-    """Adds ``verdict``, ``cache_key`` and ``cache_hit`` to the rows whose ``text`` is not null.
+    """Adds ``verdict``, ``cache_key``, ``cache_hit`` and ``call_failed`` to the rows whose ``text`` is not null.
 
     Each distinct text without a live cached verdict is sent to the model once; rows without text are
     never sent. ``keep`` may store the parsed answers (a checkpoint, a written table) so that several
@@ -184,7 +190,7 @@ def classify_by_model(
         resolved = keep(resolved)
     resolved = resolved.withColumn("_hit", F.lit(False))
     if cached is not None:
-        resolved = resolved.unionByName(cached.withColumn("_hit", F.lit(True)))
+        resolved = resolved.unionByName(cached.withColumns({"_hit": F.lit(True), "call_failed": F.lit(False)}))
     # A key of their own keeps the rows without text from piling up in the null partition.
     lone = F.concat(F.lit("no-text:"), F.xxhash64(key).cast("string"))
     rows = keyed.drop("_text").withColumn("cache_key", F.coalesce("cache_key", lone))
@@ -257,7 +263,7 @@ def classify_in_batches(
     settled = first.where(F.col("verdict").isNotNull())
     rest = without_keys(texts, settled, ["cache_key"])
     single = caller.answers(rest.select("cache_key", prompt_for(F.col("text")).alias("prompt")))
-    return settled.unionByName(judged_answers(single, policy))
+    return settled.unionByName(judged_answers(single, policy).drop("call_failed"))
 
 
 @dataclass(frozen=True)
@@ -299,7 +305,7 @@ def two_phase(
     own_columns = [c for c in df.columns if c not in values]
     decided = asked.select(*own_columns, *[value.alias(name) for name, value in values.items()])
     fresh = (
-        asked.where(by_model & ~F.col("cache_hit"))
+        asked.where(by_model & ~F.col("cache_hit") & ~F.coalesce("call_failed", F.lit(False)))
         .groupBy("cache_key")
         .agg(F.any_value("verdict").alias("verdict"))
         .withColumn("created_at", F.to_timestamp(F.lit(as_of)))

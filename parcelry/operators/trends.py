@@ -117,7 +117,7 @@ def trend_summary(df: DataFrame, chosen: TrendFilter) -> DataFrame:
     line = trend_line(monthly_means(trend_rows(df, chosen))).where(_sufficient())
     ahead = F.col("intercept") + F.col("slope") * (F.col("months_analyzed") - 1 + HORIZON)
     scored = line.withColumn("predicted", ahead).withColumn("change", F.col("predicted") - F.col("current_price"))
-    percent = F.col("change") / F.col("current_price") * 100
+    percent = F.try_divide(F.col("change"), F.col("current_price")) * 100
     label, colour = trend_class(percent)
     return scored.select(
         "count",

@@ -22,18 +22,22 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The table at ``path``, or an empty one when it is missing or its footer cannot be read."""
+def read_table(spark: SparkSession, path: str, schema: StructType, strict: bool = False) -> DataFrame:
+    """The table at ``path``, or an empty one when it is missing or its footer cannot be read.
+
+    With ``strict`` an unreadable table raises: what is merged into it would else replace it. Values
+    that do not fit their column read as null.
+    """
     if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
     try:
         found = spark.read.parquet(path)  # reads a footer only
     except Exception as problem:
-        if isinstance(problem, AnalysisException) or "CANNOT_READ" in str(problem) or "Parquet" in str(problem):
+        if not strict and (isinstance(problem, AnalysisException) or "CANNOT_READ" in str(problem) or "Parquet" in str(problem)):
             return spark.createDataFrame([], schema)
         raise
     columns = [
-        F.col(f.name).cast(f.dataType).alias(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name)
+        F.col(f.name).try_cast(f.dataType).alias(f.name) if f.name in found.columns else F.lit(None).cast(f.dataType).alias(f.name)
         for f in schema.fields
     ]
     extra = [F.col(c) for c in found.columns if c not in schema.names]
