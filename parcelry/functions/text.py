@@ -41,11 +41,17 @@ def cache_key(text: str | Column) -> Column:
 
 
 def stable_string(column: str | Column, data_type: str) -> Column:
-    """Engine-independent rendering: numbers go through decimal, NaN counts as missing."""
+    """Engine-independent rendering of the whole value; NaN counts as missing.
+
+    Numbers are written out in full with at least one decimal (``45000000.0``), or as Spark writes
+    them where ten decimals do not hold them.
+    """
     column = as_col(column)
     if data_type in ("double", "float"):
         number = F.when(~F.isnan(column), column)
-        return F.coalesce(number.try_cast("decimal(24,2)").cast("string"), number.cast("string"))
+        exact = number.try_cast("decimal(38,10)")
+        shown = F.regexp_replace(exact.cast("string"), r"(\.\d+?)0+$", "$1")
+        return F.when(exact.cast(data_type) == number, shown).otherwise(number.cast("string"))
     return column.cast("string")
 
 

@@ -207,6 +207,8 @@ BATCH_PROMPT = (
     "Answer with a JSON array of exactly {count} objects in the same order."
 )
 BATCH = 3
+# Texts that one task numbers and groups.
+BUCKET_ROWS = 100_000
 
 
 def groups_of_three(df: DataFrame, key: str, columns: Sequence[str], buckets: int) -> DataFrame:
@@ -242,14 +244,17 @@ def verdicts_of_batches(batches: DataFrame, key: str, answer: str = "answer") ->
 def classify_in_batches(
     texts: DataFrame,
     caller: Caller,
-    buckets: int,
+    buckets: int | None = None,
     policy: FailurePolicy = POLICIES["batch"],
     keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """``texts(cache_key, text)``, one row per key, to ``(cache_key, verdict)``.
 
-    Three listings per call; whatever a call leaves without a verdict is asked again on its own.
+    Three listings per call; whatever a call leaves without a verdict is asked again on its own. Without
+    ``buckets`` there are as many as keep each at about ``BUCKET_ROWS`` texts.
     """
+    if buckets is None:
+        buckets = max(1, -(-texts.count() // BUCKET_ROWS))
     grouped = groups_of_three(texts, "cache_key", ["text"], buckets)
     full = grouped.where(F.size("members") == BATCH).withColumn(
         "group_key", F.sha2(F.to_json("members.cache_key"), 256)

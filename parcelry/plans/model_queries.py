@@ -169,13 +169,7 @@ SELECT feature, level, n_rows FROM counted QUALIFY row_number() OVER (PARTITION
 )
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready = features.prepared(features.training_rows(_model_listings(spark, sf_dir)))
-    parts = [
-        features.indicator_sums(ready.withColumnRenamed(f"c_{name}", "level"), "level").select(
-            F.lit(name).alias("feature"), "level", "n_rows"
-        )
-        for name in ("district", "building", "category")
-    ]
-    return dedup.union_all(*parts)
+    return features.indicator_sums(ready, {name: f"c_{name}" for name in ("district", "building", "category")})
 
 
 @query(

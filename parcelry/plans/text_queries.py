@@ -81,8 +81,8 @@ def text_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _checksum_sql(description: str = "description") -> str:
     return (
-        f"sha256(concat_ws('', {description}, title, CAST(CAST(price_huf AS DECIMAL(24,2)) AS VARCHAR), "
-        "CAST(CAST(area_sqm AS DECIMAL(24,2)) AS VARCHAR), district))"
+        f"sha256(concat_ws('', {description}, title, CAST(CAST(price_huf AS DOUBLE) AS VARCHAR), "
+        "CAST(CAST(area_sqm AS DOUBLE) AS VARCHAR), district))"
     )
 
 
@@ -540,7 +540,7 @@ def batch_model_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy(text.cache_key("description").alias("cache_key"))
         .agg(F.min("description").alias("text"))
     )
-    decided = relevance.classify_in_batches(texts, relevance.Caller(stand_in_model), buckets=8)
+    decided = relevance.classify_in_batches(texts, relevance.Caller(stand_in_model))
     return decided.select("cache_key", "verdict.relevant")
 
 

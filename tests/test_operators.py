@@ -248,13 +248,14 @@ def reference_similarities(examples, texts):
     return result
 
 
-def test_similarity_equals_direct_computation_on_both_paths(spark):
+def test_similarity_equals_direct_computation_for_any_block_size(spark):
     examples = [(t, i % 3 != 0) for i, t in enumerate(example_texts(60, 5))]
     texts = example_texts(80, 6) + ["", "zzz yyy", *["lakás ház telek"] * 40]
     expected = reference_similarities(examples, texts)
     classifier = similarity.ExampleClassifier.fit(spark.createDataFrame(examples, "description string, relevant boolean"))
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    for bound in (similarity.BROADCAST_BYTES, 5000):
+    expected |= {i: (0.0, 0.0) for i in range(len(texts), len(texts) + 3)}
+    df = spark.createDataFrame(list(enumerate(texts + [None] * 3)), "id int, t string")
+    for bound in (similarity.BLOCK_BYTES, 5000):
         got = {r["id"]: (r["relevant_sim"], r["irrelevant_sim"]) for r in classifier.similarities(df, "id", "t", bound).collect()}
         assert got.keys() == expected.keys()
         for key, pair in expected.items():

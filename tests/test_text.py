@@ -168,10 +168,17 @@ def test_checksum_is_stable_and_price_sensitive(spark):
     rows = spark.createDataFrame([("d", "t", 45000000.0), ("d", "t", 46000000.0), (None, "t", float("nan"))], "d string, t string, p double")
     fields = [("d", "string"), ("t", "string"), ("p", "double")]
     first, second, third = [r[0] for r in rows.select(text.row_checksum(fields)).collect()]
-    assert first == hashlib.sha256(b"dt45000000.00").hexdigest() and first != second
+    assert first == hashlib.sha256(b"dt45000000.0").hexdigest() and first != second
     assert third == hashlib.sha256(b"t").hexdigest()
 
 
+def test_checksum_sees_the_whole_number(spark):
+    values = [45.121, 45.124, 0.0, 12345678.5, 1e-12, 2e30]
+    rows = spark.createDataFrame([(v,) for v in values], "p double")
+    shown = [r[0] for r in rows.select(text.stable_string("p", "double")).collect()]
+    assert shown[:4] == ["45.121", "45.124", "0.0", "12345678.5"] and [float(s) for s in shown] == values
+
+
 def test_delimiter_tells_neighbouring_fields_apart(spark):
     rows = spark.createDataFrame([("ab", "c"), ("a", "bc")], "d string, t string")
     fields = [("d", "string"), ("t", "string")]
