@@ -1,48 +1,109 @@
 """Scores of texts under a probabilistic suffix tree over words.
 
-A state of the tree is a context of up to two words. A context is a candidate if it makes up at least
-``min_context`` of the training tokens, and is kept if its next-word distribution diverges enough from
-that of its suffix. Next-word distributions are smoothed: what discounting takes from the counted
-words is spread by the suffix' distribution, down to the root, which is the add-one unigram
-distribution over all words. A token is scored in the state of the longest suffix of the words before
-it.
-
-The unigram table has every word of the training texts and grows with them. It is never gathered:
-texts are grouped into blocks of documents, each asks for the words that it holds, and is scored with
-the answers. The states above the root are bounded by the two shares (at most 1 / ``min_context``
-contexts and 1 / ``min_entry`` counted next words for each length) and are sent to all tasks.
+A state of the tree is a context of up to ``depth`` words. A context is a candidate if it occurs
+``min_count`` times in the training texts, whatever their size, and is kept if its next-word distribution
+diverges enough from that of its suffix. Next-word distributions are smoothed: what discounting takes
+from the counted words (those seen ``min_count`` times after the context) is spread by the suffix'
+distribution, down to the root, which is the add-one unigram distribution over all words. A token is
+scored in the state of the longest suffix of the words before it.
+
+Words, contexts and their next words are counted level by level with Spark aggregates and stored as
+tables, which grow with the training texts. A run of words can only be frequent if both runs that are a
+word shorter are; a bitmap of those spares the shuffle most runs that occur once. Texts are grouped into
+blocks of documents, each asks for the words and states that it may need (a bitmap again rules out most
+others) and is scored with the answers. Both bitmaps have a fixed size and only ever let too much through,
+so they save work and change no result. Runs of words are known by 64-bit codes.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelry.llm.common import scratch_path, shuffle_width, slices
 
 END = b""
+#: Factor of the codes of contexts, and bits of a code that say its place in a bitmap.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+BITS = 27
 
 
 @dataclass(frozen=True)
 class Tree:
-    """Shares that make a context or a counted next word frequent, the discount, and the gain in nats
-    for each counted word that a context must bring over its suffix."""
+    """How often a context and a counted next word must occur (a count, and a share of the training
+    tokens if that is to count too), longest context, discount, and the gain in nats for each counted word
+    that a context must bring over its suffix."""
 
-    min_context: float = 1e-4
-    min_entry: float = 1e-6
+    min_context: float = 0.0
     discount: float = 0.75
     min_gain: float = 2.0
+    min_count: int = 2
+    depth: int = 4
+
+    def least(self, total: int) -> float:
+        return max(2.0, self.min_count, self.min_context * total)
 
 
 def lower_words(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
 
 
+def word_code(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+class Numbers:
+    """Numbers of words in the order met, with their codes."""
+
+    def __init__(self) -> None:
+        self.of: defaultdict = defaultdict()
+        self.of.default_factory = self.of.__len__
+        self.codes = np.zeros(0, np.uint64)
+
+    def numbered(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the tokens, texts one after the other between ends, and each token's place in its
+        text (from 1; the first of all ends has 0)."""
+        held, lengths = [self.of[END]], []
+        for text in texts:
+            tokens = lower_words(text)
+            held += map(self.of.__getitem__, tokens)
+            held.append(self.of[END])
+            lengths.append(len(tokens) + 1)
+        ends = np.cumsum(np.array([0, *lengths], np.int64))
+        places = np.arange(len(held)) - np.repeat(np.concatenate([[0], ends[:-1]]), [1, *lengths])
+        fresh = list(self.of)[len(self.codes) :]
+        self.codes = np.concatenate([self.codes, np.fromiter(map(word_code, fresh), np.uint64, len(fresh))])
+        return np.array(held, np.int64), places
+
+
+def contexts_of(codes: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Codes of each token's context of one more word than ``below``."""
+    out = np.zeros_like(codes)
+    out[1:] = FACTOR * (codes[:-1] + below[:-1])
+    return out
+
+
+def within(bitmap: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    at = codes >> np.uint64(64 - BITS)
+    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def bitmap_of(codes: DataFrame) -> np.ndarray:
+    """The bits at the places of ``code``, of the same size for any number of rows."""
+    at = codes.select(F.shiftrightunsigned("code", 64 - BITS).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
 @dataclass
 class Level:
     """Kept contexts of one length: their codes, the mass left to the suffix, and counted next words
@@ -75,75 +136,104 @@ class Level:
         return out
 
 
-def level(tree: Tree, width: int, contexts: np.ndarray, counts: np.ndarray, code: np.ndarray, n: np.ndarray, suffix: np.ndarray) -> Level:
-    """Keep the contexts whose counted words (code: context place * width + word, ascending) gain enough.
-
-    ``suffix`` is the probability of each counted word after the context's suffix."""
-    if not len(contexts) or not len(code):
-        return Level(width)
-    owner = code // width
-    share = np.maximum(n - tree.discount, 0) / counts[owner]
-    taken = np.bincount(owner, share, len(contexts))
-    mixed = share + (1 - taken)[owner] * suffix
-    gain = np.bincount(owner, n * np.log(mixed / suffix), len(contexts))
-    rest = counts - np.bincount(owner, n, len(contexts))
-    gain += rest * np.log(np.maximum(1 - taken, 1e-300)) * (rest > 0)
-    entries = np.bincount(owner, minlength=len(contexts))
-    kept = (entries > 0) & (gain > tree.min_gain * entries)
-    place = np.cumsum(kept) - 1
-    mine = kept[owner]
-    codes = place[owner[mine]] * width + code[mine] % width
-    return Level(width, contexts[kept], (1 - taken)[kept], codes, share[mine])
-
-
-def add_up(held: list[np.ndarray]) -> list[np.ndarray]:
-    """[codes, counts] with equal codes added up."""
-    codes, at = np.unique(held[0], return_inverse=True)
-    return [codes, np.bincount(at, held[1], len(codes)).astype(np.int64)]
-
+def counted(docs: DataFrame, length: int, frequent: np.ndarray) -> DataFrame:
+    """Rows (context, word, suffix, n), added up by part of a task: how often each word follows each context
+    of ``length`` words, and with a null word how often the context occurs.
 
-def counted(docs: DataFrame, words: list[bytes], contexts: np.ndarray | None) -> DataFrame:
-    """Rows (code, n): how often each frequent word follows each context, by task.
-
-    Contexts are frequent words (None), or pairs of them (codes, ascending)."""
-    spark = docs.sparkSession
-    sent, width = spark.sparkContext.broadcast((words, contexts)), len(words)
+    ``frequent`` is the bitmap of the runs of ``length`` words (a context and the word after it, by the
+    codes of the level below) that are frequent; others need no row."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    names = ["context", "word", "suffix", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, chosen = sent.value
-        number = {w: i for i, w in enumerate(listed)}
-        end, held = number.get(END, -1), [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        for batch in slices(batches, "text"):
-            parts = [np.array([end])]
-            for text in batch.column(0).to_pylist():
-                tokens = lower_words(text)
-                parts += [np.fromiter((number.get(w, -1) for w in tokens), np.int64, len(tokens)), np.array([end])]
-            ids = np.concatenate(parts)
-            if chosen is None:
-                before, after = ids[:-1], ids[1:]
-                code = (before * width + after)[(before >= 0) & (after >= 0)]
-            else:
-                first, second, after = ids[:-2], ids[1:-1], ids[2:]
-                ok = (first >= 0) & (second >= 0) & (second != end) & (after >= 0)
-                pair, after = (first * width + second)[ok], after[ok]
-                at = np.minimum(np.searchsorted(chosen, pair), len(chosen) - 1)
-                code = (at * width + after)[chosen[at] == pair]
-            codes, n = np.unique(code, return_counts=True)
-            held = add_up([np.concatenate([held[0], codes]), np.concatenate([held[1], n])])
-            if len(held[0]) > 1_000_000:
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, held)), names=["code", "n"])
-                held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, held)), names=["code", "n"])
-
-    return docs.select("text").mapInArrow(run, "code long, n long")
-
-
-def gathered(counts: DataFrame, at_least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes with their counts, of those counted ``at_least`` so often, ascending."""
-    rows = counts.groupBy("code").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, at_least)).toArrow()
-    code, n = rows["code"].to_numpy(), rows["n"].to_numpy()
-    order = np.argsort(code)
-    return code[order], n[order]
+        numbers = Numbers()
+        for batch in slices(batches, "text", 16 << 20):
+            ids, places = numbers.numbered(batch.column(0).to_pylist())
+            codes, below = numbers.codes[ids], np.zeros(len(ids), np.uint64)
+            for _ in range(length - 1):
+                below = contexts_of(codes, below)
+            context = contexts_of(codes, below)
+            run_of = within(sent.value, below ^ codes)
+            there = places >= length
+            there[1:] &= run_of[:-1]
+            known, n = np.unique(context[there], return_counts=True)
+            none = pa.nulls(len(known), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(known.view(np.int64)), none, none, pa.array(n)], names=names)
+            at = np.flatnonzero(there & run_of)
+            _, first, n = np.unique((context ^ codes)[at], return_index=True, return_counts=True)
+            at = at[first]
+            yield pa.RecordBatch.from_arrays([*[pa.array(x[at].view(np.int64)) for x in (context, codes, below)], pa.array(n)], names=names)
+            if len(numbers.of) > 500_000:
+                numbers = Numbers()
+
+    return docs.select("text").mapInArrow(run, "context long, word long, suffix long, n long")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def weighed(tree: Tree, counts: DataFrame, below: DataFrame) -> DataFrame:
+    """Rows (context, word, share, left, p, kept) of the counted words of a level.
+
+    ``below`` has the probability of each counted word after the suffix (context, word, p). ``share`` is the
+    word's discounted share, ``left`` the mass that the context leaves to its suffix and p the probability
+    of the word after the context, which is that after the suffix if the context is not kept."""
+    followed, n = F.col("word").isNotNull(), F.col("n")
+    sums = counts.groupBy("context").agg(
+        F.sum(F.when(~followed, n)).alias("all"), F.sum(F.when(followed, n)).alias("seen"), F.count("word").alias("entries")
+    )
+    sums = sums.where("entries > 0").withColumn("left", 1 - (F.col("seen") - tree.discount * F.col("entries")) / F.col("all"))
+    lower = below.select(F.col("context").alias("suffix"), "word", F.col("p").alias("under"))
+    rows = counts.where(followed).join(lower, ["suffix", "word"]).join(sums, "context")
+    rows = rows.withColumn("share", (n - tree.discount) / F.col("all")).withColumn("mixed", F.col("share") + F.col("left") * F.col("under"))
+    rows = stored(rows.select("context", "word", "n", "all", "seen", "entries", "left", "under", "share", "mixed"), "entries")
+    counted_gain = F.sum(n * F.log(F.col("mixed") / F.col("under")))
+    rest = (F.first("all") - F.first("seen")) * F.log(F.first("left"))
+    good = rows.groupBy("context").agg((counted_gain + rest > tree.min_gain * F.first("entries")).alias("kept"))
+    p = F.when(F.col("kept"), F.col("mixed")).otherwise(F.col("under"))
+    return stored(rows.join(good, "context").select("context", "word", "share", "left", p.alias("p"), "kept"), "level")
+
+
+def grow(docs: DataFrame, vocabulary: DataFrame, total: int, distinct: int, tree: Tree) -> list[DataFrame]:
+    """The levels above the root, as ``weighed`` describes them."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = np.fromiter(map(word_code, batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), batch.column(1)], names=["code", "c"])
+
+    least = tree.least(total)
+    words = vocabulary.where(F.col("c") >= least).select("word", "c").mapInArrow(number, "code long, c long")
+    root = (F.col("c") + 1) / F.lit(float(total + distinct + 1))
+    below = stored(words.select(F.lit(0).cast("long").alias("context"), F.col("code").alias("word"), root.alias("p")), "root")
+    frequent, levels = bitmap_of(below.select(F.col("word").alias("code"))), []
+    for length in range(1, tree.depth + 1):
+        if not frequent.any():
+            break
+        rows = counted(docs, length, frequent).groupBy("context", "word", "suffix").agg(F.sum("n").alias("n"))
+        counts = stored(rows.where(F.col("n") >= least), "counts")
+        below = weighed(tree, counts, below)
+        levels.append(below)
+        if length < tree.depth:
+            frequent = bitmap_of(below.select(F.col("context").bitwiseXOR(F.col("word")).alias("code")))
+    return levels
+
+
+def states(level: DataFrame) -> DataFrame:
+    """Rows (code, value): of a kept context the mass that it leaves, of its counted words their probability."""
+    kept = level.where("kept")
+    contexts = kept.groupBy(F.col("context").alias("code")).agg(F.first("left").alias("value"))
+    return contexts.union(kept.select(F.col("context").bitwiseXOR(F.col("word")), "p"))
+
+
+def all_states(spark: SparkSession, levels: list[DataFrame]) -> DataFrame:
+    out = spark.createDataFrame([], "code long, value double")
+    for level in levels:
+        out = out.union(states(level))
+    return stored(out, "states")
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -169,23 +259,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def learn(spark: SparkSession, docs: DataFrame, vocabulary: DataFrame, total: int, distinct: int, tree: Tree) -> tuple:
-    """Frequent words and the levels above the root."""
-    frequent = vocabulary.where(F.col("c") >= max(2.0, tree.min_context * total)).orderBy("word").toArrow()
-    words, c = frequent["word"].to_pylist(), frequent["c"].to_numpy()
+    """Frequent words and the levels of one and two words, gathered to look into a small model."""
+    frequent = vocabulary.where(F.col("c") >= tree.least(total)).orderBy("word").toArrow()
+    words = frequent["word"].to_pylist()
     width = max(1, len(words))
-    root = (c + 1) / (total + distinct + 1)
-    if not words:
-        return words, Level(1), Level(1)
-    code, n = gathered(counted(docs, words, None), tree.min_entry * total)
-    first = level(tree, width, np.arange(len(words)), c, code, n, root[code % width])
-    often = (n >= max(2.0, tree.min_context * total)) & (code % width != (words.index(END) if END in words else -1))
-    pairs, pair_counts = code[often], n[often]
-    if not len(pairs):
-        return words, first, Level(width)
-    code, n = gathered(counted(docs, words, pairs), tree.min_entry * total)
-    last = code % width
-    suffix = first.probability(pairs[code // width] % width, last, root[last])
-    return words, first, level(tree, width, pairs, pair_counts, code, n, suffix)
+    codes = np.array([word_code(w) for w in words], np.uint64)
+    number = {c: i for i, c in enumerate(codes.view(np.int64).tolist())}
+    place = {c: i for i, c in enumerate((FACTOR * codes).view(np.int64).tolist())}
+    gathered = []
+    for table in grow(docs, vocabulary, total, distinct, tree)[:2]:
+        rows = table.toArrow().to_pydict()
+        named = [place[c] for c in rows["context"]]
+        left = {k: x for k, x, is_kept in zip(named, rows["left"], rows["kept"]) if is_kept}
+        kept = np.array(sorted(left), np.int64)
+        runs = np.array([k * width + number[w] for k, w in zip(named, rows["word"])], np.int64)
+        after = FACTOR * (np.array(rows["context"], np.int64).view(np.uint64) + np.array(rows["word"], np.int64).view(np.uint64))
+        place = dict(zip(after.view(np.int64).tolist(), runs.tolist()))
+        mine = np.array(rows["kept"], bool)
+        entries = np.searchsorted(kept, np.array(named, np.int64)[mine]) * width + runs[mine] % width
+        order = np.argsort(entries)
+        gathered.append(Level(width, kept, np.array([left[k] for k in kept.tolist()]), entries[order], np.array(rows["share"])[mine][order]))
+    return words, *gathered, *[Level(width)] * (2 - len(gathered))
 
 
 def score(df: DataFrame, key: str, text: str, train: Column, tree: Tree = Tree(), block_bytes: int = 4 << 20) -> DataFrame:
@@ -203,8 +297,8 @@ def score(df: DataFrame, key: str, text: str, train: Column, tree: Tree = Tree()
     word_counts(learnt).groupBy("word").agg(F.sum("n").alias("c")).write.parquet(path)
     vocabulary = spark.read.parquet(path)
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    words, first, second = learn(spark, learnt, vocabulary, total, distinct, tree)
-    sent = spark.sparkContext.broadcast((words, first, second))
+    known_states = all_states(spark, grow(learnt, vocabulary, total, distinct, tree))
+    sent, depth = spark.sparkContext.broadcast(bitmap_of(known_states)), tree.depth
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(shuffle_width(spark), -(-size // block_bytes))
     spread = F.pmod(F.xxhash64("key", F.octet_length("text")), F.lit(blocks))
@@ -212,36 +306,58 @@ def score(df: DataFrame, key: str, text: str, train: Column, tree: Tree = Tree()
     kind = docs.schema["key"].dataType.simpleString()
 
     def ask(table: pa.Table) -> pa.Table:
-        held: set = set()
-        for text_ in table["text"].to_pylist():
-            held.update(lower_words(text_))
-        held.add(END)
-        block = pa.array(np.full(len(held), table["block"][0].as_py(), np.int64))
-        return pa.table([block, pa.array(list(held), pa.binary())], names=["block", "word"])
+        numbers = Numbers()
+        ids, places = numbers.numbered(table["text"].to_pylist())
+        codes, context, asked = numbers.codes[ids], np.zeros(len(ids), np.uint64), [np.zeros(0, np.uint64)]
+        for length in range(1, depth + 1):
+            context = contexts_of(codes, context)
+            at = np.flatnonzero(places >= length)
+            at = at[within(sent.value, context[at])]
+            after = (context ^ codes)[at]
+            asked = [np.unique(np.concatenate([*asked, context[at], after[within(sent.value, after)]]))]
+        words, asked = list(numbers.of), asked[0].view(np.int64)
+        block = pa.array(np.full(len(words) + len(asked), table["block"][0].as_py(), np.int64))
+        word = pa.array([*words, *[None] * len(asked)], pa.binary())
+        code = pa.concat_arrays([pa.nulls(len(words), pa.int64()), pa.array(asked)])
+        return pa.table([block, word, code], names=["block", "word", "code"])
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        listed, one, two = sent.value
-        known = dict(zip(right["word"].to_pylist(), right["c"].to_pylist()))
-        frequent = {w: i for i, w in enumerate(listed) if w in known}
-        width, end = max(1, len(listed)), frequent.get(END, -1)
-        n_tokens, n_known, base, scored = [], [], [], []
-        for text_ in left["text"].to_pylist():
-            tokens = [*lower_words(text_), END]
-            c = np.fromiter((known.get(w, 0) for w in tokens), np.int64, len(tokens))
-            ids = np.fromiter((frequent.get(w, -1) for w in tokens), np.int64, len(tokens))
-            root = (c + 1) / (total + distinct + 1)
-            before = np.concatenate([[-1, end], ids[:-1]])
-            after_one = one.probability(before[1:], ids, root)
-            pair = np.where((before[:-1] >= 0) & (before[1:] >= 0), before[:-1] * width + before[1:], -1)
-            after_two = two.probability(pair, ids, after_one)
-            n_tokens.append(len(tokens))
-            n_known.append(int(np.count_nonzero(c)))
-            base.append(float(np.log10(root).sum()))
-            scored.append(float(np.log10(after_two).sum()))
-        return pa.table([left["key"], left["train"], n_tokens, n_known, base, scored], names=["key", "train", "n_tokens", "n_known", "base_score", "score"])
-
-    asked = grouped.applyInArrow(ask, "block long, word binary")
-    answers = asked.join(vocabulary, "word").select("block", "word", "c")
+        numbers = Numbers()
+        ids, places = numbers.numbered(left["text"].to_pylist())
+        known = {w: v for w, v in zip(right["word"].to_pylist(), right["value"].to_pylist()) if w is not None}
+        of_states = right.filter(pc.is_valid(right["code"]))
+        found, value = of_states["code"].to_numpy().view(np.uint64), of_states["value"].to_numpy()
+        order = np.argsort(found)
+        found, value = found[order], value[order]
+
+        def answer(asked: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(found, asked), len(found) - 1)
+            return np.where(found[at] == asked, value[at], np.nan)
+
+        c = np.array([known.get(w, 0) for w in numbers.of])[ids]
+        root = (c + 1) / (total + distinct + 1)
+        p, codes, context = root.copy(), numbers.codes[ids], np.zeros(len(ids), np.uint64)
+        for length in range(1, depth + 1 if len(found) else 1):
+            context = contexts_of(codes, context)
+            at = np.flatnonzero(places >= length)
+            rest = answer(context[at])
+            at, rest = at[~np.isnan(rest)], rest[~np.isnan(rest)]
+            counted_ = answer((context ^ codes)[at])
+            p[at] = np.where(np.isnan(counted_), rest * p[at], counted_)
+        starts = np.flatnonzero(places == 1)
+        n_tokens = np.diff([*starts, len(ids)])
+        add = lambda x: np.add.reduceat(x, starts) if len(starts) else x[:0]
+        found_ = [n_tokens, add((c > 0).astype(np.int64)), add(np.log10(root)), add(np.log10(p))]
+        return pa.table([left["key"], left["train"], *found_], names=["key", "train", "n_tokens", "n_known", "base_score", "score"])
+
+    asked = grouped.applyInArrow(ask, "block long, word binary, code long")
+    asked = stored(asked, "asked")
+    nothing = lambda kind_: F.lit(None).cast(kind_)
+    of_words = asked.where("word is not null").select("block", "word").join(vocabulary, "word")
+    of_states = asked.where("code is not null").select("block", "code").join(known_states, "code")
+    answers = of_words.select("block", "word", nothing("long").alias("code"), F.col("c").cast("double").alias("value")).union(
+        of_states.select("block", nothing("binary"), "code", "value")
+    )
     result = grouped.cogroup(answers.groupBy("block")).applyInArrow(
         judge, f"key {kind}, train boolean, n_tokens long, n_known long, base_score double, score double"
     )

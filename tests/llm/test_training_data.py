@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -373,6 +373,65 @@ def test_next_word_distributions_add_up_to_one(spark, sf_dir):
         assert abs(after.sum() + first.left[place] * (1 - root.sum()) - 1) < 1e-9
 
 
+def plain_tree_scores(rows, trained, tree):
+    """(score by key) by plain dictionaries over all contexts, without bitmaps or codes."""
+    tokens = {k: [*WORD.findall(lower(t)), "\0"] for k, t in rows}
+    counts = Counter(w for k, x in tokens.items() if trained(k) for w in x)
+    size = sum(counts.values()) + len(counts) + 1
+    models = []
+
+    def chance(history, w):
+        p = (counts[w] + 1) / size
+        for j, model in enumerate(models, 1):
+            if len(history) >= j and history[-j:] in model:
+                left, shares = model[history[-j:]]
+                p = shares.get(w, 0.0) + left * p
+        return p
+
+    for j in range(1, tree.depth + 1):
+        runs, totals = defaultdict(Counter), Counter()
+        for k, x in tokens.items():
+            around = ("\0", *x)
+            for i in range(j, len(around)) if trained(k) else ():
+                runs[around[i - j : i]][around[i]] += 1
+                totals[around[i - j : i]] += 1
+        model = {}
+        for context, after in runs.items():
+            seen = {w: n for w, n in after.items() if n >= 2}
+            if not seen:
+                continue
+            shares = {w: (n - tree.discount) / totals[context] for w, n in seen.items()}
+            left = 1 - sum(shares.values())
+            under = {w: chance(context[1:], w) for w in seen}
+            gain = sum(n * np.log((shares[w] + left * under[w]) / under[w]) for w, n in seen.items())
+            gain += (totals[context] - sum(seen.values())) * np.log(left)
+            if gain > tree.min_gain * len(seen):
+                model[context] = (left, shares)
+        models.append(model)
+    out = {}
+    for k, x in tokens.items():
+        around = ("\0", *x)
+        out[k] = float(sum(np.log10(chance(around[max(0, i - tree.depth) : i], around[i])) for i in range(1, len(around))))
+    return out, [len(m) for m in models]
+
+
+def test_suffix_tree_equals_plain_counts_over_rare_and_long_contexts(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r.doc_id, r.text) for r in table]
+    common = " ".join(t or "" for _, t in rows)
+    rare = "quorvex blimtar zandolph mirquist yevlorn"
+    base = 1 + max(k for k, _ in rows)
+    base += -base % 4
+    rows += [(base, f"{rare} once {common[:400]}"), (base + 2, f"{common[400:700]} {rare} twice"), (base + 1, rare)]
+    expected, kept = plain_tree_scores(rows, lambda k: k % 4 != 1, suffix_tree.Tree())
+    assert all(n > 0 for n in kept)
+    scored = suffix_tree.score(documents(spark, [(k, t, "s") for k, t in rows]), "doc_id", "text", F.col("doc_id") % 4 != 1).collect()
+    assert {r.doc_id: r.score for r in scored} == pytest.approx(expected, rel=1e-9)
+    # The words after the first of a phrase that was seen twice are far likelier than by themselves.
+    phrase = next(r for r in scored if r.doc_id == base + 1)
+    assert phrase.score - phrase.base_score > 6
+
+
 # --- Shared passages
 
 
