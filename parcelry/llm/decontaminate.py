@@ -5,9 +5,12 @@ window of that many words is looked at. A window within the edit limit of an ite
 its words from the items of its length, which rules out nearly all windows without loss. The others
 and the items are embedded by the CGK random walk: a walk along the words emits the current word at
 every step and moves on or stays by a random bit of (step, word), which turns few edits into few
-differing steps. Each repetition walks with other bits and samples a few steps as its key; enough
-repetitions are made for the target recall. Windows that share a key with an item are verified by
-their exact edit distance, over words, to the best matching passage around them.
+differing steps. Each repetition walks with other bits and samples a few steps as its key. Walks that
+have come apart on a long item, or after words were dropped or put in, seldom join again, so the walks
+alone lose such passages. An item of n words with at most k edits is therefore also cut into k + 1 pieces:
+a passage within the limit holds one of them unchanged, not more than k words from its place, and is found
+by that. Whatever the walks or the pieces propose is verified by the exact edit distance, over words, to
+the best matching passage around it, so that no passage within the limit is lost at any length.
 
 Items are held by every task in blocks of a bounded size; more items mean more passes over the
 documents, not larger blocks.
@@ -28,14 +31,14 @@ from pyspark.sql import DataFrame, functions as F
 from parcelry.llm.common import map_columns, quoted, slices, worker_state, working_name
 
 EDGES = string.punctuation + "«»„“”‘’‚…–—¿¡"
-#: Share of equal steps of two embeddings at the edit limit, a low estimate (see the recall test).
+#: Share of equal steps of two embeddings at the edit limit, for short items with replaced words.
 STEP_AGREEMENT = 0.5
 
 
 @dataclass(frozen=True)
 class Search:
-    """Edit limit as a share of the item's words, the target recall at that limit, steps sampled for a
-    key, the fewest words of an item that is searched for, and the bytes of items in a block."""
+    """Edit limit as a share of the item's words, the recall that the walks are to have by themselves on
+    short items at that limit (with the pieces it is one), steps sampled for a key, the fewest words of an item that is searched for, and the bytes of items in a block."""
 
     max_edits: float = 0.2
     recall: float = 0.98
@@ -66,8 +69,17 @@ def hashed(text: str | None, hashes: WordHashes) -> np.ndarray:
     return found[found != 0]
 
 
+def runs_of(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Codes of the runs of ``size`` words that start at ``at``."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(size):
+        out = (out ^ words[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
 class Items:
-    """Items of one block by length, with their keys of every repetition."""
+    """Items of one block by length, with their keys of every repetition and the codes of their pieces."""
 
     def __init__(self, items: list[tuple], search: Search):
         hashes = WordHashes()
@@ -81,7 +93,7 @@ class Items:
         self.lengths = dict(sorted(lengths.items()))
         self.longest = max(self.lengths, default=0)
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [self.words[n] for ns in lengths.values() for n in ns]))
-        self.times, self.keys, self.plans = {}, {}, {}
+        self.times, self.keys, self.plans, self.pieces = {}, {}, {}, {}
         for length, numbers in self.lengths.items():
             table = np.stack([self.words[n] for n in numbers])
             times = np.zeros(len(self.vocabulary) + 1, np.int16)
@@ -90,12 +102,48 @@ class Items:
                 times[places] = np.maximum(times[places], counts)
             self.times[length] = times
             self.plans[length] = self.plan(length)
+            self.pieces[length] = self.cut(table, np.array(numbers), length)
             held = []
             for key in self.embedded(table, length).T:
                 order = np.argsort(key, kind="stable")
                 held.append((key[order], np.array(numbers)[order]))
             self.keys[length] = held
 
+    def cut(self, table: np.ndarray, numbers: np.ndarray, length: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of a piece, and (code, item, place in the item) of one more piece than edits are allowed, by code."""
+        count = int(self.search.max_edits * length) + 1
+        size = length // count
+        places = np.arange(count) * length // count
+        flat, at = table.ravel(), (np.arange(len(table))[:, None] * length + places).ravel()
+        codes = runs_of(flat, at, size)
+        order = np.argsort(codes, kind="stable")
+        return size, codes[order], np.repeat(numbers, count)[order], np.tile(places, len(table))[order]
+
+    def pieced(self, words: np.ndarray, begins: np.ndarray, starts: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(start, item) where a text holds a piece of an item, if the passage may begin at one of ``starts``
+        (ascending); starts before the text are moved to its first word."""
+        size, codes, numbers, places = self.pieces[length]
+        limit = int(self.search.max_edits * length)
+        cover = np.zeros(len(words) + 1, np.int32)
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, np.minimum(starts + length + limit, len(words)), -1)
+        at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+        at = at[at + size <= len(words)]
+        for low in range(0, len(at), 65_536):
+            part = at[low : low + 65_536]
+            code = runs_of(words, part, size)
+            first, last = np.searchsorted(codes, code, "left"), np.searchsorted(codes, code, "right")
+            part, first, count = part[last > first], first[last > first], (last - first)[last > first]
+            bounds = np.searchsorted(np.cumsum(count), np.arange(0, count.sum(), 1 << 20))
+            for a, b in zip(bounds, [*bounds[1:], len(count)]):
+                n = count[a:b]
+                each = np.repeat(first[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                where = np.repeat(part[a:b], n)
+                start = where - places[each]
+                near = np.searchsorted(starts, start - limit, "left") < np.searchsorted(starts, start + limit, "right")
+                where, start, each = where[near], start[near], each[near]
+                yield np.maximum(start, begins[np.searchsorted(begins, where, side="right") - 1]), numbers[each]
+
     def plan(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Salt of each step and repetition, and whether the repetition samples the step."""
         random = np.random.default_rng(1_000 + length)
@@ -132,9 +180,9 @@ class Items:
         copy = column - np.maximum.accumulate(np.where(changed, column, 0), axis=1)
         return starts[(copy < self.times[length][ordered]).sum(axis=1) >= need]
 
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window start, item) of windows that share a key with an item; ``words`` ends with
-        ``longest`` zeros."""
+    def candidates(self, words: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window start, item) of windows that share a key or hold a piece of an item; ``words`` holds the
+        texts that start at ``begins``, each with ``longest`` zeros behind it."""
         place = np.searchsorted(self.vocabulary, words)
         place[place == len(self.vocabulary)] = 0
         place[self.vocabulary[place] != words] = len(self.vocabulary)
@@ -148,6 +196,8 @@ class Items:
                 starts = starts[inside[starts + length] - inside[starts] >= need]
             starts = [self.shared(place, starts[low : low + 4096], length, need) for low in range(0, len(starts), 4096)]
             starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+            if len(starts):
+                yield from self.pieced(words, begins, starts, length)
             for low in range(0, len(starts), 2048):
                 part = starts[low : low + 2048]
                 windows = words[part[:, None] + np.arange(length)]
@@ -187,7 +237,7 @@ class Finder:
             return found
         words = np.concatenate([part for d in docs for part in (d, gap)])
         begins = np.cumsum([0] + [len(d) + len(gap) for d in docs])
-        pairs = [np.stack(p, axis=1) for p in self.items.candidates(words)]
+        pairs = [np.stack(p, axis=1) for p in self.items.candidates(words, begins)]
         if not pairs:
             return found
         pairs = np.unique(np.concatenate(pairs), axis=0)

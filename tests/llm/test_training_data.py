@@ -506,6 +506,29 @@ def test_matches_equal_brute_force_and_reach_the_recall(spark, sf_dir):
     assert none.where("size(matches) > 0").count() == 0 and none.count() == len(texts)
 
 
+@pytest.mark.parametrize("length", [7, 20, 60, 120, 250])
+def test_edited_passages_of_any_length_are_found(length):
+    rnd, limit, texts, planted = random.Random(length), length // 5, [], []
+    items = [(n, " ".join(f"w{rnd.randrange(10**6)}" for _ in range(length))) for n in range(12)]
+    for n in range(60):
+        words = items[n % 12][1].split()
+        for place in rnd.sample(range(length), limit):
+            if n % 3 == 0:
+                words[place] = f"s{place}"
+            elif n % 3 == 1:
+                words[place] = None
+            else:
+                words[place] += f" i{place}"
+        body = [f"f{rnd.randrange(10**6)}" for _ in range(80)]
+        at = rnd.choice([0, 40, 80])
+        texts.append(" ".join([*body[:at], *[w for w in words if w], *body[at:]]))
+        planted.append(n % 12)
+    found = decontaminate.Finder(items, decontaminate.Search()).find(texts)
+    missed = [n for n, (item, f) in enumerate(zip(planted, found)) if item not in [m[0] for m in f]]
+    assert missed == []
+    assert all(m[3] <= limit for f in found for m in f)
+
+
 # --- Pipeline
 
 
