@@ -3,7 +3,7 @@
 A page is cut into blocks of text at block-level tags; scripts, styles, comments and the like are
 skipped. A block is described by its own word count and link density, those of the blocks before and
 after it, and by what encloses it. A decision tree fitted on the labelled blocks below decides which
-blocks belong to the main text.
+blocks belong to the main text, from all of these also on pages that mark their article.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ FEATURES = (
 
 # Labelled blocks: words and link density of the block, of the one before and the one after; whether
 # something that is not content encloses it (side: navigation, notice, advert, form, comments and the
-# like, by tag, class, id or role); whether an article or main element does (main: 1 yes, 0 no, -1
+# like, by tag, class, id or role; 1 yes, 0.5 if only a part of a class or id says so, or an article
+# starts inside of such a mark); whether an article or main element does (main: 1 yes, 0 no, -1
 # the page has no such element); and whether it is main text.
 LABELLED = (
     # articles: headings, long and short paragraphs, lists, quotes and link lines
@@ -48,6 +49,23 @@ LABELLED = (
     (4, 1.0, 3, 1.0, 8, 0.0, 0, 0, 0), (20, 0.0, 5, 1.0, 9, 0.0, 0, 0, 0), (7, 0.0, 2, 1.0, 60, 0.0, 0, 0, 0),
     (35, 0.0, 90, 0.0, 6, 0.0, 0, 0, 0), (3, 0.0, 80, 0.0, 0, 0.0, 0, 0, 0), (60, 0.3, 40, 0.0, 10, 1.0, 0, 0, 0),
     (12, 0.0, 60, 0.0, 15, 0.0, 0, 0, 0), (1, 0.0, 0, 0.0, 7, 0.0, 0, 0, 0), (90, 0.0, 6, 1.0, 5, 1.0, 0, 0, 0),
+    # link-only menus in an article without a mark, and lines that are mostly links beside them
+    (3, 1.0, 4, 1.0, 3, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (2, 1.0, 60, 0.0, 2, 1.0, 0, 1, 0),
+    (4, 1.0, 3, 1.0, 45, 0.0, 0, 1, 0), (6, 1.0, 0, 0.0, 5, 1.0, 0, 1, 0), (5, 0.9, 6, 1.0, 8, 1.0, 0, 1, 0),
+    (2, 1.0, 2, 1.0, 0, 0.0, 0, 1, 0), (8, 1.0, 7, 1.0, 9, 1.0, 0, 1, 0), (40, 0.0, 3, 1.0, 50, 0.0, 0, 1, 1),
+    (55, 0.0, 40, 0.0, 3, 1.0, 0, 1, 1), (5, 0.0, 2, 1.0, 3, 1.0, 0, 1, 1),
+    # marked by a part of a name: text and headlines of an article, and links, teasers and labels
+    (6, 0.0, 0, 0.0, 60, 0.0, 0.5, 1, 1), (8, 0.0, 2, 1.0, 45, 0.0, 0.5, 1, 1), (60, 0.0, 8, 0.0, 50, 0.0, 0.5, 1, 1),
+    (25, 0.0, 60, 0.0, 30, 0.0, 0.5, 1, 1), (90, 0.05, 40, 0.0, 0, 0.0, 0.5, 1, 1), (12, 0.0, 6, 0.0, 30, 0.0, 0.5, 1, 1),
+    (3, 1.0, 60, 0.0, 4, 1.0, 0.5, 1, 0), (5, 1.0, 4, 1.0, 6, 1.0, 0.5, 1, 0), (8, 1.0, 2, 0.0, 7, 1.0, 0.5, 1, 0),
+    (2, 1.0, 3, 1.0, 40, 0.0, 0.5, 1, 0), (9, 0.8, 50, 0.0, 3, 0.0, 0.5, 1, 0), (3, 1.0, 30, 0.0, 0, 0.0, 0.5, 1, 0),
+    (4, 1.0, 3, 1.0, 5, 1.0, 0.5, 0, 0), (12, 0.0, 4, 1.0, 3, 0.0, 0.5, 0, 0), (40, 0.0, 5, 0.0, 6, 1.0, 0.5, 0, 0),
+    (6, 0.0, 2, 0.0, 60, 0.0, 0.5, 0, 0), (20, 0.0, 8, 0.0, 90, 0.0, 0.5, 0, 0), (70, 0.0, 8, 0.0, 30, 0.0, 0.5, 0, 0),
+    (60, 0.0, 8, 0.0, 45, 0.0, 0.5, -1, 1), (45, 0.0, 60, 0.0, 50, 0.0, 0.5, -1, 1), (120, 0.02, 40, 0.0, 3, 1.0, 0.5, -1, 1),
+    (4, 1.0, 3, 1.0, 5, 1.0, 0.5, -1, 0), (3, 0.0, 2, 1.0, 2, 0.0, 0.5, -1, 0), (9, 0.0, 4, 1.0, 3, 1.0, 0.5, -1, 0),
+    (2, 1.0, 1, 1.0, 40, 0.0, 0.5, -1, 0), (12, 0.9, 8, 1.0, 6, 1.0, 0.5, -1, 0), (5, 0.0, 12, 0.0, 4, 0.0, 0.5, -1, 0),
+    # runs of long paragraphs outside the article of a page that has one (a teaser, say)
+    (120, 0.0, 95, 0.0, 110, 0.0, 0, 0, 1), (100, 0.02, 130, 0.0, 90, 0.0, 0, 0, 1), (150, 0.0, 100, 0.01, 140, 0.0, 0, 0, 1),
     # pages without an article or main element
     (60, 0.0, 8, 0.0, 45, 0.0, 0, -1, 1), (45, 0.05, 60, 0.0, 50, 0.0, 0, -1, 1), (150, 0.0, 0, 0.0, 3, 1.0, 0, -1, 1),
     (8, 0.0, 2, 1.0, 60, 0.0, 0, -1, 1), (6, 0.0, 60, 0.0, 70, 0.0, 0, -1, 1), (25, 0.0, 6, 0.0, 40, 0.0, 0, -1, 1),
@@ -96,27 +114,34 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def is_side(name: str, rest: str) -> bool:
-    """Whether an element is something other than content, by its name or attributes."""
+def side_of(name: str, rest: str) -> float:
+    """1 if an element is something other than content, by its name or attributes, 0.5 if only a part of
+    a class or id says so, else 0."""
     if name in SIDE_SET:
-        return True
+        return 1.0
     if name in MAIN_SET or name == "body" or "=" not in rest and "hidden" not in rest:
-        return False
+        return 0.0
+    found = 0.0
     for key, value in ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return 1.0
         for token in value.split():
-            if token.lower() in HINT_SET or any(p.lower() in HINT_SET for p in PARTS.findall(token)):
-                return True
-    return False
+            if token.lower() in HINT_SET:
+                return 1.0
+            if any(p.lower() in HINT_SET for p in PARTS.findall(token)):
+                found = 0.5
+    return found
 
 
-def blocks_of(page: str) -> list[tuple[str, int, float, int, int]]:
-    """(text, words, link density, side, main) of each block with a word, in page order."""
+def blocks_of(page: str) -> list[tuple[str, int, float, float, int]]:
+    """(text, words, link density, side, main) of each block with a word, in page order.
+
+    A main element ends the marks around it; the first article does so for marks by a part of a name and
+    leaves others as doubtful. Marks inside of either stay."""
     found, pieces, linked = [], [], []
-    stack: list[tuple[str, bool, bool]] = []
-    side = main = links = 0
+    stack: list[tuple[str, float, int]] = []  # names, with the marks outside of each
+    side, main, links = 0.0, 0, 0
     any_main = False
     at, size = 0, len(page)
 
@@ -126,7 +151,7 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int]]:
             words = text.split()
             if words:
                 in_links = len(html.unescape(" ".join(linked)).split())
-                found.append((" ".join(words), len(words), min(1.0, in_links / len(words)), int(side > 0), int(main > 0)))
+                found.append((" ".join(words), len(words), min(1.0, in_links / len(words)), side, main))
             pieces.clear()
             linked.clear()
 
@@ -164,22 +189,23 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int, int]]:
         if tag["close"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    for _, was_side, was_main in stack[i:]:
-                        side -= was_side
-                        main -= was_main
+                    _, side, main = stack[i]
                     del stack[i:]
                     break
                 if name in ("p", "span", "a", "li") and stack[i][0] not in ("p", "span", "a", "li"):
                     break
         elif not tag["rest"].endswith("/"):
             if name in ("p", "li") and stack and stack[-1][0] == name:
-                _, was_side, was_main = stack.pop()
-                side -= was_side
-                main -= was_main
-            marks = (name, is_side(name, tag["rest"]), name in MAIN_SET)
-            stack.append(marks)
-            side, main = side + marks[1], main + marks[2]
-            any_main |= marks[2]
+                _, side, main = stack.pop()
+            stack.append((name, side, main))
+            if name in MAIN_SET:
+                if name == "main":
+                    side = 0.0
+                elif not main:
+                    side = 0.5 if side == 1 else 0.0
+                main, any_main = 1, True
+            else:
+                side = max(side, side_of(name, tag["rest"]))
     flush()
     return [(t, w, d, s, m if any_main else -1) for t, w, d, s, m in found]
 
@@ -191,7 +217,7 @@ def described(blocks: list[tuple]) -> list[tuple[float, ...]]:
     return [(*around[i + 1], *around[i], *around[i + 2], b[3], b[4]) for i, b in enumerate(blocks)]
 
 
-def fit(spark: SparkSession, labelled: tuple = LABELLED, depth: int = 6) -> tuple:
+def fit(spark: SparkSession, labelled: tuple = LABELLED, depth: int = 7) -> tuple:
     """A decision tree over ``FEATURES`` as nested (feature, threshold, low, high) with labels as leaves."""
     weighted = [(*map(float, r), 1.0 if r[7] < 0 else MARKED_WEIGHT) for r in labelled]
     rows = spark.createDataFrame(weighted, [*FEATURES, "label", "weight"]).coalesce(1)

@@ -184,6 +184,26 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0), "html", ("page_id",)).count() == 0
 
 
+def test_main_text_inside_of_wrappers_with_telling_names(spark):
+    one, two = " ".join(["word"] * 40), " ".join(["other"] * 35)
+    links = "".join(f'<li><a href="/{i}">Part {i}</a></li>' for i in range(4))
+    head = '<nav><a href="/">home</a></nav>'
+    text = f"<p>{one}</p><p>{two}</p>"
+    pages = [
+        f"<body>{head}<div class='content-sidebar-wrap'><main>{text}</main></div></body>",
+        f"<body>{head}<div class='site has-sidebar'><article>{text}</article></div></body>",
+        f"<body>{head}<div id='page-with-header'><article>{text}</article></div></body>",
+        f"<body><form><main>{text}</main></form></body>",
+        f"<body><div class='sidebar'><article>{text}</article></div></body>",
+        f"<body><article><div class='article-header'><h1>A headline of six words here</h1></div>{text}</article></body>",
+        f"<body><article><p>{one}</p><ul>{links}</ul><p>{two}</p></article></body>",
+        f"<body><article>{text}<div class='related-posts'>{links}</div><div id='comments'><article>{one}</article></div></article></body>",
+    ]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+    got = {r.page_id: r.text for r in html_text.extract(df, "html", ("page_id",)).collect()}
+    assert got == {n: ("A headline of six words here\n" if n == 5 else "") + f"{one}\n{two}" for n in range(len(pages))}
+
+
 def test_main_text_of_all_pages_equals_a_plain_reading(spark, sf_dir):
     import html as h
 
