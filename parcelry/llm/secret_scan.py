@@ -70,6 +70,8 @@ def labelled_findings(spark: SparkSession, known: list[str], each: int = 40) ->
     random64 = "base64(unhex(sha2(concat('v', i), 256)))"
     hexes = {32: "md5(concat('r', i))", 40: "sha1(concat('s', i))", 64: "sha2(concat('t', i), 256)"}
     alnum = f"substr(regexp_replace({random64}, '[^A-Za-z0-9]', ''), 1, 20 + cast(pmod(i, 14) as int))"
+    letters = f"translate({alnum}, '0123456789', 'QwZxKvJpYt')"
+    strange = lambda *k: f"translate(concat({', '.join(map(w, k))}), 'aeiou', 'eioua')"
     key_names = ["token", "api_key", "secret", "password", "auth", "access_key"]
     secrets = [
         *[(v, f"concat({w(1)}, ' {k} = \"')", w(2), "1") for k, v in zip(key_names, [*hexes.values(), alnum, random64, hexes[40]])],
@@ -80,6 +82,12 @@ def labelled_findings(spark: SparkSession, known: list[str], each: int = 40) ->
         (random64, f"concat({w(1)}, ' private key ', {w(2)}, ' ')", w(4), "0"),
         (hexes[40], f"concat({w(1)}, ' ', {w(3)}, '; token=')", w(2), "1"),
         (f"concat('sk-', {alnum})", f"concat({w(1)}, ' api_key: ')", w(2), "1"),
+        (f"concat('AKIA', substr(upper({letters}), 1, 16))", f"concat({w(1)}, ' access key ')", w(2), "0"),
+        (f"concat('AKIA', substr(upper({letters}), 1, 16))", f"concat({w(1)}, ' bearer ')", w(2), "0"),
+        (f"concat('ghp_', {letters})", f"concat('bearer ', {w(1)}, ' ')", w(2), "0"),
+        (f"substr({letters}, 1, 16 + cast(pmod(i, 10) as int))", f"concat({w(1)}, ' bearer ')", w(2), "0"),
+        (f"substr({letters}, 1, 16 + cast(pmod(i, 10) as int))", f"concat({w(1)}, ' access key ')", w(2), "0"),
+        (letters, f"concat({w(1)}, ' secret = \"')", w(2), "1"),
     ]
     harmless = [
         ("cast(4000000000000000 + pmod(xxhash64(i, 5), 5000000000000000) as string)", w(1), w(2), "0"),
@@ -96,6 +104,16 @@ def labelled_findings(spark: SparkSession, known: list[str], each: int = 40) ->
         ("'changeme123'", "'password = '", w(2), "1"),
         (f"concat('example', substr({hexes[32]}, 1, 12))", "'secret: '", w(2), "1"),
         (hexes[40], f"concat('etag checksum ', {w(1)}, ' ')", w(2), "0"),
+        (strange(3, 4, 5, 6), w(1), w(2), "0"),
+        (strange(3, 4, 5, 6), f"concat({w(1)}, ' bearer ')", w(2), "0"),
+        (f"concat({strange(3, 4)}, ',')", f"concat({w(1)}, ': ')", w(2), "0"),
+        (f"upper({strange(3, 4, 5, 6)})", w(1), w(2), "0"),
+        (f"upper(substr({strange(3, 4, 5, 6, 7)}, 1, 16 + cast(pmod(i, 10) as int)))", w(1), w(2), "0"),
+        (f"upper(concat({w(3)}, {w(4)}, {w(5)}, {w(6)}))", w(1), w(2), "0"),
+        (f"substr({strange(3, 4, 5, 6, 7)}, 1, 16 + cast(pmod(i, 10) as int))", w(1), w(2), "0"),
+        (f"concat(initcap({w(3)}), initcap({w(4)}), initcap({w(5)}), initcap({w(6)}))", f"concat({w(1)}, ' access key ')", w(2), "0"),
+        (f"upper(concat({w(3)}, '_', {w(4)}, '_', {w(5)}, '_', {w(6)}))", f"concat({w(1)}, ' token ')", w(2), "0"),
+        (f"concat({w(3)}, '-', {w(4)}, '-', {w(5)}, '-', {w(6)})", f"concat({w(1)}, ' password ')", w(2), "0"),
     ]
     labelled = [(kind, label) for kinds, label in ((secrets, 1), (harmless, 0)) for kind in kinds]
     structs = ", ".join(
@@ -150,19 +168,16 @@ def scan(
         right = F.substring(F.get(around, i + 1), 1, CONTEXT)
         assigned = left.rlike(ASSIGNED)
         values = features(value, left, right, place, assigned, words)
-        worth = value.rlike("[0-9]") | assigned
-        return F.struct(value.alias("value"), worth.alias("worth"), *[v.alias(n) for v, n in zip(values, FEATURES)])
+        return F.struct(value.alias("value"), *[v.alias(n) for v, n in zip(values, FEATURES)])
 
     names = [f"c.{n}" for n in FEATURES]
     votes = " + ".join(f"({as_sql(tree, names)})" for tree in forest)
-    score = f"CASE WHEN c.worth THEN ({votes}) / {len(forest)}D ELSE 0D END"
-    judged = f"transform(`{described}`, c -> named_struct('value', c.value, 'worth', c.worth, 'score', {score}))"
+    judged = f"transform(`{described}`, c -> named_struct('value', c.value, 'score', ({votes}) / {len(forest)}D))"
     rows = rows.withColumn(described, let(F.col(gaps), lambda g: F.transform(found, lambda v, i: describe(g, v, i)))).withColumn(scored, F.expr(judged))
     candidate = lambda c, i: F.struct(
-        i.alias("place"), c["value"].alias("value"), c["score"].alias("score"), (c["score"] >= threshold).alias("secret"),
-        c["worth"].alias("worth"),
-    )
-    listed = F.transform(F.filter(F.transform(scored, candidate), lambda c: c["worth"]), lambda c: c.dropFields("worth"))
+        i.alias("place"), c["value"].alias("value"), c["score"].alias("score"), (c["score"] >= threshold).alias("secret")
+    )
+    listed = F.transform(scored, candidate)
     piece = lambda g, c, i: F.concat(
         F.get(g, i), F.when(c["score"] >= threshold, F.lit(MASK)).otherwise(c["value"])
     )

@@ -153,6 +153,21 @@ def test_secrets_are_found_and_masked_and_others_left(spark):
     assert rows[1].source == "src1" and rows[1]["a.b"] == "own"
 
 
+def test_secrets_without_a_digit_are_masked_and_every_candidate_is_listed(spark):
+    rnd, known = random.Random(3), ["alpha", "beta", "gamma", "delta", "epsilon", "of", "word"]
+    base32, letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tokens = ["AKIA" + "".join(rnd.choices(base32, k=16)) for _ in range(30)]
+    tokens += ["".join(rnd.choices(letters, k=k)) for k in (16, 20) for _ in range(30)]
+    plain = ["thisisaverylongwordwithoutdigits", "INTERNATIONALIZATION", "alpha_beta_gamma_delta", "alphabetagammadelta"]
+    texts = [f"word of {'access key' if i % 2 else 'bearer'} {v} beta" for i, v in enumerate(tokens)] + [f"word of {v} beta" for v in plain]
+    df = documents(spark, [(i, x, "src1") for i, x in enumerate(texts)])
+    rows = sorted(secret_scan.scan(df, "text", "source", known).collect(), key=lambda r: r.doc_id)
+    assert [[c.value for c in r.candidates] for r in rows] == [[v] for v in tokens + plain]
+    masked = [v not in r.redacted for v, r in zip(tokens + plain, rows)]
+    assert sum(masked[: len(tokens)]) >= 0.9 * len(tokens)
+    assert not any(masked[len(tokens) :])
+
+
 def test_forest_holds_on_findings_it_was_not_trained_on(spark):
     known = ["alpha", "beta", "gamma", "delta", "epsilon"]
     forest = secret_scan.fit(secret_scan.labelled_findings(spark, known), known)
