@@ -34,12 +34,33 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written under the shared folder and read again, and its path."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def drop_stored(spark: SparkSession, *paths: str | None) -> None:
+    """Delete tables that ``stored`` wrote, once nothing reads them any more."""
+    for path in paths:
+        if path is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def worker_state(key: str, make: Callable[[], object]):
-    """An object kept in the Python worker across tasks (tables built by rule, loaded tokenizers)."""
+    """One object kept in the Python worker across tasks (a table built by rule, a loaded tokenizer).
+
+    Workers outlive a stage, so only the object asked for last is held and its memory is bounded by that.
+    """
     holder = sys.modules.setdefault("_parcelry_worker", types.ModuleType("_parcelry_worker"))
-    if key not in holder.__dict__:
-        holder.__dict__[key] = make()
-    return holder.__dict__[key]
+    if getattr(holder, "key", None) != key:
+        holder.key = holder.value = None
+        pa.default_memory_pool().release_unused()
+        holder.value = make()
+        holder.key = key
+    return holder.value
 
 
 def ascii_lower(column: Column) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelry.llm import decontaminate, html_text, packing, quality, secret_scan, sharding, simhash, substring_dedup, suffix_tree, token_files
+from parcelry.llm import (
+    centroid_clusters, decontaminate, fill_in_middle, html_text, language_id, packing, quality, secret_scan, sharding, simhash,
+    substring_dedup, suffix_tree, token_files,
+)
 from parcelry.llm.common import read, scratch_path
 from parcelry.plans.registry import Registry
 
@@ -95,3 +98,28 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 7 == 2
     scored = suffix_tree.score(read(spark, sf_dir, "documents"), "doc_id", "text", ~held_out)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@registry.query(fill_in_middle.SQL)
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return made.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", digest(F.col("fim.output")).alias("output_sha256"),
+        digest(fill_in_middle.restored(F.col("fim.output"), F.col("fim.form"))).alias("restored_sha256"),
+    )
+
+
+@registry.query(centroid_clusters.sql())
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clusters.clustered(read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return found.withColumnRenamed("key", "vec_id").drop("evaluated")
+
+
+@registry.query()
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 3 == 1
+    fitted = language_id.fit(documents.where(~held_out), "text", "lang", "doc_id")
+    judged = language_id.identify(documents.select("doc_id", "text", held_out.alias("held_out")), "text", fitted)
+    return judged.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score", "language.rejected")
