@@ -1,7 +1,8 @@
 """Token ids of whole texts, by a public tokenizer that is loaded once in each worker.
 
-Both tokenizers cut a text at white space before any merge, so the ids of a text are the ids of its
-space-separated chunks one after the other. A chunk that a worker has met is not encoded again.
+Both tokenizers cut a text at white space, and between words and punctuation, before any merge. The ids
+of a text so are the ids of its pieces, cut at some of these places, one after the other. A piece that a
+worker has met is not encoded again.
 """
 
 from __future__ import annotations
@@ -18,103 +19,149 @@ from parcelry.llm.common import worker_state
 WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: A space that a byte-level tokenizer does not simply give to the word behind it.
 LOOSE_SPACE = f"^ | $| [{WHITE}]|[{WHITE}] "
+#: What a byte may be: part of a word, punctuation that ends one, any visible ASCII character.
+WORD, POINT, PLAIN = 1, 2, 4
+
+
+def kinds() -> np.ndarray:
+    found = np.zeros(256, np.uint8)
+    for byte in range(33, 127):
+        found[byte] = PLAIN | (WORD if chr(byte).isalnum() else 0) | (POINT if chr(byte) in ".,;:!?" else 0)
+    return found
+
+
+KINDS = kinds()
+
+
+def cut_at_words(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Where the pieces begin: at every space, at points behind a word, before and behind a single line
+    break between visible characters, and where a text begins. ``edges`` are the texts' begins and the end."""
+    kind = KINDS[data]
+    cut = data == 32
+    cut[1:] |= ((kind[1:] & POINT) != 0) & ((kind[:-1] & WORD) != 0)
+    own = edges[:-1][np.diff(edges) > 0]
+    plain = (kind & PLAIN) != 0
+    breaks = np.flatnonzero((data[1:-1] == 10) & plain[:-2] & plain[2:]) + 1
+    inner = np.ones(len(data) + 1, bool)
+    inner[edges] = False
+    breaks = breaks[inner[breaks] & inner[breaks + 1]]
+    cut[breaks] = cut[breaks + 1] = cut[own] = True
+    return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Encodes arrays of texts.
+    """Encodes arrays of texts as the library does with ``add_special_tokens=False``.
 
     ``spaced`` says that a space belongs to the word behind it (byte-level tokenizers) rather than
-    being dropped. ``max_chunks`` and ``max_chars`` bound the memory of known chunks.
+    being dropped. A text that has the string of a special token is encoded whole. ``max_pieces`` and
+    ``max_chars`` bound the memory of known pieces.
     """
 
-    def __init__(self, path: str, spaced: bool, max_chunks: int = 600_000, max_chars: int = 16 << 20):
+    def __init__(self, path: str, spaced: bool, max_pieces: int = 600_000, max_chars: int = 16 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.spaced, self.max_chunks, self.max_chars = spaced, max_chunks, max_chars
-        self.folded = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
+        self.spaced, self.max_pieces, self.max_chars = spaced, max_pieces, max_chars
+        self.folded = self.ids("A") == self.ids("a")
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # In a byte-level vocabulary every character of a token stands for a byte.
+        size = self.tokenizer.get_vocab_size() if spaced else 0
+        self.bytes = np.fromiter((len(self.tokenizer.id_to_token(i) or "") for i in range(size)), np.int64, size)
         self.forget()
 
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.chars, self.used = 0, 0
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def learn(self, fresh: list[str]) -> None:
-        """Encode new chunks, many joined to one text; a token belongs to the chunk that it starts in."""
-        sep = "" if self.spaced else " "
-        parts = [fresh[at : at + 200] for at in range(0, len(fresh), 200)]
-        for part, found in zip(parts, self.tokenizer.encode_batch(list(map(sep.join, parts)), add_special_tokens=False)):
-            lengths = np.fromiter(map(len, part), np.int64, len(part)) + len(sep)
-            begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
-            sizes = np.bincount(np.searchsorted(np.cumsum(lengths), begins, side="right"), minlength=len(part))
-            low, total = len(self.number), len(found)
-            self.flat = grown(self.flat, self.used + total)
-            self.starts, self.sizes = grown(self.starts, low + len(part)), grown(self.sizes, low + len(part))
-            self.flat[self.used : self.used + total] = found.ids
-            self.sizes[low : low + len(part)] = sizes
-            self.starts[low : low + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.used += total
-            self.chars += int(lengths.sum())
-            self.number.update(zip(part, range(low, low + len(part))))
-
-    def numbers(self, chunks: pa.Array, before: str = "") -> np.ndarray:
-        """Number of each chunk, new ones learnt first."""
-        coded = chunks.dictionary_encode()
-        known = [before + c for c in coded.dictionary.to_pylist()]
-        fresh = [c for c in known if c not in self.number]
-        if fresh:
-            self.learn(fresh)
-        get = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))
-        return get[coded.indices.to_numpy()]
+    def add(self, pieces: list[str], ids: list[int], sizes: np.ndarray) -> None:
+        low, total = len(self.number), len(ids)
+        self.flat = grown(self.flat, self.used + total)
+        self.starts, self.sizes = grown(self.starts, low + len(pieces)), grown(self.sizes, low + len(pieces))
+        self.flat[self.used : self.used + total] = ids
+        self.sizes[low : low + len(pieces)] = sizes
+        self.starts[low : low + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        self.number.update(zip(pieces, range(low, low + len(pieces))))
+        self.chars += sum(map(len, pieces))
+
+    def learn(self, fresh: list[str], together: int = 200, at_once: int = 8000) -> None:
+        """Encode new pieces; of those that can stand in one text many are joined, and a token belongs to
+        the piece that it starts in."""
+        alone = [p for p in fresh if self.spaced and p[0] != " "]
+        joined = [p for p in fresh if p[0] == " "] if self.spaced else fresh
+        for at in range(0, len(alone), at_once):
+            part = alone[at : at + at_once]
+            found = [f.ids for f in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self.add(part, [i for ids in found for i in ids], np.fromiter(map(len, found), np.int64, len(found)))
+        for at in range(0, len(joined), at_once):
+            parts = [joined[i : i + together] for i in range(at, min(at + at_once, len(joined)), together)]
+            if self.spaced:
+                for part, found in zip(parts, self.tokenizer.encode_batch_fast(list(map("".join, parts)), add_special_tokens=False)):
+                    ids = found.ids
+                    ends = np.cumsum(pc.binary_length(pa.array(part, pa.string())).to_numpy(), dtype=np.int64)
+                    self.add(part, ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right"), prepend=0))
+            else:
+                for part, found in zip(parts, self.tokenizer.encode_batch(list(map(" ".join, parts)), add_special_tokens=False)):
+                    ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+                    begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+                    self.add(part, found.ids, np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(part)))
+
+    def numbers(self, pieces: pa.Array) -> np.ndarray:
+        """Number of each piece, new ones learnt first."""
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.number.get, names))
+        if None in found:
+            self.learn([n for n, number in zip(names, found) if number is None])
+            found = list(map(self.number.__getitem__, names))
+        return np.array(found, np.int64)[coded.indices.to_numpy()]
 
     def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the chunks one after the other, and how many each has."""
+        """Ids of the pieces one after the other, and how many each has."""
         sizes = self.sizes[numbers]
         ends = np.cumsum(sizes)
         place = np.repeat(self.starts[numbers] - ends + sizes, sizes)
         place += np.arange(len(place))
         return self.flat[place], sizes
 
+    def whole(self, texts: pa.Array) -> np.ndarray:
+        """Texts that cannot be cut at spaces: with the string of a special token, or with loose spaces."""
+        found = pa.array(np.zeros(len(texts), bool))
+        lower = pc.utf8_lower(texts)
+        for content in self.special:
+            found = pc.or_(found, pc.match_substring(lower, content))
+        if self.spaced:
+            found = pc.or_(found, pc.match_substring_regex(texts, LOOSE_SPACE))
+        return found.to_numpy(zero_copy_only=False)
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (null: none)."""
-        if len(self.number) > self.max_chunks or self.chars > self.max_chars:
+        if len(self.number) > self.max_pieces or self.chars > self.max_chars:
             self.forget()
         if not len(texts):
             return []
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        if self.folded:
-            texts = pc.ascii_lower(texts)
-        alone = np.zeros(len(texts), bool)
-        if self.spaced:
-            alone = pc.match_substring_regex(texts, LOOSE_SPACE).to_numpy(zero_copy_only=False)
-        parts = pc.split_pattern(pc.if_else(pa.array(alone), "", texts), " ")
-        edges = parts.offsets.to_numpy().astype(np.int64)
-        chunks = parts.flatten()
-        edges = edges - edges[0]
-        if self.spaced:
-            numbers = self.numbers(chunks, " ")
-            numbers[edges[:-1]] = self.numbers_apart(chunks.take(pa.array(edges[:-1])))
-        else:
-            numbers = self.numbers(chunks)
+        alone = self.whole(texts)
+        cut = pc.if_else(pa.array(alone), "", texts)
+        cut = pc.ascii_lower(cut) if self.folded else cut
+        edges = np.concatenate([[0], np.cumsum(pc.binary_length(cut).to_numpy(), dtype=np.int64)])
+        content = pa.py_buffer(b"".join(cut.cast(pa.binary()).to_pylist()))
+        begins = cut_at_words(np.frombuffer(content, np.uint8), edges) if len(content) else np.zeros(0, np.int64)
+        offsets = pa.py_buffer(np.append(begins, edges[-1]).astype(np.int32))
+        numbers = self.numbers(pa.StringArray.from_buffers(len(begins), offsets, content))
         flat, sizes = self.ids_of(numbers)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[edges[1:]]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(begins, edges[1:])]
         found = np.split(flat, ends[:-1])
         for i in np.flatnonzero(alone):
-            found[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            found[i] = np.array(self.ids(texts[i].as_py()), np.uint32)
         return found
 
-    def numbers_apart(self, chunks: pa.Array) -> np.ndarray:
-        """Numbers of chunks without a space in front, which cannot be joined to others when learnt."""
-        names = chunks.to_pylist()
-        for name in dict.fromkeys(names):
-            if name not in self.number:
-                self.learn([name])
-        return np.fromiter(map(self.number.__getitem__, names), np.int64, len(names))
-
 
 def grown(array: np.ndarray, size: int) -> np.ndarray:
     if size <= len(array):

@@ -78,6 +78,8 @@ class Packer:
         while piece is not None:
             key, vector, ids, loss, at = piece
             fits = (self.room >= vector).all(axis=1) & (self.room[:, 1] > 0)
+            # The last segment of a sequence is for a piece that fills it, cut to size if need be.
+            fits &= (self.room[:, 1] > 1) | (self.room[:, 0] == vector[0])
             if fits.any():
                 score = np.where(fits, (self.room / self.most) @ (vector / self.most), -1.0)
                 self.put(int(score.argmax()), piece)
@@ -90,21 +92,26 @@ class Packer:
                     return
                 target = empty
             else:
-                target = int(np.where(self.room[:, 1] > 0, self.room[:, 0], -1).argmax())
+                # Best one that the piece can fill; else the fullest gives up its last segment.
+                fillable = (self.room[:, 1] > 0) & (self.room[:, 0] <= vector[0])
+                if fillable.any():
+                    target = int(np.where(fillable, self.room[:, 0], -1).argmax())
+                else:
+                    self.finish(int(np.where(self.room[:, 1] > 0, self.room[:, 0], self.limits.tokens + 1).argmin()))
+                    continue
             size = self.cut(loss, at, at + int(vector[0]), self.room[target])
             if size <= 0 or self.room[target, 1] <= 0:
                 self.finish(target)
                 continue
             self.put(target, self.piece(key, ids, loss, at, size))
-            if self.held[target]:
-                self.finish(target)
+            self.finish(target)
             left = int(vector[0]) - size
             piece = self.piece(key, ids, loss, at + size, left) if left else None
 
     def put(self, target: int, piece: tuple) -> None:
         self.held[target].append(piece)
         self.room[target] -= piece[1]
-        if self.room[target, 0] == 0:
+        if not self.room[target, :2].all():
             self.finish(target)
 
     def finish(self, target: int) -> None:

@@ -16,6 +16,8 @@ registry = Registry()
 
 BYTE_BPE, BYTE_END = public_tokenizers.path("byte_bpe_50k.json"), 0
 WORD_BPE, WORD_END = public_tokenizers.path("word_bpe_49k.json"), 1
+#: A sequence holds pieces of sixteen documents at most.
+LIMITS = packing.Limits(segments=16)
 
 
 @registry.query()
@@ -28,7 +30,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registry.query()
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_texts(read(spark, sf_dir, "documents"), "doc_id", "text", WORD_BPE, WORD_END)
+    pieces = packing.pack_texts(read(spark, sf_dir, "documents"), "doc_id", "text", WORD_BPE, WORD_END, limits=LIMITS)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), F.col("example_tokens").alias("doc_tokens"),
         "sequence_id", "offset", "segment",

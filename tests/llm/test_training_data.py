@@ -251,10 +251,11 @@ def test_simple8b_round_trip(kind):
 def test_encoder_equals_the_library(name, spaced):
     rnd = random.Random(3)
     signs = ["a", "B", "é", "1", ".", " ", "\n", ",", "'s", "…", "\t", "  ", "\x85", "́", "-", "\x1c", "Σ"]
-    texts = ["".join(rnd.choices(signs, k=rnd.randrange(30))) for _ in range(3000)] + [None, "", " lead", "<|endoftext|>"]
+    texts = ["".join(rnd.choices(signs, k=rnd.randrange(30))) for _ in range(3000)] + [None, "", " lead", "<|endoftext|>", "a <|endoftext|> b", "A <|ENDOFTEXT|> b", "x <|startoftext|>"]
+    texts += ["one, two;three\nFour.\nFive\n", "\na", "a\n", "é\nb", "a\n\nb", "word.\u0338 =\u0338 x", "it's, he'll: \"x\""]
     tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-    tokenizer.encode_special_tokens = True
-    found = encoding.Encoder(public_tokenizers.path(name), spaced).encode(pa.array(texts))
+    encoder = encoding.Encoder(public_tokenizers.path(name), spaced, max_pieces=400)
+    found = [ids for at in range(0, len(texts), 500) for ids in encoder.encode(pa.array(texts[at : at + 500]))]
     assert [f.tolist() for f in found] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
@@ -321,6 +322,21 @@ def test_packed_texts(spark, odd_rows):
     assert packing.pack_texts(df.limit(0), "doc_id", "text", path, 1).count() == 0
 
 
+def test_a_segment_limit_that_binds_leaves_no_padding(spark):
+    rnd = np.random.default_rng(8)
+    limits = packing.Limits(tokens=256, segments=4, loss=256, open_sequences=8)
+    sizes = np.concatenate([rnd.integers(1, 40, 1200), rnd.integers(100, 900, 300)])
+    rows = [(i, rnd.integers(0, 9, n).astype("<u4").tobytes()) for i, n in enumerate(rnd.permutation(sizes).tolist())]
+    got = packing.pack_examples(spark.createDataFrame(rows, "key long, ids binary").repartition(2), "key", "ids", None, limits).collect()
+    check_pieces(got, Counter({i: len(b) // 4 for i, b in rows}), limits)
+    held, segments = Counter(), Counter()
+    for r in got:
+        held[r.sequence_id] += r.length
+        segments[r.sequence_id] += 1
+    assert sum(n == limits.segments for n in segments.values()) > len(segments) / 10
+    assert sum(limits.tokens - n for n in held.values()) < 0.02 * sum(held.values())
+
+
 # --- Sharding
 
 
