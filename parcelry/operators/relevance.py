@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import queue
+import threading
+import time
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -32,7 +36,7 @@ from parcelry.operators.dedup import first_per_key, without_keys
 from parcelry.schema import VERDICT
 from parcelry.session import task_slots
 
-# A model takes prompts and gives one answer text each; an exception fails its whole batch.
+# A model takes prompts and gives one answer text each, from several threads; an exception fails its whole call.
 Model = Callable[[pd.Series], pd.Series]
 
 PROMPT = (
@@ -113,40 +117,100 @@ def cache_lookup(df: DataFrame, cache: DataFrame, as_of: str, ttl_hours: int = 4
     return joined.withColumn("cache_hit", F.col("verdict").isNotNull())
 
 
+# Calls at a time, and seconds until a call is given up.
+CALLS_AT_A_TIME = 4
+CALL_SECONDS = 300.0
+
+
+class CallPool:
+    """Runs calls side by side, a bounded number at a time, each for a bounded time.
+
+    A call that takes too long is given up: its place goes to the next one and its late answer is
+    ignored. Python cannot end the thread it runs in, which is left behind and ends with the call or the worker.
+    """
+
+    def __init__(self, call: Callable, size: int, seconds: float):
+        self.call, self.size, self.seconds = call, size, seconds
+        self.finished: queue.SimpleQueue = queue.SimpleQueue()
+        self.running: dict[int, tuple] = {}
+        self.started = 0
+
+    def start(self, job) -> None:
+        number, self.started = self.started, self.started + 1
+
+        def work() -> None:
+            try:
+                self.finished.put((number, self.call(job), None))
+            except Exception as problem:  # a failed call is data: the caller decides
+                self.finished.put((number, None, problem))
+
+        self.running[number] = (job, time.monotonic() + self.seconds)
+        threading.Thread(target=work, daemon=True).start()
+
+    def outcomes(self, jobs: Iterator, again: Callable = lambda job, problem: ()) -> Iterator[tuple]:
+        """(job, result, exception) in the order of completion. ``jobs`` is read as places get free; if
+        ``again`` names jobs for a failed one, these are run in its stead."""
+        waiting: deque = deque()
+        more = iter(jobs)
+        while True:
+            while len(self.running) < self.size:
+                job = waiting.popleft() if waiting else next(more, None)
+                if job is None:
+                    break
+                self.start(job)
+            if not self.running:
+                return
+            first = min(self.running, key=lambda n: self.running[n][1])
+            try:
+                left = max(0.0, self.running[first][1] - time.monotonic())
+                number, result, problem = self.finished.get(timeout=left)
+            except queue.Empty:
+                number, result, problem = first, None, TimeoutError(f"call timed out after {self.seconds:g} s")
+            if number not in self.running:
+                continue  # the late end of a call that was given up
+            job, _ = self.running.pop(number)
+            retries = again(job, problem) if problem is not None else ()
+            if retries:
+                waiting.extend(retries)
+            else:
+                yield job, result, problem
+
+
 @dataclass(frozen=True)
 class Caller:
-    """How the model is called on the workers."""
+    """How the model is called on the workers: rows of a call, tasks, calls at a time in a task, and seconds for each."""
 
     model: Model
     batch_rows: int = 50
     partitions: int | None = None
+    at_a_time: int = CALLS_AT_A_TIME
+    seconds: float = CALL_SECONDS
 
     def answers(self, prompts: DataFrame) -> DataFrame:
-        """``prompts(cache_key, prompt)`` to ``(cache_key, answer, call_error)``.
+        """``prompts(cache_key, prompt)`` to ``(cache_key, answer, call_error)``, in no order.
 
-        One task calls the model one batch at a time, so the partition count caps concurrency. It is
+        A task has ``at_a_time`` calls under way, so that with the partition count caps concurrency. The count is
         set explicitly because AQE merges the small shuffle before it into few tasks, and by a hash of
-        the key because a repartition by the grouping key itself would be dropped as redundant.
+        the key because a repartition by the grouping key itself would be dropped as redundant. Rows
+        of a call that fails, takes too long or gives a wrong number of answers are asked one by one, once.
         """
-        model, rows = self.model, self.batch_rows
+        model, rows, size, seconds = self.model, self.batch_rows, self.at_a_time, self.seconds
         width = self.partitions or task_slots(prompts.sparkSession)
 
+        def ask(part: pd.DataFrame) -> list:
+            answers = list(model(part["prompt"]))
+            if len(answers) != len(part):
+                raise ValueError(f"{len(answers)} answers to {len(part)} prompts")
+            return answers
+
+        def one_by_one(part: pd.DataFrame, problem: Exception) -> list[pd.DataFrame]:
+            return [part.iloc[i : i + 1] for i in range(len(part))] if len(part) > 1 else []
+
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for start in range(0, len(frame), rows):
-                    part = frame.iloc[start : start + rows]
-                    try:
-                        answer, error = list(model(part["prompt"])), [None] * len(part)
-                    except Exception:  # one call may have failed for all: ask row by row
-                        answer, error = [], []
-                        for i in range(len(part)):
-                            try:
-                                answer.append(list(model(part["prompt"].iloc[i : i + 1]))[0])
-                                error.append(None)
-                            except Exception as problem:  # a failed call is data: the policy decides
-                                answer.append(None)
-                                error.append(str(problem))
-                    yield pd.DataFrame({"cache_key": part["cache_key"], "answer": answer, "call_error": error})
+            parts = (frame.iloc[start : start + rows] for frame in frames for start in range(0, len(frame), rows))
+            for part, answers, problem in CallPool(ask, size, seconds).outcomes(parts, one_by_one):
+                error = None if problem is None else str(problem)
+                yield pd.DataFrame({"cache_key": part["cache_key"], "answer": answers or [None] * len(part), "call_error": [error] * len(part)})
 
         return prompts.repartition(width, F.xxhash64("cache_key")).mapInPandas(run, "cache_key string, answer string, call_error string")
 
@@ -271,6 +335,15 @@ def classify_in_batches(
     return settled.unionByName(judged_answers(single, policy).drop("call_failed"))
 
 
+@dataclass(frozen=True)
+class Trial:
+    """A trial run over the first rows by key: how many are taken, and how many of these go to the model."""
+
+    # Fixed values.
+    rows: int = 100
+    model_rows: int = 50
+
+
 @dataclass(frozen=True)
 class Decisions:
     """Outcome of a run: one row per key, and the cache entries it adds."""
@@ -287,6 +360,8 @@ def two_phase(
     as_of: str = "1970-01-01",
     policy: FailurePolicy = POLICIES["live"],
     keep: Callable[[DataFrame], DataFrame] | None = None,
+    trial: Trial | None = None,
+    key: str = "article_id",
 ) -> Decisions:
     """Rules decide what they can; only the rest reaches the model.
 
@@ -294,7 +369,10 @@ def two_phase(
     inside one expression would not keep them away from it. The rows stay in one flow, as filtering
     them into two halves would run the rules once per half.
     """
-    ruled = classify_by_rules(df, rules)
+    ruled = classify_by_rules(df if trial is None else df.orderBy(key).limit(trial.rows), rules)
+    if trial is not None:
+        asked = ruled.where("needs_llm").orderBy(key).limit(trial.model_rows)
+        ruled = ruled.where(~F.col("needs_llm")).unionByName(asked)
     title = F.col("title") if "title" in df.columns else F.lit("")
     text = F.when(F.col("needs_llm"), combined_text(title, "description"))
     own = ruled.withColumnsRenamed({"relevant": "_relevant", "reason": "_reason"})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 import pandas as pd
@@ -23,6 +24,7 @@ from parcelry.plans.bindings import (
 from parcelry.plans.registry import Registry, rounded
 from parcelry.schema import VERDICT
 from parcelry.session import ensure_checkpoint_dir
+from parcelry.streaming import verdict_cache
 from parcelry.streaming.incremental import detect_changes, first_seen
 
 registry = Registry()
@@ -380,6 +382,32 @@ def streaming_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/rows").select("text_id")
 
 
+@query(
+    """SELECT sha256(coalesce(text, '')) AS cache_key, count(*) AS n_rows, count(*) - 1 AS hits,
+       count(*) - count(DISTINCT doc_id % 2) AS hits_of_short_life FROM documents GROUP BY 1"""
+)
+def streaming_verdict_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in two increments through the cache, which is started again for the second: with the usual
+    life, and with one that is over before it."""
+    docs = table(spark, sf_dir, "documents")
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    folder, lives = _scratch(spark, "verdicts"), {"long": verdict_cache.TTL_HOURS * verdict_cache.HOUR_MS, "short": 1}
+    for part in (0, 1):
+        rows = docs.where(F.col("doc_id") % 2 == part).select(key.alias("cache_key"), F.concat(F.lit("answer "), key).alias("answer"))
+        rows.write.mode("append").parquet(f"{folder}/in")
+        for name, life in lives.items():
+            stream = spark.readStream.schema("cache_key string, answer string").parquet(f"{folder}/in")
+            verdict_cache.serve(stream, f"{folder}/{name}", f"{folder}/{name}-progress", life).awaitTermination()
+    served = [
+        spark.read.parquet(f"{folder}/{name}").groupBy("cache_key").agg(
+            F.count(F.lit(1)).alias(f"n_{name}"), F.count_if("cache_hit").alias(name)
+        )
+        for name in lives
+    ]
+    both = served[0].join(served[1], "cache_key")
+    return both.select("cache_key", F.col("n_long").alias("n_rows"), F.col("long").alias("hits"), F.col("short").alias("hits_of_short_life"))
+
+
 # ---- Cache and two-phase relevance ----------------------------------------------------------
 
 
@@ -544,6 +572,51 @@ def batch_model_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decided.select("cache_key", "verdict.relevant")
 
 
+#: Seconds that the unsteady stand-in gets for a call.
+PATIENCE = 2.0
+
+
+def unsteady_model(prompts: pd.Series) -> pd.Series:
+    """The stand-in, but some prompts (by their length) make it hang and some fail."""
+    size = prompts.str.len()
+    if (size % 200 == 7).any():
+        time.sleep(3 * PATIENCE)
+    if (size % 5 == 3).any():
+        raise RuntimeError("model away")
+    return stand_in_model(prompts)
+
+
+@query(
+    f"""WITH {ARTICLES_SQL}, texts AS (
+  SELECT 'llm_cache:' || sha256({_normal('description')}) AS cache_key, length(min(description)) + {_PROMPT_LENGTH} AS size
+  FROM articles WHERE description IS NOT NULL GROUP BY 1)
+SELECT cache_key, CASE WHEN size % 200 = 7 THEN 'call timed out after {PATIENCE:g} s' WHEN size % 5 = 3 THEN 'model away' END AS call_error,
+       size % 200 <> 7 AND size % 5 <> 3 AS answered FROM texts"""
+)
+def bounded_model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model that hangs and fails for some texts: what is asked together with those is answered all the same."""
+    texts = (
+        articles(spark, sf_dir)
+        .where(F.col("description").isNotNull())
+        .groupBy(text.cache_key("description").alias("cache_key"))
+        .agg(F.min("description").alias("text"))
+    )
+    prompts = texts.select("cache_key", relevance.prompt_for(F.col("text")).alias("prompt"))
+    answers = relevance.Caller(unsteady_model, batch_rows=3, at_a_time=8, seconds=PATIENCE).answers(prompts)
+    return answers.select("cache_key", "call_error", F.col("answer").isNotNull().alias("answered"))
+
+
+@query(
+    f"""WITH {DECIDED_SQL}, first_rows AS (SELECT article_id, filtered_by FROM decided ORDER BY article_id LIMIT 100)
+SELECT article_id, filtered_by FROM first_rows
+QUALIFY filtered_by = 'worker' OR row_number() OVER (PARTITION BY filtered_by ORDER BY article_id) <= 50"""
+)
+def trial_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trial mode of a run: the first hundred articles, of which fifty at most reach the model."""
+    run = relevance.two_phase(articles(spark, sf_dir), relevance.Caller(stand_in_model), trial=relevance.Trial())
+    return run.decided.select("article_id", "filtered_by")
+
+
 # ---- Sequences and boundaries ---------------------------------------------------------------
 
 

@@ -1,46 +1,89 @@
-"""Verdict cache as keyed streaming state that expires by itself."""
+"""Verdict cache as keyed streaming state whose values expire by themselves."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 # Fixed value: life of a cached verdict.
 TTL_HOURS = 48
+HOUR_MS = 3_600_000
 OUTPUT = "cache_key string, answer string, cache_hit boolean"
-STATE = "answer string, expires_ms long"
+#: The store keeps values on local disk beside their checkpoint, so state may outgrow memory. Without batches
+#: for timers alone a run over what is available comes to an end; values expire with the next batch.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
-def cached_answers(stream: DataFrame, ttl_hours: int = TTL_HOURS) -> DataFrame:
-    """``stream(cache_key, answer)`` with repeats answered from state until the first answer expires.
+class VerdictCache(StatefulProcessor):
+    """Answers of a key from its stored verdict; the state store drops a verdict when its life is over."""
 
-    Rows of a key arrive as batches of an iterator, so a key with very many rows is never held whole.
-    """
-    life = ttl_hours * 3_600_000
-
-    def serve(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = state.getCurrentProcessingTimeMs()
-        known, expires = state.get if state.exists else (None, 0)
-        if expires <= now:
-            known = None
-        for frame in frames:
+    def __init__(self, life_ms: int):
+        self.life_ms = life_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.verdict = handle.getValueState("verdict", "answer string", ttlDurationMs=self.life_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        known = self.verdict.get()[0] if self.verdict.exists() else None
+        for frame in rows:
             hits, answers = [], []
             for answer in frame["answer"]:
                 hits.append(known is not None)
                 if known is None and answer is not None:
-                    known, expires = answer, now + life
+                    known = answer
+                    self.verdict.update((known,))
                 answers.append(known)
             yield pd.DataFrame({"cache_key": key[0], "answer": answers, "cache_hit": hits})
-        if known is not None:
-            state.update((known, expires))
-            state.setTimeoutDuration(max(1, expires - now))
 
-    return stream.groupBy("cache_key").applyInPandasWithState(
-        serve, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+    def close(self) -> None:
+        pass
+
+
+def cached_answers(stream: DataFrame, life_ms: int = TTL_HOURS * HOUR_MS) -> DataFrame:
+    """``stream(cache_key, answer)`` with repeats answered from state until the first answer expires.
+
+    A row without an answer is a look-up and stores nothing. A stored answer keeps the life that it began
+    with. All rows of one micro-batch see the same moment. Rows of a key arrive as batches of an
+    iterator, so a key with very many rows is never held whole. Start the query under ``settings``.
+    """
+    return stream.groupBy("cache_key").transformWithStateInPandas(VerdictCache(life_ms), OUTPUT, "append", "processingTime")
+
+
+@contextmanager
+def settings(spark: SparkSession):
+    """The session as the cache needs it; a query keeps what holds when it starts."""
+    former = {k: spark.conf.get(k, None) for k in SETTINGS}
+    try:
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in former.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def serve(stream: DataFrame, output: str, checkpoint: str, life_ms: int = TTL_HOURS * HOUR_MS, **trigger) -> StreamingQuery:
+    """Write ``cached_answers`` to ``output``: all that is there by default, or by the given trigger.
+
+    A query started again with its checkpoint goes on with the verdicts that it held.
+    """
+    with settings(stream.sparkSession):
+        writer = cached_answers(stream, life_ms).writeStream.format("parquet").option("path", output)
+        return writer.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def held(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Rows (cache_key, answer) that a query keeps as state after its last batch, expired ones included until they are dropped."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "verdict").load()
+    return state.selectExpr("key.cache_key", "value.value.answer")

@@ -1,13 +1,16 @@
 """Relevance runs, sources, sinks and streams."""
 
 import json
+import threading
 import time
+from collections import Counter
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from parcelry.functions.text import cache_key
+from parcelry.functions.verdict import POLICIES
 from parcelry.operators import geo, incremental, relevance
 from parcelry.schema import CHECKSUM_STATE, DECISION_LOG, FEEDBACK, LISTING, VERDICT, VERDICT_CACHE
 from parcelry.session import cut_lineage
@@ -15,7 +18,7 @@ from parcelry.sinks import tables as sinks
 from parcelry.sources import tables, text_files
 from parcelry.streaming.incremental import detect_changes, first_seen, listing_stream, state_before
 from parcelry.streaming.progress import progress_report
-from parcelry.streaming.verdict_cache import cached_answers
+from parcelry.streaming.verdict_cache import SETTINGS, held, serve
 
 
 def rows(df):
@@ -96,8 +99,6 @@ def test_second_run_is_served_from_the_cache(spark, tmp_path):
 def test_failed_calls_follow_the_policy(spark):
     df = spark.createDataFrame(TEXTS[:1], TEXT_SCHEMA)
     for name, expected in (("live", False), ("scheduled", True)):
-        from parcelry.functions.verdict import POLICIES
-
         row = relevance.two_phase(df, relevance.Caller(failing), policy=POLICIES[name]).decided.first()
         assert row["relevant"] is expected and "model away" in row["reason"]
 
@@ -333,22 +334,7 @@ def test_state_cache_answers_repeats(spark, tmp_path):
     stream = listing_stream(spark, f"{folder}/in", LISTING, files_per_batch=1).select(
         F.col("article_id").alias("cache_key"), F.col("description").alias("answer")
     )
-    # Processing-time timeouts always want another batch, so the query is polled and stopped.
-    query = (
-        cached_answers(stream)
-        .writeStream.format("parquet")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/p")
-        .trigger(processingTime="1 second")
-        .start()
-    )
-    try:
-        for _ in range(60):
-            time.sleep(0.5)
-            if sum(r["rows"] for r in progress_report(query)) >= 4:
-                break
-    finally:
-        query.stop()
+    serve(stream, f"{folder}/out", f"{folder}/p").awaitTermination()
     got = rows(spark.read.parquet(f"{folder}/out").select("cache_key", "answer", "cache_hit"))
     assert got == [("k1", "first", False), ("k1", "first", True), ("k2", "x", False), ("k3", "y", False)]
 
@@ -366,3 +352,104 @@ def test_verdict_schema_matches_parser(spark):
 
     df = spark.createDataFrame([("{}",)], "a string").withColumn("key", cache_key("a"))
     assert with_strict_verdict(df, "a").schema["verdict"].dataType.simpleString() == VERDICT.simpleString()
+
+
+def cache_run(spark, folder, rows_in, life_ms):
+    """One more increment through the cache, from the checkpoint of the runs before."""
+    spark.createDataFrame(rows_in, "cache_key string, answer string").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema("cache_key string, answer string").parquet(f"{folder}/in")
+    query = serve(stream, f"{folder}/out", f"{folder}/p", life_ms)
+    query.awaitTermination()
+    assert query.exception() is None
+    return progress_report(query)
+
+
+def test_state_cache_goes_on_after_a_restart_and_forgets_in_time(spark, tmp_path):
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    long, short = str(tmp_path / "long"), str(tmp_path / "short")
+    for folder, life in ((long, 3_600_000), (short, 1)):
+        cache_run(spark, folder, [("a", None), ("a", "one"), ("a", "two"), ("b", None)], life)
+        cache_run(spark, folder, [("a", "three"), ("b", "late"), ("b", None), ("c", None)], life)
+    got = {f: Counter(tuple(r) for r in spark.read.parquet(f"{f}/out").select("cache_key", "answer", "cache_hit").collect()) for f in (long, short)}
+    first = Counter([("a", None, False), ("a", "one", False), ("a", "one", True), ("b", None, False)])
+    later = [("b", "late", False), ("b", "late", True), ("c", None, False)]
+    assert got[long] == first + Counter([("a", "one", True), *later])
+    assert got[short] == first + Counter([("a", "three", False), *later])
+    assert rows(held(spark, f"{long}/p")) == [("a", "one"), ("b", "late")]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) == provider and SETTINGS
+
+
+def test_expired_verdicts_leave_the_state(spark, tmp_path):
+    folder = str(tmp_path)
+    for i in range(3):
+        cache_run(spark, folder, [(f"k{i}-{j}", "x") for j in range(50)], 1)
+    assert held(spark, f"{folder}/p").count() <= 100
+
+
+def slow(prompts):
+    time.sleep(0.1)
+    return ["ok"] * len(prompts)
+
+
+def hanging(prompts):
+    if prompts.str.contains("hang").any():
+        time.sleep(20)
+    if prompts.str.contains("bad").any():
+        raise RuntimeError("bad prompt")
+    return ["ok"] * (len(prompts) + int(prompts.str.contains("short").any()))
+
+
+def test_calls_side_by_side_take_less_time(spark):
+    prompts = spark.createDataFrame([(f"k{i}", f"p{i}") for i in range(32)], "cache_key string, prompt string")
+
+    def seconds(at_a_time):
+        began = time.monotonic()
+        caller = relevance.Caller(slow, batch_rows=1, partitions=1, at_a_time=at_a_time)
+        assert Counter(r.answer for r in caller.answers(prompts).collect()) == {"ok": 32}
+        return time.monotonic() - began
+
+    seconds(8)  # the worker starts
+    assert seconds(8) < seconds(1) / 2
+
+
+def test_hanging_calls_are_given_up_and_keep_no_other_waiting(spark):
+    texts = ["hang" if i in (3, 20) else "bad" if i == 9 else "short" if i == 30 else "fine" for i in range(40)]
+    prompts = spark.createDataFrame([(f"k{i}", t) for i, t in enumerate(texts)], "cache_key string, prompt string")
+    caller = relevance.Caller(hanging, batch_rows=5, partitions=2, at_a_time=3, seconds=1.0)
+    began = time.monotonic()
+    got = {r.cache_key: (r.answer, r.call_error) for r in caller.answers(prompts).collect()}
+    assert time.monotonic() - began < 15 and len(got) == 40
+    errors = {"hang": "call timed out after 1 s", "bad": "bad prompt", "short": "2 answers to 1 prompts", "fine": None}
+    for i, t in enumerate(texts):
+        assert got[f"k{i}"] == ("ok" if t == "fine" else None, errors[t])
+    judged = relevance.judged_answers(caller.answers(prompts), POLICIES["scheduled"]).collect()
+    assert sum(r.call_failed for r in judged) == 4 and all(r.verdict.relevant for r in judged if r.call_failed)
+
+
+def test_pool_bounds_calls_under_way():
+    under_way, most, lock = [0], [0], threading.Lock()
+
+    def call(job):
+        with lock:
+            under_way[0] += 1
+            most[0] = max(most[0], under_way[0])
+        time.sleep(0.01)
+        with lock:
+            under_way[0] -= 1
+        return job * 2
+
+    read = []
+    pool = relevance.CallPool(call, 3, 5.0)
+    found = []
+    for job, result, problem in pool.outcomes(read.append(i) or i for i in range(1, 30)):
+        found.append((job, result))
+        assert problem is None and len(read) <= len(found) + 3
+    assert sorted(found) == [(i, 2 * i) for i in range(1, 30)] and most[0] <= 3
+
+
+def test_trial_mode_takes_the_first_rows_only(spark):
+    df = spark.createDataFrame([(f"{i:03d}", "lakás", "tulajdoni hányad" if i % 4 == 0 else f"szép {i}", 1e7) for i in range(60)], TEXT_SCHEMA).repartition(5)
+    got = relevance.two_phase(df, relevance.Caller(yes), trial=relevance.Trial(rows=20, model_rows=6)).decided.collect()
+    by_rules = sorted(r.article_id for r in got if r.filtered_by == "worker")
+    assert by_rules == [f"{i:03d}" for i in range(0, 20, 4)]
+    assert sorted(r.article_id for r in got if r.filtered_by == "llm") == ["001", "002", "003", "005", "006", "007"]
