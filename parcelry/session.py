@@ -73,11 +73,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def numbers_below(count: int) -> Column:
-    """Array of 0 to ``count - 1``, to be exploded where a row joins every block of another side."""
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1).cast("bigint"))
-
-
 def block_of(column: str, count: int) -> Column:
     """Hash block of a row."""
     return F.pmod(F.xxhash64(column), F.lit(count).cast("bigint"))

@@ -292,27 +292,54 @@ def reference_neighbours(train, queries, k):
 
 
 @pytest.mark.parametrize("width, spread", [(2, 6), (5, 20), (30, 1)])
-def test_neighbours_equal_brute_force_on_both_paths(spark, width, spread):
+def test_neighbours_equal_brute_force_however_space_is_cut(spark, width, spread, monkeypatch):
     random.seed(width)
     place = lambda: [float(random.randint(0, spread)) for _ in range(width)]
     train = [(f"k{i:04d}", place(), random.random()) for i in range(400)]
     train += [(f"h{i:04d}", [1.0] * width, float(i)) for i in range(200)]
-    queries = [(f"q{i}", place()) for i in range(60)] + [("hot", [1.0] * width)]
+    queries = [(f"q{i}", place()) for i in range(60)] + [("hot", [1.0] * width), ("far", [99.0] * width)]
     expected = reference_neighbours(train, queries, 10)
-    model = neighbours.NeighbourModel.fit(spark.createDataFrame(train, "key string, features array<double>, label double"), 10)
-    assert model.n_points <= 400 + 10
+    points = spark.createDataFrame(train, "key string, features array<double>, label double")
     df = spark.createDataFrame(queries, "key string, features array<double>")
-    for bound in (neighbours.BROADCAST_BYTES, 2000):
-        got = {r["key"]: r["prediction"] for r in model.predict(df, bound).collect()}
+    for cell_points, most in ((4000, 5000), (30, 7)):
+        # Small groups: cells are split into several parts of queries and of points.
+        monkeypatch.setattr(neighbours, "GROUP_QUERIES", most)
+        monkeypatch.setattr(neighbours, "GROUP_POINTS", most)
+        model = neighbours.NeighbourModel.fit(points, 10, cell_points)
+        assert model.n_points <= 400 + 10 and (cell_points > 400 or model.cuts.cells > 5)
+        got = {r["key"]: r["prediction"] for r in model.predict(df).collect()}
         assert got == pytest.approx(expected)
 
 
+def test_cells_asked_for_a_query_do_not_grow_with_the_points(spark):
+    pairs = []
+    for n in (1500, 6000):
+        rows = np.random.default_rng(n).uniform(0, 1, (n, 2)).tolist()
+        train = spark.createDataFrame([(f"k{i}", p, 1.0) for i, p in enumerate(rows)], "key string, features array<double>, label double")
+        model = neighbours.NeighbourModel.fit(train, 5, 100)
+        queries = spark.createDataFrame([(p,) for p in np.random.default_rng(1).uniform(0, 1, (200, 2)).tolist()], "features array<double>")
+        pairs.append(model.found(queries)[1].count() / 200)
+        assert model.cuts.cells >= n // 200
+    assert max(pairs) < 4
+
+
+def test_cuts_put_every_point_into_one_cell():
+    points = np.random.default_rng(2).integers(0, 3, (500, 3)).astype(float)
+    cuts = neighbours.Cuts.fit(points, 12)
+    cells = cuts.cell_of(points)
+    assert set(cells) == set(range(cuts.cells)) and cuts.cells == 12
+    assert neighbours.Cuts.fit(np.ones((9, 2)), 4).cells == 1 and neighbours.Cuts.fit(np.zeros((0, 2)), 4).cells == 1
+
+
 def test_fewer_points_than_neighbours(spark):
     model = neighbours.NeighbourModel.fit(
-        spark.createDataFrame([("a", [0.0], 1.0), ("b", [3.0], 4.0)], "key string, features array<double>, label double")
+        spark.createDataFrame([("a", [0.0], 1.0), ("b", [3.0], 4.0)], "key string, features array<double>, label double"), cell_points=1
     )
-    got = model.predict(spark.createDataFrame([("q", [1.0])], "key string, features array<double>")).first()["prediction"]
-    assert got == pytest.approx((1 / 1 * 1 + 1 / 2 * 4) / 1.5)
+    query = spark.createDataFrame([("q", [1.0])], "key string, features array<double>")
+    assert model.predict(query).first()["prediction"] == pytest.approx((1 / 1 * 1 + 1 / 2 * 4) / 1.5)
+    empty = neighbours.NeighbourModel.fit(spark.createDataFrame([], "key string, features array<double>, label double"))
+    assert empty.predict(query).first()["prediction"] is None
+    assert model.predict(query.limit(0)).count() == 0
 
 
 # ---- Price models -----------------------------------------------------------------------------
