@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelry.operators import dedup, features, metrics, neighbours, pricing, similarity
+from parcelry.operators import dedup, features, gram, metrics, neighbours, pricing, similarity
+from parcelry.operators.model_stages import NeighbourRegressor
 from parcelry.plans.bindings import LISTINGS_SQL, TIE_BREAK, documents, labelled_documents, listings
 from parcelry.plans.listing_queries import FIRST_ORDER_SQL
 from parcelry.plans.registry import Registry, rounded
 from parcelry.plans.text_queries import _normal
+from parcelry.session import ensure_checkpoint_dir
 
 registry = Registry()
 query = registry.query
@@ -210,8 +216,7 @@ def _points(rows: DataFrame) -> DataFrame:
     return ready.select(F.col("article_id").alias("key"), position.alias("features"), F.log("price_huf").alias("label"))
 
 
-@query(
-    f"""WITH {MODEL_ROWS_SQL}, points AS (
+KNN_SQL = f"""WITH {MODEL_ROWS_SQL}, points AS (
   SELECT r.key, r.label, r.training, r.area_sqm AS a, coalesce(k.rooms, 0) AS b, r.floor * 2 AS c, r.m AS d, r.has_terrace * 5 AS e
   FROM ready r JOIN kept k ON r.key = k.article_id
 ), places AS (SELECT DISTINCT a, b, c, d, e FROM points WHERE NOT training
@@ -230,7 +235,9 @@ def _points(rows: DataFrame) -> DataFrame:
   FROM parts GROUP BY a, b, c, d, e)
 SELECT key, round(label, 6) AS label, round(prediction, 6) AS prediction
 FROM points JOIN predicted USING (a, b, c, d, e) WHERE NOT training"""
-)
+
+
+@query(KNN_SQL)
 def knn_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _points(features.training_rows(_model_listings(spark, sf_dir)))
     train, test = pricing.split(points)
@@ -238,6 +245,19 @@ def knn_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scored.select("key", "label", "prediction"), 6, "label", "prediction")
 
 
+@query(KNN_SQL)
+def knn_price_served(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a model that was saved and read again."""
+    train, test = (
+        rows.withColumn("features", array_to_vector("features"))
+        for rows in pricing.split(_points(features.training_rows(_model_listings(spark, sf_dir))))
+    )
+    path = f"{ensure_checkpoint_dir(spark)}/neighbours-{uuid.uuid4().hex}"
+    PipelineModel([NeighbourRegressor(standardize=False).fit(train)]).save(path)
+    scored = PipelineModel.load(path).transform(test)
+    return rounded(scored.select("key", "label", "prediction"), 6, "label", "prediction")
+
+
 # ---- Price models ---------------------------------------------------------------------------
 
 # Smaller trees than the library defaults, so that all models fit in about a minute on few cores.
@@ -272,9 +292,56 @@ def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.top_features(pricing.importances(spark, forest, data.features))
 
 
+_RIDGE_SQL = f"""WITH {LISTINGS_SQL}, rows AS (
+  SELECT article_id, district, area_sqm AS a, coalesce(floor, 0) AS b, ln(price_huf) AS y FROM listings
+), sums AS (
+  SELECT district, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my,
+         var_pop(a) * count(*) + 1 AS aa, var_pop(b) * count(*) + 1 AS bb, covar_pop(a, b) * count(*) AS ab,
+         covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS cy FROM rows GROUP BY district
+), solved AS (
+  SELECT district, n, ma, mb, my, (ay * bb - cy * ab) / (aa * bb - ab * ab) AS wa, (cy * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM sums)
+"""
+
+
+@query(
+    _RIDGE_SQL + "SELECT district, n AS n_rows, round(wa, 7) AS area_weight, round(wb, 6) AS floor_weight, "
+    "round(my - ma * wa - mb * wb, 5) AS intercept FROM solved"
+)
+def district_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge of the log price on area and floor, for every district, from one pass over the listings."""
+    fitted = _district_ridge(_ridge_rows(spark, sf_dir))
+    return fitted.select(
+        "district", "n_rows", F.round(F.col("weights")[0], 7).alias("area_weight"), F.round(F.col("weights")[1], 6).alias("floor_weight"),
+        F.round("intercept", 5).alias("intercept"),
+    )
+
+
+@query(
+    _RIDGE_SQL + "SELECT article_id, count(*) AS n_rows, round(sum(y), 4) AS label, round(sum(my + (a - ma) * wa + (b - mb) * wb), 4) AS prediction "
+    "FROM rows JOIN solved USING (district) GROUP BY article_id"
+)
+def district_ridge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing scored by the ridge of its district (labels and predictions of a repeated id are added up)."""
+    rows = _ridge_rows(spark, sf_dir)
+    scored = gram.predict(rows, _district_ridge(rows), ["district"], "features")
+    return scored.groupBy("article_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("label"), 4).alias("label"), F.round(F.sum("prediction"), 4).alias("prediction")
+    )
+
+
+def _ridge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = listings(spark, sf_dir, ["article_id", "district", "area_sqm", "floor", "price_huf"])
+    position = F.array(F.col("area_sqm").cast("double"), F.coalesce(F.col("floor"), F.lit(0)).cast("double"))
+    return rows.select("article_id", "district", position.alias("features"), F.log("price_huf").alias("label"))
+
+
+def _district_ridge(rows: DataFrame) -> DataFrame:
+    return gram.solve_ridge(gram.gram_statistics(rows, ["district"], "features", "label"), pricing.Settings().ridge_alpha)
+
+
 @query()
 def price_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing scored with the ridge model of the training rows."""
     data = _price_data(spark, sf_dir)
     ridge = pricing.fit_ridge(data.train, SMALL.ridge_alpha)
-    return pricing.score(_model_listings(spark, sf_dir), ridge, data.features)
+    return pricing.score(_model_listings(spark, sf_dir), pricing.served(data.features, ridge))

@@ -1,15 +1,18 @@
 import math
 import random
 import statistics
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelry.operators import contracts, dedup, features, geo, incremental, listings, metrics, neighbours, pricing
+from parcelry.operators import contracts, dedup, features, geo, gram, incremental, listings, metrics, neighbours, pricing
 from parcelry.operators import similarity, stats, trends
 from parcelry.operators.quantiles import exact_medians
+from tests.conftest import ROOT
 
 
 def rows(df):
@@ -396,6 +399,47 @@ def test_ridge_equals_closed_form(spark):
     assert model.intercept == pytest.approx(y.mean() - x.mean(axis=0) @ exact, rel=1e-6)
 
 
+def test_saved_models_are_read_by_another_process(spark, tmp_path):
+    df = price_listings(spark, 120)
+    data = pricing.PriceData.of(df)
+    base = [lambda t: pricing.fit_forest(t, 2, 3), lambda t: pricing.fit_neighbours(t, 3)]
+    stack = pricing.served(data.features, pricing.fit_stack(data.train, base, 1.0))
+    pricing.save_model(str(tmp_path / "m"), stack, spark.range(1))
+    df.write.parquet(str(tmp_path / "rows"))
+    expected = {r.article_id: r.predicted_price for r in pricing.score(df, stack).collect()}
+    script = (
+        "import sys; from parcelry.session import local_session; from parcelry.operators import pricing; p = sys.argv[1]; s = local_session(2, 2)\n"
+        "pricing.score(s.read.parquet(p + '/rows'), pricing.load_model(p + '/m')).write.parquet(p + '/scores')"
+    )
+    subprocess.run([sys.executable, "-c", script, str(tmp_path)], check=True, cwd=ROOT, timeout=180, capture_output=True)
+    assert {r.article_id: r.predicted_price for r in spark.read.parquet(str(tmp_path / "scores")).collect()} == pytest.approx(expected)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_ridge_from_sums_of_products_equals_the_closed_form(spark, parts):
+    rnd = np.random.default_rng(parts)
+    data = []
+    for group, n in (("a", 3000), ("b", 5), (None, 40), ("flat", 3), ("one", 1)):
+        x = rnd.normal(50, 9, (n, 3)) if group != "flat" else np.ones((n, 3))
+        y = 17 + x @ [0.02, -0.01, 0.0] + rnd.normal(0, 0.1, n)
+        data += [(group, p, float(v)) for p, v in zip(x.tolist(), y)]
+    df = spark.createDataFrame([*data, ("a", None, 1.0), ("a", [1.0, 2.0, 3.0], None)], "g string, features array<double>, label double").repartition(parts)
+    fitted = gram.solve_ridge(gram.gram_statistics(df, ["g"], "features", "label"), 2.0)
+    got = {r.g: r for r in fitted.collect()}
+    assert set(got) == {"a", "b", None, "flat", "one"}
+    for group, row in got.items():
+        x, y = (np.array([d[i] for d in data if d[0] == group]) for i in (1, 2))
+        centred = x - x.mean(axis=0)
+        exact = np.linalg.solve(centred.T @ centred + 2 * np.eye(3), centred.T @ (y - y.mean()))
+        assert row.n_rows == len(y) and row.weights == pytest.approx(exact, rel=1e-8, abs=1e-12)
+        assert row.intercept == pytest.approx(y.mean() - x.mean(axis=0) @ exact)
+    scored = gram.predict(df, fitted, ["g"], "features")
+    assert scored.count() == len(data) + 2 and scored.where("prediction is null").count() == 1
+    whole = gram.solve_ridge(gram.gram_statistics(df, [], "features", "label"), 2.0).collect()
+    assert len(whole) == 1 and whole[0].n_rows == len(data) and 0 <= whole[0].r2 <= 1
+    assert gram.solve_ridge(gram.gram_statistics(df.limit(0), ["g"], "features", "label"), 2.0).count() == 0
+
+
 def test_compare_select_save_and_score(spark, tmp_path):
     df = price_listings(spark)
     data = pricing.PriceData.of(df)
@@ -404,12 +448,18 @@ def test_compare_select_save_and_score(spark, tmp_path):
     got = comparison.collect()
     assert {r["model"] for r in got} == {"Random Forest", "Boosted Trees", "KNN", "Stacking Ensemble"} == set(fitted)
     assert pricing.select_best(comparison) == got[0]["model"] and got[0]["test_r2"] > 0.8
-    ridge = pricing.fit_ridge(data.train, 1.0)
-    pricing.save_model(spark, str(tmp_path / "m"), "ridge", ridge, data.features, comparison)
-    model, loaded = pricing.load_model(spark, str(tmp_path / "m"))
-    assert loaded == data.features
-    scored = pricing.score(df.drop("delivery_day"), model, loaded)
-    assert scored.count() == 600 and scored.first()["formatted_price"].endswith(" Ft")
+    fitted["Ridge"] = pricing.fit_ridge(data.train, 1.0)
+    for name, model in fitted.items():
+        whole, path = pricing.served(data.features, model), str(tmp_path / name)
+        pricing.save_model(path, whole, comparison)
+        pricing.save_model(path, whole, comparison)  # over the former one
+        loaded = pricing.load_model(path)
+        assert loaded.stages[0].fitted == data.features
+        scored = pricing.score(df.drop("delivery_day"), loaded)
+        prices = {r.article_id: r.predicted_price for r in scored.collect()}
+        assert prices == pytest.approx({r.article_id: r.predicted_price for r in pricing.score(df.drop("delivery_day"), whole).collect()})
+        assert len(prices) == 600 and scored.first()["formatted_price"].endswith(" Ft")
+    assert {r["model"] for r in spark.read.json(f"{path}/metrics").collect()} == {r["model"] for r in got}
     forest = pricing.fit_forest(data.train, 5, 5)
     top = metrics.top_features(pricing.importances(spark, forest, data.features), 3).collect()
     assert top[0]["feature"] == "area_sqm" and len(top) == 3
