@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from parcelry.functions.dates import month_start, to_timestamp
+from parcelry.operators import console
 
 LISTING_VIEW = "relevant_data"
 # Columns of a district listing, in order.
@@ -130,24 +131,9 @@ def console_text(name: str, **values: str) -> str:
     return CONSOLE[name].format(**quoted)
 
 
-class NotASelect(ValueError):
-    """The console got something other than one query."""
-
-
 def run_console(spark: SparkSession, listings: DataFrame, text: str) -> DataFrame:
-    """Run one query over the listings.
-
-    Spark's own parser rejects several statements at once; commands and writes are refused by the
-    leading keyword, before analysis could run them.
-    """
-    body = text.strip().rstrip(";").strip()
-    bare = re.sub(r"--[^\n]*|/\*.*?\*/", " ", body, flags=re.S).lstrip(" \t\r\n(")
-    if not re.match(r"(select|with|values)\b", bare, re.I):
-        raise NotASelect("only a single SELECT is accepted")
-    if re.match(r"with\b", bare, re.I) and re.search(r"\binsert\s+(into|overwrite)\b", bare, re.I):
-        raise NotASelect("only a single SELECT is accepted")
-    listings.createOrReplaceTempView(LISTING_VIEW)
-    return spark.sql(body)
+    """Run one query over the listings."""
+    return console.run_console(spark, {LISTING_VIEW: listings}, text)
 
 
 def clean_generated_sql(text: str) -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from parcelry.functions.dates import share_percent, to_timestamp, whole_days_between
 from parcelry.functions.text import duration, grouped_number, rate
@@ -133,18 +135,45 @@ def layer_counts(df: DataFrame, flag: str = "relevant") -> DataFrame:
     )
 
 
+def run_counts(stage: str = "filtered_by", flag: str = "relevant") -> dict[str, Column]:
+    """Totals of a classification run, by deciding stage."""
+    return {
+        "processed": F.count(F.lit(1)),
+        "relevant_total": F.count_if(F.col(flag)),
+        "irrelevant_total": F.count_if(~F.col(flag)),
+        "rule_irrelevant": F.count_if((F.col(stage) == "worker") & ~F.col(flag)),
+        "model_decided": F.count_if(F.col(stage) == "llm"),
+    }
+
+
 def run_summary(decisions: DataFrame, stage: str = "filtered_by", flag: str = "relevant") -> DataFrame:
-    """Totals of a classification run, by deciding stage, with the share the model had to decide."""
-    total = F.count(F.lit(1))
-    by_model = F.count_if(F.col(stage) == "llm")
-    return decisions.agg(
-        total.alias("processed"),
-        F.count_if(F.col(flag)).alias("relevant_total"),
-        F.count_if(~F.col(flag)).alias("irrelevant_total"),
-        F.count_if((F.col(stage) == "worker") & ~F.col(flag)).alias("rule_irrelevant"),
-        by_model.alias("model_decided"),
-        share_percent(by_model, total).alias("model_share_percent"),
-    )
+    """Totals of a run with the share that the model had to decide, by a pass over its decisions."""
+    return with_model_share(decisions.agg(*[c.alias(n) for n, c in run_counts(stage, flag).items()]))
+
+
+def with_model_share(totals: DataFrame) -> DataFrame:
+    return totals.withColumn("model_share_percent", share_percent(F.col("model_decided"), F.col("processed")))
+
+
+def observed(decisions: DataFrame, stage: str = "filtered_by", flag: str = "relevant") -> tuple[DataFrame, Observation]:
+    """The decisions, and what counts them while they are written or otherwise used for the first time.
+
+    Rows of tasks that run again after a loss are counted again; take ``run_summary`` of the written
+    rows where that matters.
+    """
+    seen = Observation(f"run {uuid.uuid4().hex}")
+    return decisions.observe(seen, *[c.alias(n) for n, c in run_counts(stage, flag).items()]), seen
+
+
+def observed_stream(decisions: DataFrame, name: str, stage: str = "filtered_by", flag: str = "relevant") -> DataFrame:
+    """A stream of decisions whose progress reports carry the totals of each micro-batch under ``name``."""
+    return decisions.observe(name, *[c.alias(n) for n, c in run_counts(stage, flag).items()])
+
+
+def summary_of(spark: SparkSession, totals: dict) -> DataFrame:
+    """``run_summary`` of totals that were observed."""
+    names = list(run_counts())
+    return with_model_share(spark.createDataFrame([tuple(totals[n] for n in names)], ", ".join(f"{n} long" for n in names)))
 
 
 def cache_statistics(lookups: DataFrame, hit: str = "cache_hit") -> DataFrame:

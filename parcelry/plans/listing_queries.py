@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelry.functions.dates import month_label
-from parcelry.operators import contracts, dedup, listings as ops, stats, trends
+from parcelry.operators import console, contracts, dedup, listings as ops, stats, trends
+from parcelry.operators.listings import LISTING_VIEW
 from parcelry.plans.bindings import AS_OF, LISTINGS_SQL, TIE_BREAK, listings, table
 from parcelry.plans.registry import Registry, rounded
 from parcelry.sources.tables import profile
@@ -89,13 +90,14 @@ def district_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {LISTINGS_SQL}
 SELECT n_name AS district, count(article_id) AS listing_count
-FROM nation LEFT JOIN (SELECT * FROM listings WHERE price_huf >= 99000000 AND area_sqm > 49) ON n_name = district
+FROM (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region) LEFT JOIN listings ON n_name = district
 GROUP BY n_name"""
 )
 def district_counts_zero_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    large = listings(spark, sf_dir, ["district", "price_huf", "area_sqm"]).where("price_huf >= 99000000 and area_sqm > 49")
-    districts = table(spark, sf_dir, "nation").select(F.col("n_name").alias("district"))
-    return stats.counts_for_all(districts, large, "district", "listing_count")
+    """Regions are districts as well, without a listing."""
+    districts = table(spark, sf_dir, "nation").select("n_name").union(table(spark, sf_dir, "region").select("r_name"))
+    rows = listings(spark, sf_dir, ["article_id", "district"])
+    return stats.counts_for_all(districts.toDF("district"), rows, "district", "listing_count")
 
 
 @query(
@@ -316,6 +318,51 @@ def average_price_in_district(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ops.run_console(spark, rows, ops.console_text("average_price", district="NATION_6")), 2, "avg_price")
 
 
+def _ask(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A question over the listings and the districts."""
+    rows = listings(spark, sf_dir, ["article_id", "district", "building_type", "price_huf", "area_sqm", "relevant"])
+    districts = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    views = {LISTING_VIEW: rows, "districts": districts.selectExpr("n_name as district", "r_name as region")}
+    return console.run_console(spark, views, text)
+
+
+#: Questions that Spark and the checking database read alike.
+WINDOW_QUESTION = """SELECT district, price_huf, article_id, place FROM (
+  SELECT district, price_huf, article_id, rank() OVER (PARTITION BY district ORDER BY price_huf DESC, article_id) AS place FROM relevant_data) ranked
+WHERE place <= 3"""
+SET_QUESTION = """SELECT district FROM relevant_data WHERE relevant GROUP BY district HAVING count(*) > 0
+INTERSECT SELECT district FROM districts WHERE region <> 'ASIA'
+UNION SELECT region FROM districts EXCEPT SELECT 'EUROPE'"""
+COMMON_QUESTION = """WITH sums AS (SELECT district, building_type, count(*) AS n, sum(price_huf) AS total FROM relevant_data GROUP BY district, building_type),
+shares AS (SELECT region, sum(n) AS n, sum(total) AS total FROM sums JOIN districts USING (district) GROUP BY region)
+SELECT region, CAST(n AS BIGINT) AS n_rows, round(total / n, 2) AS mean_price FROM shares"""
+SUBQUERY_QUESTION = """SELECT district, count(*) AS dear FROM relevant_data AS r
+WHERE price_huf > (SELECT avg(price_huf) FROM relevant_data) AND district IN (SELECT district FROM districts WHERE region LIKE 'A%')
+  AND EXISTS (SELECT 1 FROM districts AS d WHERE d.district = r.district) GROUP BY district"""
+_VIEWS_SQL = f"""WITH {LISTINGS_SQL}, relevant_data AS (SELECT * FROM listings), districts AS (
+  SELECT n_name AS district, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey) """
+
+
+@query(f"{_VIEWS_SQL} {WINDOW_QUESTION}")
+def console_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask(spark, sf_dir, WINDOW_QUESTION)
+
+
+@query(f"{_VIEWS_SQL} {SET_QUESTION}")
+def console_set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask(spark, sf_dir, SET_QUESTION)
+
+
+@query(f"{_VIEWS_SQL} SELECT * FROM ({COMMON_QUESTION}) answer")
+def console_common_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask(spark, sf_dir, COMMON_QUESTION)
+
+
+@query(f"{_VIEWS_SQL} {SUBQUERY_QUESTION}")
+def console_subqueries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ask(spark, sf_dir, SUBQUERY_QUESTION)
+
+
 @query(
     f"""WITH {LISTINGS_SQL}, ranked AS (
   SELECT district, building_type, avg(price_per_sqm) AS p, grouping_id(district, building_type) AS g
@@ -364,7 +411,7 @@ def last_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {LISTINGS_SQL}, generations AS (
-  SELECT article_id, relevant, price_huf, delivery_day, part_id, supplier_id, 0 AS generation FROM listings WHERE part_id % 3 <> 0
+  SELECT article_id, relevant, price_huf, delivery_day, part_id, supplier_id, 0 AS generation FROM listings
   UNION ALL
   SELECT article_id, NOT relevant, price_huf + 1, delivery_day, part_id, supplier_id, 1 FROM listings WHERE part_id % 5 = 0
 ), latest AS (
@@ -374,13 +421,12 @@ SELECT article_id, relevant, price_huf FROM latest"""
 )
 def upsert_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = listings(spark, sf_dir, KEYED)
-    stored = rows.where(F.col("part_id") % 3 != 0)
     incoming = (
         rows.where(F.col("part_id") % 5 == 0)
         .withColumn("relevant", ~F.col("relevant"))
         .withColumn("price_huf", F.col("price_huf") + 1)
     )
-    relevant, irrelevant = stored.where("relevant").drop("relevant"), stored.where("not relevant").drop("relevant")
+    relevant, irrelevant = rows.where("relevant").drop("relevant"), rows.where("not relevant").drop("relevant")
     merged = dedup.upsert_layers(relevant, irrelevant, incoming, ["article_id"], TIE_BREAK)
     return merged.select("article_id", "relevant", "price_huf")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,8 +26,10 @@ from parcelry.plans.bindings import (
 from parcelry.plans.registry import Registry, rounded
 from parcelry.schema import VERDICT
 from parcelry.session import ensure_checkpoint_dir
+from parcelry.sinks.tables import VersionedTable, merge_table
 from parcelry.streaming import verdict_cache
 from parcelry.streaming.incremental import detect_changes, first_seen
+from parcelry.streaming.progress import progress_report
 
 registry = Registry()
 query = registry.query
@@ -502,6 +506,13 @@ DECIDED_SQL = f"""{RULED_SQL}, {_cache_sql('(SELECT * FROM ruled WHERE needs_llm
 """
 
 
+SUMMARY_SQL = f"""WITH {DECIDED_SQL} SELECT count(*) AS processed, count(*) FILTER (relevant) AS relevant_total,
+       count(*) FILTER (NOT relevant) AS irrelevant_total,
+       count(*) FILTER (filtered_by = 'worker' AND NOT relevant) AS rule_irrelevant,
+       count(*) FILTER (filtered_by = 'llm') AS model_decided,
+       round(count(*) FILTER (filtered_by = 'llm') * 100.0::DOUBLE / count(*), 6) AS model_share_percent FROM decided"""
+
+
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     caller = relevance.Caller(stand_in_model)
     return relevance.two_phase(articles(spark, sf_dir), caller, cache=_cache(spark, sf_dir), as_of=RUN_AS_OF).decided
@@ -512,13 +523,7 @@ def two_phase_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir).select("article_id", "relevant", "reason", "filtered_by", "floor", "building_type")
 
 
-@query(
-    f"""WITH {DECIDED_SQL} SELECT count(*) AS processed, count(*) FILTER (relevant) AS relevant_total,
-       count(*) FILTER (NOT relevant) AS irrelevant_total,
-       count(*) FILTER (filtered_by = 'worker' AND NOT relevant) AS rule_irrelevant,
-       count(*) FILTER (filtered_by = 'llm') AS model_decided,
-       round(count(*) FILTER (filtered_by = 'llm') * 100.0::DOUBLE / count(*), 6) AS model_share_percent FROM decided"""
-)
+@query(SUMMARY_SQL)
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.run_summary(_decided(spark, sf_dir)), 6, "model_share_percent")
 
@@ -606,6 +611,49 @@ def bounded_model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.select("cache_key", "call_error", F.col("answer").isNotNull().alias("answered"))
 
 
+@query(SUMMARY_SQL)
+def observed_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of a run as they arise while its decisions are written, without a second pass."""
+    decided, seen = stats.observed(_decided(spark, sf_dir))
+    decided.write.parquet(f"{_scratch(spark, 'decided')}/rows")
+    return rounded(stats.summary_of(spark, seen.get), 6, "model_share_percent")
+
+
+@query(
+    """SELECT doc_id % 3 AS increment, count(*) AS processed, count(*) FILTER (length(text) > 1000) AS relevant_total,
+       count(*) FILTER (NOT length(text) > 1000) AS irrelevant_total, count(*) FILTER (doc_id % 2 = 0 AND NOT length(text) > 1000) AS rule_irrelevant,
+       count(*) FILTER (doc_id % 2 = 1) AS model_decided, round(count(*) FILTER (doc_id % 2 = 1) * 100.0::DOUBLE / count(*), 6) AS model_share_percent
+FROM documents GROUP BY 1"""
+)
+def observed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same numbers for each increment of a stream, from its progress reports."""
+    docs = table(spark, sf_dir, "documents").select(
+        (F.length("text") > 1000).alias("relevant"), F.when(F.col("doc_id") % 2 == 0, "worker").otherwise("llm").alias("filtered_by"),
+        (F.col("doc_id") % 3).alias("increment"),
+    )
+    folder, reports = _scratch(spark, "observed"), []
+    for increment in range(3):
+        docs.where(F.col("increment") == increment).drop("increment").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("relevant boolean, filtered_by string").parquet(f"{folder}/in")
+        writer = stats.observed_stream(stream, "run").writeStream.format("parquet").option("path", f"{folder}/out")
+        query = writer.option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+        reports += [report["observed"]["run"] for report in progress_report(query) if report["rows"]]
+    found = [stats.summary_of(spark, r).withColumn("increment", F.lit(i).cast("long")) for i, r in enumerate(reports)]
+    return rounded(reduce(DataFrame.unionByName, found), 6, "model_share_percent")
+
+
+@query("SELECT doc_id, sha256(text) AS text_id, 2 AS writers FROM documents")
+def versioned_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writers merge their halves of the documents into one table at the same time."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("text_id"))
+    versions = VersionedTable(spark, _scratch(spark, "versions"), docs.schema)
+    with ThreadPoolExecutor(2) as pool:
+        merges = [pool.submit(merge_table, versions, docs.where(F.col("doc_id") % 2 == half), "doc_id", ("text_id",)) for half in (0, 1)]
+        committed = {merge.result() for merge in merges}
+    return versions.read().withColumn("writers", F.lit(len(committed)))
+
+
 @query(
     f"""WITH {DECIDED_SQL}, first_rows AS (SELECT article_id, filtered_by FROM decided ORDER BY article_id LIMIT 100)
 SELECT article_id, filtered_by FROM first_rows
@@ -671,10 +719,13 @@ def boundary_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {LISTINGS_SQL} SELECT n_name AS area_name, count(district) AS listing_count,
   '<b>' || n_name || '</b><br>Hirdetések száma: ' || count(district) AS popup
-FROM nation LEFT JOIN (SELECT district FROM listings WHERE relevant AND district <> 'NATION_4') ON n_name = district GROUP BY n_name"""
+FROM (SELECT n_name FROM nation UNION ALL SELECT r_name FROM region)
+LEFT JOIN (SELECT district FROM listings WHERE relevant) ON n_name = district GROUP BY n_name"""
 )
 def map_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = table(spark, sf_dir, "nation").select(F.struct(F.col("n_name").alias("name")).alias("properties"))
-    rows = listings(spark, sf_dir, ["district", "relevant"]).where("relevant and district <> 'NATION_4'")
+    """Regions are areas as well, without a listing."""
+    areas = table(spark, sf_dir, "nation").select("n_name").union(table(spark, sf_dir, "region").select("r_name")).toDF("name")
+    features = areas.select(F.struct("name").alias("properties"))
+    rows = listings(spark, sf_dir, ["district", "relevant"]).where("relevant")
     summary = geo.features_with_counts(features, rows, geo.feature_name(["name"]))
     return summary.select("area_name", "listing_count", "popup")

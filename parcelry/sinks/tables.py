@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -23,11 +25,16 @@ class InvalidTable(ValueError):
     """A staged table failed its check and was not promoted."""
 
 
+class Conflict(RuntimeError):
+    """Another writer committed a version in the meantime."""
+
+
 class VersionedTable:
-    """Parquet in numbered folders; readers take the newest one whose write finished.
+    """Parquet in folders of their own and a commit file for each version; readers take the newest version.
 
     A job can so read the current version while writing the next, and a failed write leaves the
-    former version in place.
+    former version in place. A commit creates the file of its number, which only one writer can;
+    one that started from an older version has to start again.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, strict: bool = True):
@@ -37,37 +44,107 @@ class VersionedTable:
         jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return jvm_path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm_path
 
-    def versions(self) -> list[int]:
-        """Finished versions, oldest first."""
-        fs, root = self._fs(self.path)
+    def _commit_file(self, number: int) -> str:
+        return f"{self.path}/_versions/{number:012d}"
+
+    def _folder(self, number: int) -> str:
+        """Folder of the rows of a version, as its commit file names it."""
+        fs, at = self._fs(self._commit_file(number))
+        stream = fs.open(at)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _commits(self) -> list[tuple[int, int]]:
+        """Number and time (milliseconds) of the versions, oldest first."""
+        fs, root = self._fs(f"{self.path}/_versions")
         if not fs.exists(root):
             return []
-        numbers = []
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            done = self._fs(f"{self.path}/{name}/_PROMOTED")[1]
-            if name.startswith("v") and name[1:].isdigit() and fs.exists(done):
-                numbers.append(int(name[1:]))
-        return sorted(numbers)
-
-    def read(self) -> DataFrame:
-        versions = self.versions()
-        if not versions:
-            return self.spark.createDataFrame([], self.schema)
-        return read_table(self.spark, f"{self.path}/v{versions[-1]}", self.schema, self.strict)
+        names = [(s.getPath().getName(), s.getModificationTime()) for s in fs.listStatus(root)]
+        return sorted((int(name), moment) for name, moment in names if name.isdigit())
 
-    def replace(self, df: DataFrame, check: Callable[[DataFrame], bool] | None = None) -> int:
-        """Write ``df`` as the next version; promote it only if it can be read back and passes ``check``."""
-        number = (self.versions() or [0])[-1] + 1
-        target = f"{self.path}/v{number}"
-        df.write.mode("overwrite").parquet(target)
+    def versions(self) -> list[int]:
+        """Committed versions, oldest first."""
+        return [number for number, _ in self._commits()]
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The newest version, or an older one that has not expired."""
+        number = version or (self.versions() or [0])[-1]
+        if not number:
+            return self.spark.createDataFrame([], self.schema)
+        return read_table(self.spark, f"{self.path}/{self._folder(number)}", self.schema, self.strict)
+
+    def _commit(self, number: int, folder: str) -> None:
+        """Make ``folder`` version ``number``; only one writer ever can."""
+        fs, at = self._fs(self._commit_file(number))
+        try:
+            stream = fs.create(at, False)
+        except Py4JJavaError as problem:
+            if fs.exists(at):
+                raise Conflict(f"version {number} exists") from problem
+            raise
+        try:
+            stream.write(bytearray(folder.encode()))
+        finally:
+            stream.close()
+        # A local file system does not create in one step: of two writers the last one's name stays.
+        if self._folder(number) != folder:
+            raise Conflict(f"version {number} is another writer's")
+
+    def replace(self, df: DataFrame, check: Callable[[DataFrame], bool] | None = None, base: int | None = None) -> int:
+        """Write ``df`` as the next version; commit it only if it can be read back and passes ``check``.
+
+        With ``base``, the version that ``df`` was made from (0: none), a newer one is a ``Conflict``; without,
+        whatever others have committed is replaced.
+        """
+        folder = f"rows-{uuid.uuid4().hex}"
+        target = f"{self.path}/{folder}"
+        df.write.parquet(target)
         written = self.spark.read.parquet(target)
         written.select(F.bit_xor(F.xxhash64(*written.columns))).first()  # reads every column
         if check is not None and not check(written):
             raise InvalidTable(target)
-        fs, marker = self._fs(f"{target}/_PROMOTED")
-        fs.create(marker, True).close()
-        return number
+        while True:
+            newest = (self.versions() or [0])[-1]
+            if base is not None and newest != base:
+                raise Conflict(f"version {newest} came after {base}")
+            try:
+                self._commit(newest + 1, folder)
+                return newest + 1
+            except Conflict:
+                if base is not None:
+                    raise
+
+    def update(self, change: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], bool] | None = None, attempts: int = 10) -> int:
+        """Commit what ``change`` makes of the newest version, starting again when another writer was faster."""
+        for attempt in range(attempts):
+            base = (self.versions() or [0])[-1]
+            try:
+                return self.replace(change(self.read(base)), check, base)
+            except Conflict:
+                if attempt + 1 == attempts:
+                    raise
+        raise ValueError("no attempt allowed")
+
+    def expire(self, older_than_ms: int, keep: int = 2) -> list[int]:
+        """Delete versions committed more than ``older_than_ms`` ago, but for the last ``keep``, and folders as
+        old that no version names (what failed and outrun writers left). Returns the numbers deleted."""
+        now = self.spark._jvm.System.currentTimeMillis()
+        commits = self._commits()
+        old = [number for number, moment in commits[: max(0, len(commits) - keep)] if now - moment > older_than_ms]
+        for number in old:
+            folder = self._folder(number)
+            for path in (self._commit_file(number), f"{self.path}/{folder}"):
+                fs, at = self._fs(path)
+                fs.delete(at, True)
+        named = {self._folder(number) for number in self.versions()}
+        fs, root = self._fs(self.path)
+        for status in fs.listStatus(root) if fs.exists(root) else []:
+            name = status.getPath().getName()
+            if name.startswith("rows-") and name not in named and now - status.getModificationTime() > older_than_ms:
+                fs.delete(status.getPath(), True)
+        return old
 
     def reset(self) -> int:
         return self.replace(self.spark.createDataFrame([], self.schema))
@@ -103,12 +180,13 @@ def merge_layers(
 
 
 def merge_table(table: VersionedTable, incoming: DataFrame, key: str, order: tuple[str, ...]) -> int:
-    return table.replace(upsert(table.read(), incoming, [key], order))
+    """Upsert ``incoming``; rows that other writers merge meanwhile are kept."""
+    return table.update(lambda stored: upsert(stored, incoming, [key], order))
 
 
 def save_state(table: VersionedTable, current: DataFrame, as_of: str, key: str = "article_id") -> int:
     """Merge the checksums of a run into the stored state."""
-    return table.replace(merge_state(table.read(), current, as_of, key))
+    return table.update(lambda stored: merge_state(stored, current, as_of, key))
 
 
 def state_table(spark: SparkSession, path: str) -> VersionedTable:

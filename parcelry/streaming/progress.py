@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql.streaming import StreamingQuery
 
 
 def progress_report(query: StreamingQuery) -> list[dict]:
-    """Rows and rate of each finished micro-batch; the trigger interval is the throttle."""
+    """Rows, rate and observed metrics of each finished micro-batch; the trigger interval is the throttle."""
+    reports = [p if isinstance(p, dict) else json.loads(p.json) for p in query.recentProgress]
     return [
         {
-            "batch": p["batchId"] if isinstance(p, dict) else p.batchId,
-            "rows": p["numInputRows"] if isinstance(p, dict) else p.numInputRows,
-            "rows_per_second": p["processedRowsPerSecond"] if isinstance(p, dict) else p.processedRowsPerSecond,
+            "batch": p["batchId"],
+            "rows": p["numInputRows"],
+            "rows_per_second": p.get("processedRowsPerSecond"),
+            "observed": {name: row if isinstance(row, dict) else row.asDict() for name, row in (p.get("observedMetrics") or {}).items()},
         }
-        for p in query.recentProgress
+        for p in reports
     ]

@@ -28,7 +28,7 @@ def test_unreadable_table_is_not_taken_for_an_empty_one_when_merging(spark, tmp_
     table = VersionedTable(spark, str(tmp_path / "t"), FEEDBACK)
     assert table.read().count() == 0
     table.reset()
-    broken = tmp_path / "t" / "v1"
+    (broken,) = (tmp_path / "t").glob("rows-*")
     for part in broken.glob("*.parquet"):
         part.write_bytes(b"no table")
     for check in broken.glob(".*.crc"):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from parcelry.operators import contracts, dedup, features, geo, gram, incremental, listings, metrics, neighbours, pricing
+from parcelry.operators import console, contracts, dedup, features, geo, gram, incremental, listings, metrics, neighbours, pricing
 from parcelry.operators import similarity, stats, trends
 from parcelry.operators.quantiles import exact_medians
 from tests.conftest import ROOT
@@ -179,11 +179,32 @@ def test_search(spark):
 def test_console_runs_one_select_only(spark):
     df = spark.createDataFrame([("V", 1.0)], "district string, price_huf double")
     assert listings.run_console(spark, df, "-- note\nSELECT count(*) AS n FROM relevant_data;").first()["n"] == 1
-    for text in ("DROP VIEW relevant_data", "INSERT INTO x SELECT 1", "SET a=b", "", "WITH q AS (SELECT 1) INSERT INTO t SELECT * FROM q"):
-        with pytest.raises(listings.NotASelect):
+    spark.createDataFrame([(1,)], "secret int").createOrReplaceTempView("other_table")
+    refused = (
+        "DROP VIEW relevant_data", "INSERT INTO x SELECT 1", "SET a=b", "", "WITH q AS (SELECT 1) INSERT INTO t SELECT * FROM q", "SELECT 1; SELECT 2",
+        "SELECT * FROM csv.`/etc/passwd`", "SELECT * FROM parquet.`/tmp`", "SELECT reflect('java.lang.System', 'exit', 1)", "SELECT * FROM other_table",
+        "SELECT java_method('java.util.UUID', 'randomUUID')", "SELECT district FROM relevant_data WHERE district IN (SELECT secret FROM other_table)",
+        "SELECT (SELECT max(secret) FROM other_table) FROM relevant_data", "SELECT * FROM relevant_data UNION ALL SELECT secret, 1 FROM other_table",
+        "SELECT district, (WITH other_table AS (SELECT 1 AS x) SELECT max(x) FROM other_table) FROM relevant_data JOIN other_table",
+        "WITH a AS (SELECT * FROM other_table) SELECT * FROM a", "SELECT * FROM range(10)", "SHOW TABLES", "CACHE TABLE relevant_data", "EXPLAIN SELECT 1",
+        "CREATE TABLE t AS SELECT * FROM relevant_data", "SELECT input_file_name() FROM relevant_data", "DESCRIBE relevant_data", "not sql",
+        "SELECT sum(price_huf) OVER (ORDER BY reflect('a', 'b')) FROM relevant_data", "SELECT TRANSFORM(district) USING 'cat' FROM relevant_data",
+        "SELECT default.f(1)",
+    )
+    for text in refused:
+        with pytest.raises(console.NotASelect):
             listings.run_console(spark, df, text)
-    with pytest.raises(Exception):
-        listings.run_console(spark, df, "SELECT 1; SELECT 2")
+    accepted = (
+        "SELECT DISTINCT district FROM relevant_data ORDER BY 1 LIMIT 3", "WITH a AS (SELECT district AS d FROM relevant_data) SELECT a.d FROM a CROSS JOIN a AS b",
+        "SELECT d FROM VALUES ('V') AS t(d) JOIN relevant_data ON d = district", "SELECT CASE WHEN price_huf BETWEEN 0 AND 9 THEN upper(district) END FROM relevant_data",
+        "SELECT part FROM relevant_data LATERAL VIEW explode(split(district, '')) x AS part", "SELECT count(*) FROM relevant_data GROUP BY ROLLUP (district) HAVING count(*) > 0",
+        "SELECT row_number() OVER w FROM relevant_data WINDOW w AS (PARTITION BY district ORDER BY price_huf)", "SELECT extract(YEAR FROM DATE '2024-01-02')",
+        "SELECT * FROM relevant_data PIVOT (sum(price_huf) FOR district IN ('V', 'VI'))", "(SELECT 1) MINUS (SELECT 2)",
+    )
+    for text in accepted:
+        assert listings.run_console(spark, df, text).count() >= 1
+    both = {"relevant_data": df, "Districts": spark.createDataFrame([("V", "b")], "district string, side string")}
+    assert console.run_console(spark, both, "SELECT side FROM relevant_data JOIN districts USING (district)").first()["side"] == "b"
     assert listings.clean_generated_sql("```sql\nSELECT 1\n```") == "SELECT 1"
     assert "o''x" in listings.console_text("average_price", district="o'x")
 

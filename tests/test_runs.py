@@ -4,6 +4,7 @@ import json
 import threading
 import time
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pytest
@@ -247,6 +248,33 @@ def test_versions_replace_what_they_read(spark, tmp_path):
     assert table.read().count() == 0
 
 
+def test_two_writers_lose_nothing_and_a_stale_one_is_told(spark, tmp_path):
+    table = sinks.VersionedTable(spark, str(tmp_path / "t"), CHECKSUM_STATE)
+    frame = lambda name: spark.createDataFrame([(f"{name}{i}", "1") for i in range(20)], "article_id string, checksum string")
+    with ThreadPoolExecutor(4) as pool:
+        numbers = sorted(w.result() for w in [pool.submit(sinks.save_state, table, frame(n), "2024-01-01") for n in "abcd"])
+    assert numbers == table.versions() == [1, 2, 3, 4]
+    assert table.read().count() == 80 and table.read(2).count() == 40
+    with pytest.raises(sinks.Conflict):
+        table.replace(table.read(), base=3)
+    with pytest.raises(sinks.InvalidTable):
+        table.update(lambda stored: stored, check=lambda d: False)
+    assert table.versions() == [1, 2, 3, 4]
+
+
+def test_old_versions_and_left_folders_expire(spark, tmp_path):
+    table = sinks.VersionedTable(spark, str(tmp_path / "t"), CHECKSUM_STATE)
+    for i in range(4):
+        sinks.save_state(table, spark.createDataFrame([(f"k{i}", "1")], "article_id string, checksum string"), "2024-01-01")
+    with pytest.raises(sinks.InvalidTable):
+        table.replace(table.read(), check=lambda d: False)
+    folders = lambda: len(list((tmp_path / "t").glob("rows-*")))
+    assert table.expire(3_600_000) == [] and folders() == 5
+    time.sleep(0.05)
+    assert table.expire(1, keep=2) == [1, 2] and table.versions() == [3, 4] and folders() == 2
+    assert table.read().count() == 4 and sinks.VersionedTable(spark, str(tmp_path / "no"), CHECKSUM_STATE).expire(1) == []
+
+
 def test_layers_written_and_merged(spark, tmp_path):
     decided = spark.createDataFrame(
         [("a", True, "r", 1), ("b", False, "s", 2)], "article_id string, relevant boolean, reason string, floor int"
