@@ -8,6 +8,7 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -63,6 +64,24 @@ def worker_state(key: str, make: Callable[[], object]):
     return holder.value
 
 
+#: Bits of a 64-bit code that say its place in a bitmap, which has one size for any number of codes.
+BITMAP_BITS = 27
+
+
+def bitmap_of(codes: DataFrame) -> np.ndarray:
+    """The bits at the places of ``code``. It only ever lets too much through ``within``."""
+    at = codes.select(F.shiftrightunsigned("code", 64 - BITMAP_BITS).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP_BITS - 6), np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def within(bitmap: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    at = codes >> np.uint64(64 - BITMAP_BITS)
+    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
 def ascii_lower(column: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(column, ASCII_UPPER, ASCII_UPPER.lower())

@@ -10,9 +10,11 @@ has one, the one with the smallest name. The anchor depends on the window's word
 windows have equal anchors wherever they occur. Neighbouring windows with one anchor make an
 occurrence: its anchor's name, a hash of its words (its span), and the document. Then
 
-- a name seen in one document only has no shared window;
-- a name whose occurrences all have one span shares all windows, and the smallest document has them;
-- for other names the windows of one document for each span are compared by 128-bit hashes.
+- a name seen in one document only has no shared window; a bitmap of the others' names spares the
+  occurrences of most such names every further step;
+- of occurrences with one name and span all but those in the smallest document are covered whole;
+- those in the smallest document, where the name has other spans as well, are compared with the first
+  occurrences of these by the 128-bit hashes of their windows.
 
 The texts are grouped into blocks of documents, to which the answers for their occurrences are sent.
 """
@@ -28,8 +30,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from parcelry.llm.common import scratch_path, shuffle_width, slices, words_of
-from parcelry.session import cut_lineage
+from parcelry.llm.common import bitmap_of, drop_stored, shuffle_width, slices, stored, within, words_of
 
 RUNS_EVERY = 6
 BASE1, BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -191,7 +192,7 @@ def signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-def unsigned(column: pa.ChunkedArray) -> np.ndarray:
+def unsigned(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return column.to_numpy().view(np.uint64)
 
 
@@ -201,92 +202,84 @@ def remove_shared(df: DataFrame, key: str, text: str, window: int = 50, block_by
 
     ``key`` is a long; a null key counts as larger than all others and nothing is smaller than an equal
     key, so rows of one key leave each other alone. Null and empty texts have no words; a text shorter
-    than the window loses none. Repeats inside a document alone are kept.
+    than the window loses none. Repeats inside a document alone are kept. Rows are spread by key and
+    text, so that very many rows of one key, or without one, are not held together.
     """
     spark = df.sparkSession
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(shuffle_width(spark), -(-total // block_bytes))
-    rank = F.coalesce("key", F.lit(int(LAST)))
-    docs = docs.withColumn("doc", rank).withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)))
+    block_of = lambda tag: F.pmod(tag.cast("long"), F.lit(blocks))
+    docs = docs.withColumn("doc", F.coalesce("key", F.lit(int(LAST)))).withColumn("tag", F.hash("doc", "text"))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in slices(batches, "text"):
             held = Block(batch.column(0).to_pylist(), window, hashes)
-            doc, block = (batch.column(i).to_numpy()[held.owner] for i in (1, 2))
-            columns = [signed(held.name), signed(held.span), pa.array(doc), pa.array(block)]
-            yield pa.RecordBatch.from_arrays(columns, names=["name", "span", "doc", "block"])
-
-    path = scratch_path(spark, "occurrences")
-    found = docs.select("text", "doc", "block").mapInArrow(occurrences, "name long, span long, doc long, block long")
-    found.write.parquet(path)
-    seen = spark.read.parquet(path)
-    variants = seen.groupBy("name", "span").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-    same = Window.partitionBy("name")
-    spread = variants.withColumns(
-        {"spans": F.count(F.lit(1)).over(same), "lowest": F.min("low").over(same), "highest": F.max("high").over(same)}
-    )
-    spread = spread.where("lowest < highest").withColumn("id", F.monotonically_increasing_id())
-    shared = cut_lineage(spread.select("name", "span", "low", "high", "spans", "id"))
-    plain = shared.where("spans = 1").select("name", "span", F.col("low").alias("from"), F.lit(None).cast("binary").alias("each"))
+            doc, tag = (batch.column(i).to_numpy()[held.owner] for i in (1, 2))
+            columns = [signed(held.name), signed(held.span), pa.array(doc), pa.array(tag)]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "span", "doc", "tag"])
+
+    found = docs.select("text", "doc", "tag").mapInArrow(occurrences, "name long, span long, doc long, tag int")
+    seen, seen_path = stored(found, "occurrences")
+    names = seen.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    bitmap = spark.sparkContext.broadcast(bitmap_of(names.select(F.col("name").alias("code"))))
+
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(within(bitmap.value, unsigned(batch.column(0)))))
+
+    repeated, repeated_path = stored(seen.mapInArrow(often, "name long, span long, doc long, tag int"), "repeated")
+    drop_stored(spark, seen_path)
+    variants = repeated.groupBy("name", "span").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+    by_name = variants.groupBy("name").agg(F.count(F.lit(1)).alias("spans"), F.min("low").alias("lowest"), F.max("high").alias("highest"))
+    shared = variants.join(by_name.where("lowest < highest"), "name").select("name", "span", "low", "spans")
+    shared, _ = stored(shared, "shared")
+    met = repeated.join(shared, ["name", "span"])
+    whole = met.where("doc > low").select(block_of(F.col("tag")).alias("block"), F.col("name").alias("a"), F.col("span").alias("b"), F.col("low").alias("c"))
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Hashes of the windows of the asked occurrences."""
+        """Hashes of the windows of the asked occurrences, with the row's tag and the window's place."""
         wanted = left.filter(pc.is_in(left["doc"], value_set=right["low"].combine_chunks() if right.num_rows else pa.array([], pa.int64())))
         held = Block(wanted["text"].to_pylist(), window, Hashes())
-        names, spans, low, number = (right[c].to_numpy() for c in ("name", "span", "low", "id"))
+        names, spans, low = (right[c].to_numpy() for c in ("name", "span", "low"))
         hit, at = held.matched(names.view(np.uint64), spans.view(np.uint64))
-        mine = wanted["doc"].to_numpy()[held.owner[hit]] == low[at] if len(hit) else np.zeros(0, bool)
-        hit, at = hit[mine], at[mine]
-        at, first = np.unique(at, return_index=True)
-        hit = hit[first]
+        doc, tag = wanted["doc"].to_numpy(), wanted["tag"].to_numpy().astype(np.int64)
+        hit = hit[doc[held.owner[hit]] == low[at]] if len(hit) else hit
         count = held.high[hit] - held.low[hit] + 1
         offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
         start = np.repeat(held.low[hit], count) + offset
+        owner = np.repeat(held.owner[hit], count)
+        place = (tag[owner] << 32) | (start - held.begins[owner])
         hashes = [signed(held.stretches.of(start, start + window, i)) for i in (0, 1)]
-        rest = [pa.array(np.repeat(c[at], count)) for c in (number, low)]
-        return pa.table([*rest, pa.array(offset.astype(np.int32)), *hashes], names=["id", "low", "at", "h1", "h2"])
+        return pa.table([pa.array(doc[owner]), pa.array(place), *hashes], names=["low", "place", "h1", "h2"])
 
-    asked = shared.where("spans > 1").select("name", "span", "low", "id", F.pmod(F.xxhash64("low"), F.lit(blocks)).alias("block"))
-    texts = docs.select("key", "text", "doc", "block")
-    hashed = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
-        windows, "id long, low long, at int, h1 long, h2 long"
-    )
-    # One row for each span that has a window; copies of a span are not among them.
-    earliest = hashed.withColumn("from", F.min("low").over(Window.partitionBy("h1", "h2")))
-    entry = F.concat(F.lpad(F.hex("at"), 8, "0"), F.lpad(F.hex("from"), 16, "0"))
-    listed = earliest.groupBy("id").agg(F.unhex(F.array_join(F.collect_list(entry), "")).alias("each"))
-    mixed = shared.select("id", "name", "span").join(listed, "id")
-    answers = plain.unionByName(mixed.select("name", "span", F.lit(None).cast("long").alias("from"), "each"))
-    sent = seen.select("name", "span", "block").join(answers, ["name", "span"]).select("block", "name", "span", "from", "each")
+    asked = met.where("doc = low and spans > 1").select(block_of(F.col("tag")).alias("block"), "name", "span", "low")
+    texts = docs.withColumn("block", block_of(F.col("tag"))).select("key", "text", "doc", "tag", "block")
+    hashed = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(windows, "low long, place long, h1 long, h2 long")
+    # A row for each span that has a window; copies of a span are not among them.
+    earliest = hashed.withColumn("from", F.min("low").over(Window.partitionBy("h1", "h2"))).where(F.col("from") < F.col("low"))
+    block = block_of(F.shiftright("place", 32))
+    single = earliest.select(block.alias("block"), F.col("low").alias("a"), F.col("place").alias("b"), F.lit(None).cast("long").alias("c"))
 
     def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
         """The documents of a block without the words of windows that a smaller document has."""
-        keys, texts, docs_ = left["key"], left["text"].to_pylist(), left["doc"].to_numpy()
+        keys, texts, doc = left["key"], left["text"].to_pylist(), left["doc"].to_numpy()
         if not right.num_rows:
             split = [words_of(t) for t in texts]
             gone = [np.zeros(len(w), bool) for w in split]
         else:
             held = Block(texts, window, Hashes())
             split = held.split
-            names, spans = unsigned(right["name"]), unsigned(right["span"])
-            hit, at = held.matched(names, spans)
-            source = pc.fill_null(right["from"], LAST).to_numpy()
-            doc = docs_[held.owner[hit]] if len(hit) else np.zeros(0, np.int64)
             edge = np.zeros(len(held.words) + window + 1, np.int64)
-            whole = source[at] < doc
-            np.add.at(edge, held.low[hit[whole]], 1)
-            np.add.at(edge, held.high[hit[whole]] + window, -1)
-            parts = right["each"]
-            for i in np.flatnonzero(~whole):
-                entries = parts[int(at[i])].as_py()
-                if entries is None:
-                    continue
-                listed = np.frombuffer(entries, np.dtype([("at", ">i4"), ("from", ">i8")]))
-                starts = held.low[hit[i]] + listed["at"][listed["from"] < doc[i]].astype(np.int64)
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, starts + window, -1)
+            spans, places = right.filter(pc.is_valid(right["c"])), right.filter(pc.is_null(right["c"]))
+            hit, at = held.matched(unsigned(spans["a"]), unsigned(spans["b"]))
+            hit = hit[spans["c"].to_numpy()[at] < doc[held.owner[hit]]] if len(hit) else hit
+            np.add.at(edge, held.low[hit], 1)
+            np.add.at(edge, held.high[hit] + window, -1)
+            starts = starts_of(places["a"].to_numpy(), places["b"].to_numpy(), doc, left["tag"].to_numpy(), held.begins)
+            np.add.at(edge, starts, 1)
+            np.add.at(edge, starts + window, -1)
             covered = np.cumsum(edge)[: len(held.words)] > 0
             gone = [covered[b : b + len(w)] for b, w in zip(held.begins, split)]
         kept = [b" ".join(w for w, g in zip(words, mask) if not g) if mask.any() else b" ".join(words) for words, mask in zip(split, gone)]
@@ -298,7 +291,21 @@ def remove_shared(df: DataFrame, key: str, text: str, window: int = 50, block_by
         ]
         return pa.table(columns, names=["key", "n_words", "n_removed", "kept"])
 
-    result = texts.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(
+    result = texts.groupBy("block").cogroup(whole.unionAll(single).groupBy("block")).applyInArrow(
         cleaned, "key long, n_words long, n_removed long, kept string"
     )
     return result.withColumnRenamed("key", key)
+
+
+def starts_of(docs: np.ndarray, places: np.ndarray, doc: np.ndarray, tag: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the windows at ``places`` (tag and offset) of ``docs`` start, in every row with that document and tag."""
+    order = np.lexsort((places, docs))
+    docs, places = docs[order], places[order]
+    low_tag = tag.astype(np.int64) << 32
+    found = [np.zeros(0, np.int64)]
+    for row in np.flatnonzero(np.isin(doc, docs)):
+        first, last = np.searchsorted(docs, doc[row], "left"), np.searchsorted(docs, doc[row], "right")
+        inner = places[first:last]
+        inner = inner[np.searchsorted(inner, low_tag[row], "left") : np.searchsorted(inner, low_tag[row] + (1 << 32), "left")]
+        found.append(begins[row] + (inner - low_tag[row]))
+    return np.concatenate(found)

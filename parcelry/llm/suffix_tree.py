@@ -27,12 +27,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelry.llm.common import scratch_path, shuffle_width, slices
+from parcelry.llm.common import bitmap_of, scratch_path, shuffle_width, slices, within
 
 END = b""
-#: Factor of the codes of contexts, and bits of a code that say its place in a bitmap.
+#: Factor of the codes of contexts.
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-BITS = 27
 
 
 @dataclass(frozen=True)
@@ -90,20 +89,6 @@ def contexts_of(codes: np.ndarray, below: np.ndarray) -> np.ndarray:
     return out
 
 
-def within(bitmap: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    at = codes >> np.uint64(64 - BITS)
-    return (bitmap[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
-
-
-def bitmap_of(codes: DataFrame) -> np.ndarray:
-    """The bits at the places of ``code``, of the same size for any number of rows."""
-    at = codes.select(F.shiftrightunsigned("code", 64 - BITS).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
-    out = np.zeros(1 << (BITS - 6), np.uint64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.int64).view(np.uint64)
-    return out
-
-
 @dataclass
 class Level:
     """Kept contexts of one length: their codes, the mass left to the suffix, and counted next words
