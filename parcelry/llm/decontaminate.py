@@ -1,19 +1,18 @@
 """Passages of benchmark items in documents, by CGK embedding and bit-sampling LSH.
 
-Items and texts are words without case and surrounding punctuation. For every item length, each
-window of that many words is looked at. A window within the edit limit of an item must take most of
-its words from the items of its length, which rules out nearly all windows without loss. The others
-and the items are embedded by the CGK random walk: a walk along the words emits the current word at
-every step and moves on or stays by a random bit of (step, word), which turns few edits into few
-differing steps. Each repetition walks with other bits and samples a few steps as its key. Walks that
-have come apart on a long item, or after words were dropped or put in, seldom join again, so the walks
-alone lose such passages. An item of n words with at most k edits is therefore also cut into k + 1 pieces:
-a passage within the limit holds one of them unchanged, not more than k words from its place, and is found
-by that. Whatever the walks or the pieces propose is verified by the exact edit distance, over words, to
-the best matching passage around it, so that no passage within the limit is lost at any length.
+Items and texts are words without case and surrounding punctuation. A long item is cut into segments of
+24 to 47 words, as walks on longer ones come apart too often; if a passage is within the edit limit of the
+item, one of its segments at least is within its own share of that limit. For every segment length, each
+window of that many words is looked at. A window within the limit of a segment must take most of its words
+from the segments of its length, which rules out nearly all windows without loss. The others and the
+segments are embedded by the CGK random walk: a walk along the words emits the current word at every step
+and moves on or stays by a random bit of (step, word), which turns few edits into few differing steps. Each
+repetition walks with other bits and samples a few steps as its key; there are as many repetitions as the
+recall asks for at the segment's length. Whatever shares a key is verified by the exact edit distance,
+over words, between the whole item and the best matching passages around it.
 
 Items are held by every task in blocks of a bounded size; more items mean more passes over the
-documents, not larger blocks.
+documents, each of which starts from stored rows, not larger blocks.
 """
 
 from __future__ import annotations
@@ -28,27 +27,32 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from parcelry.llm.common import map_columns, quoted, slices, worker_state, working_name
+from parcelry.llm.common import map_columns, quoted, slices, stored, worker_state, working_name
 
 EDGES = string.punctuation + "«»„“”‘’‚…–—¿¡"
-#: Share of equal steps of two embeddings at the edit limit, for short items with replaced words.
-STEP_AGREEMENT = 0.5
+# Chance that a repetition finds a segment at its edit limit, measured for words dropped (the worst of dropped, put
+# in and replaced ones) with two sampled steps: about 0.53 * exp(-0.0275 * words) from 5 to 47 words. It differs between
+# passages, so that fewer are found than at an equal chance; this much less makes up for it.
+SHORT, FADE = 0.48, 0.03
 
 
 @dataclass(frozen=True)
 class Search:
-    """Edit limit as a share of the item's words, the recall that the walks are to have by themselves on
-    short items at that limit (with the pieces it is one), steps sampled for a key, the fewest words of an item that is searched for, and the bytes of items in a block."""
+    """Edit limit as a share of the item's words, recall of the walks at that limit, steps sampled for a key, words of a
+    segment (longer items have several), the fewest words of an item that is searched for, and the bytes of items
+    in a block."""
 
     max_edits: float = 0.2
     recall: float = 0.98
-    sampled: int = 3
+    sampled: int = 2
+    segment: int = 24
     min_words: int = 5
     block_bytes: int = 8 << 20
 
-    @property
-    def repetitions(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - STEP_AGREEMENT**self.sampled))
+    def repetitions(self, words: int) -> int:
+        """Walks for a segment. The chance is for two steps; that all of more agree is taken as a power of it."""
+        chance = (SHORT * math.exp(-FADE * words)) ** (self.sampled / 2)
+        return math.ceil(math.log(1 - self.recall) / math.log(1 - chance))
 
 
 class WordHashes(dict):
@@ -69,88 +73,52 @@ def hashed(text: str | None, hashes: WordHashes) -> np.ndarray:
     return found[found != 0]
 
 
-def runs_of(words: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Codes of the runs of ``size`` words that start at ``at``."""
-    out = np.zeros(len(at), np.uint64)
-    for i in range(size):
-        out = (out ^ words[at + i]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-    return out
-
-
 class Items:
-    """Items of one block by length, with their keys of every repetition and the codes of their pieces."""
+    """Items of one block, cut into segments, and these by length with their keys of every repetition."""
 
     def __init__(self, items: list[tuple], search: Search):
         hashes = WordHashes()
         self.search = search
         self.words = [hashed(text, hashes) for _, text in items]
         self.ids = [key for key, _ in items]
+        #: Item and first word of each segment.
+        self.item, self.offset = [], []
         lengths: dict[int, list[int]] = {}
         for number, words in enumerate(self.words):
-            if len(words) >= search.min_words:
-                lengths.setdefault(len(words), []).append(number)
+            if len(words) < max(1, search.min_words):
+                continue
+            parts = max(1, len(words) // search.segment)
+            edges = np.arange(parts + 1) * len(words) // parts
+            for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                lengths.setdefault(high - low, []).append(len(self.item))
+                self.item.append(number)
+                self.offset.append(low)
+        self.item, self.offset = np.array(self.item, np.int64), np.array(self.offset, np.int64)
         self.lengths = dict(sorted(lengths.items()))
         self.longest = max(self.lengths, default=0)
-        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64)] + [self.words[n] for ns in lengths.values() for n in ns]))
-        self.times, self.keys, self.plans, self.pieces = {}, {}, {}, {}
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *[self.words[n] for n in set(self.item.tolist())]]))
+        self.times, self.keys, self.plans = {}, {}, {}
         for length, numbers in self.lengths.items():
-            table = np.stack([self.words[n] for n in numbers])
+            table = np.stack([self.words[self.item[n]][self.offset[n] : self.offset[n] + length] for n in numbers])
             times = np.zeros(len(self.vocabulary) + 1, np.int16)
-            for n in numbers:
-                places, counts = np.unique(np.searchsorted(self.vocabulary, self.words[n]), return_counts=True)
+            for row in table:
+                places, counts = np.unique(np.searchsorted(self.vocabulary, row), return_counts=True)
                 times[places] = np.maximum(times[places], counts)
             self.times[length] = times
             self.plans[length] = self.plan(length)
-            self.pieces[length] = self.cut(table, np.array(numbers), length)
             held = []
             for key in self.embedded(table, length).T:
                 order = np.argsort(key, kind="stable")
                 held.append((key[order], np.array(numbers)[order]))
             self.keys[length] = held
 
-    def cut(self, table: np.ndarray, numbers: np.ndarray, length: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
-        """Words of a piece, and (code, item, place in the item) of one more piece than edits are allowed, by code."""
-        count = int(self.search.max_edits * length) + 1
-        size = length // count
-        places = np.arange(count) * length // count
-        flat, at = table.ravel(), (np.arange(len(table))[:, None] * length + places).ravel()
-        codes = runs_of(flat, at, size)
-        order = np.argsort(codes, kind="stable")
-        return size, codes[order], np.repeat(numbers, count)[order], np.tile(places, len(table))[order]
-
-    def pieced(self, words: np.ndarray, begins: np.ndarray, starts: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(start, item) where a text holds a piece of an item, if the passage may begin at one of ``starts``
-        (ascending); starts before the text are moved to its first word."""
-        size, codes, numbers, places = self.pieces[length]
-        limit = int(self.search.max_edits * length)
-        cover = np.zeros(len(words) + 1, np.int32)
-        np.add.at(cover, starts, 1)
-        np.add.at(cover, np.minimum(starts + length + limit, len(words)), -1)
-        at = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-        at = at[at + size <= len(words)]
-        for low in range(0, len(at), 65_536):
-            part = at[low : low + 65_536]
-            code = runs_of(words, part, size)
-            first, last = np.searchsorted(codes, code, "left"), np.searchsorted(codes, code, "right")
-            part, first, count = part[last > first], first[last > first], (last - first)[last > first]
-            bounds = np.searchsorted(np.cumsum(count), np.arange(0, count.sum(), 1 << 20))
-            for a, b in zip(bounds, [*bounds[1:], len(count)]):
-                n = count[a:b]
-                each = np.repeat(first[a:b] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                where = np.repeat(part[a:b], n)
-                start = where - places[each]
-                near = np.searchsorted(starts, start - limit, "left") < np.searchsorted(starts, start + limit, "right")
-                where, start, each = where[near], start[near], each[near]
-                yield np.maximum(start, begins[np.searchsorted(begins, where, side="right") - 1]), numbers[each]
-
     def plan(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Salt of each step and repetition, and whether the repetition samples the step."""
         random = np.random.default_rng(1_000 + length)
-        steps = 2 * length
-        salts = random.integers(1, 2**63, (steps, self.search.repetitions), dtype=np.uint64)
+        steps, repetitions = 2 * length, self.search.repetitions(length)
+        salts = random.integers(1, 2**63, (steps, repetitions), dtype=np.uint64)
         sampled = np.zeros(salts.shape, bool)
-        for repetition in range(self.search.repetitions):
+        for repetition in range(repetitions):
             sampled[random.choice(steps, min(self.search.sampled, steps), replace=False), repetition] = True
         return salts, sampled
 
@@ -158,7 +126,7 @@ class Items:
         """Key of each window (a row of words) in each repetition (columns), all walked side by side."""
         padded = np.concatenate([windows, np.zeros((len(windows), 1), np.uint64)], axis=1)
         rows = np.arange(len(windows))[:, None]
-        at = np.zeros((len(windows), self.search.repetitions), np.int64)
+        at = np.zeros((len(windows), self.plans[length][0].shape[1]), np.int64)
         key = np.zeros(at.shape, np.uint64)
         for step, (salts, sampled) in enumerate(zip(*self.plans[length])):
             word = padded[rows, at]
@@ -171,8 +139,8 @@ class Items:
         return key
 
     def shared(self, place: np.ndarray, starts: np.ndarray, length: int, need: int) -> np.ndarray:
-        """Starts of the windows that take ``need`` words from items of the length, each word no more
-        often than any of these items has it."""
+        """Starts of the windows that take ``need`` words from segments of the length, each word no more
+        often than any of these has it."""
         ordered = np.sort(place[starts[:, None] + np.arange(length)], axis=1)
         column = np.arange(length)
         changed = np.ones(ordered.shape, bool)
@@ -180,9 +148,9 @@ class Items:
         copy = column - np.maximum.accumulate(np.where(changed, column, 0), axis=1)
         return starts[(copy < self.times[length][ordered]).sum(axis=1) >= need]
 
-    def candidates(self, words: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window start, item) of windows that share a key or hold a piece of an item; ``words`` holds the
-        texts that start at ``begins``, each with ``longest`` zeros behind it."""
+    def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window start, segment) of windows that share a key; ``words`` holds the texts, with ``longest``
+        zeros before, between and behind them."""
         place = np.searchsorted(self.vocabulary, words)
         place[place == len(self.vocabulary)] = 0
         place[self.vocabulary[place] != words] = len(self.vocabulary)
@@ -196,8 +164,6 @@ class Items:
                 starts = starts[inside[starts + length] - inside[starts] >= need]
             starts = [self.shared(place, starts[low : low + 4096], length, need) for low in range(0, len(starts), 4096)]
             starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
-            if len(starts):
-                yield from self.pieced(words, begins, starts, length)
             for low in range(0, len(starts), 2048):
                 part = starts[low : low + 2048]
                 windows = words[part[:, None] + np.arange(length)]
@@ -229,38 +195,57 @@ class Finder:
         self.items, self.search, self.hashes = Items(items, search), search, WordHashes()
 
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
-        """For each text its (item, start, words, distance), the nearest passage for every item."""
+        """For each text its (item, start, words, distance), for every item passages that do not overlap."""
         gap = np.zeros(self.items.longest, np.uint64)
         docs = [hashed(t, self.hashes) for t in texts]
         found: list[list[tuple]] = [[] for _ in docs]
         if not self.items.lengths or not docs:
             return found
-        words = np.concatenate([part for d in docs for part in (d, gap)])
-        begins = np.cumsum([0] + [len(d) + len(gap) for d in docs])
-        pairs = [np.stack(p, axis=1) for p in self.items.candidates(words, begins)]
+        words = np.concatenate([gap, *[part for d in docs for part in (d, gap)]])
+        lengths = np.array([len(d) for d in docs], np.int64)
+        begins = len(gap) + np.cumsum(lengths + len(gap)) - lengths - len(gap)
+        pairs = [np.stack(p, axis=1) for p in self.items.candidates(words)]
         if not pairs:
             return found
         pairs = np.unique(np.concatenate(pairs), axis=0)
-        owner = np.searchsorted(begins, pairs[:, 0], side="right") - 1
-        best: dict[tuple[int, int], tuple] = {}
-        reach: dict[tuple[int, int], int] = {}
-        for doc, (start, number) in zip(owner.tolist(), pairs.tolist()):
-            item = self.items.words[number]
-            limit = int(self.search.max_edits * len(item))
-            slot, start = (doc, number), start - int(begins[doc])
-            if start < reach.get(slot, -1):
-                continue
-            low, high = max(0, start - limit), min(len(docs[doc]), start + 2 * len(item) + limit)
-            reach[slot] = start + len(item) // 2
-            distance, end = best_passage(item, docs[doc][low:high])
-            if distance <= limit and distance < best.get(slot, (limit + 1,))[0]:
-                _, back = best_passage(item[::-1], docs[doc][low : low + end][::-1])
-                best[slot] = (distance, low + end - back, back)
-        for (doc, number), (distance, start, size) in best.items():
-            found[doc].append((self.items.ids[number], start, size, distance))
+        # A window may begin before its text, as the passage may lack words there.
+        owner = np.searchsorted(begins + lengths, pairs[:, 0], side="right")
+        item = self.items.item[pairs[:, 1]]
+        # Where the whole item would begin, had the passage no word more or less before the segment.
+        start = pairs[:, 0] - begins[owner] - self.items.offset[pairs[:, 1]]
+        order = np.lexsort((start, item, owner))
+        owner, item, start = owner[order], item[order], start[order]
+        limits = np.array([int(self.search.max_edits * len(w)) for w in self.items.words], np.int64)
+        sizes = np.array([len(w) for w in self.items.words], np.int64)
+        # Starts whose surroundings meet are looked at together.
+        new = np.ones(len(start), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > (sizes + 3 * limits)[item[1:]])
+        firsts = np.flatnonzero(new)
+        lasts = np.append(firsts[1:], len(start)) - 1
+        for doc, number, low, high in zip(owner[firsts].tolist(), item[firsts].tolist(), start[firsts].tolist(), start[lasts].tolist()):
+            limit, size = int(limits[number]), int(sizes[number])
+            low, high = max(0, low - limit), min(len(docs[doc]), high + size + 2 * limit)
+            for start_, words_, distance in passages(self.items.words[number], docs[doc][low:high], limit):
+                found[doc].append((self.items.ids[number], low + start_, words_, distance))
         return [sorted(f, key=lambda m: (m[1], str(m[0]))) for f in found]
 
 
+def passages(item: np.ndarray, words: np.ndarray, limit: int) -> Iterator[tuple[int, int, int]]:
+    """(start, words, edit distance) of passages within the limit that do not overlap: the nearest, then those
+    in what is left before and behind it."""
+    waiting = [(0, len(words))]
+    while waiting:
+        low, high = waiting.pop()
+        if high - low < max(1, len(item) - limit):
+            continue
+        distance, end = best_passage(item, words[low:high])
+        if distance > limit:
+            continue
+        _, back = best_passage(item[::-1], words[low : low + end][::-1])
+        yield low + end - back, back, distance
+        waiting += [(low, low + end - back), (low + end, high)]
+
+
 def item_blocks(items: DataFrame, key: str, text: str, search: Search) -> Iterator[list[tuple]]:
     """Items in blocks of about ``block_bytes``; a longer item is a block of its own."""
     rows = items.select(quoted(key).alias("key"), quoted(text).alias("text")).where("key is not null and text is not null")
@@ -278,15 +263,17 @@ def with_matches(
     ``text``, places and lengths in words with anything but punctuation.
 
     Null and empty texts have no match; items that are null, have a null key or fewer than
-    ``min_words`` words are not searched for; equal items are all reported; rows may repeat. A column
-    of ``df`` called ``name`` is replaced. Without items every array is empty.
+    ``min_words`` words are not searched for (any may be; below five words no edit is allowed); equal items are
+    all reported; an item's passages do not overlap; rows may repeat. A column of ``df`` called ``name``
+    is replaced. Without items every array is empty.
     """
     kept = [c for c in df.columns if c.lower() != name.lower()]
     kind = items.schema[item_key].dataType.simpleString()
     out = f"array<struct<item:{kind}, start:long, words:long, distance:long>>"
     result = df.select(*[quoted(c) for c in kept]).withColumn(name, F.array().cast(out))
-    for block in item_blocks(items, item_key, item_text, search):
-        result = one_block(result, text, block, name, out, kind, search)
+    for number, block in enumerate(item_blocks(items, item_key, item_text, search)):
+        # From stored rows, else all blocks would be searched for, and held, side by side.
+        result = one_block(stored(result, "searched")[0] if number else result, text, block, name, out, kind, search)
     return result
 
 
