@@ -1,7 +1,9 @@
-"""Fitted decision trees as plain values and as SQL."""
+"""Fitted decision trees as plain values and as column expressions."""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, functions as F
+
 
 def nested(node) -> tuple | float:
     """A fitted node as (feature, threshold, low, high), a leaf as its label."""
@@ -14,9 +16,33 @@ def nested(node) -> tuple | float:
     return (int(split.featureIndex()), float(split.threshold()), low, high)
 
 
-def as_sql(node: tuple | float, names: list[str]) -> str:
-    """The tree as a CASE expression over ``names``."""
-    if not isinstance(node, tuple):
-        return repr(node) + "D"
-    feature, threshold, low, high = node
-    return f"CASE WHEN {names[feature]} <= {threshold!r}D THEN {as_sql(low, names)} ELSE {as_sql(high, names)} END"
+def votes(forest: list[tuple | float], values: Column) -> Column:
+    """Mean of the trees' labels for an array of feature values.
+
+    The nodes of all trees are four arrays, walked down as far as the deepest tree goes; a leaf stays where it is. Unlike
+    an expression for every node this does not grow with the forest beyond what can be compiled.
+    """
+    nodes: list[list] = []
+
+    def add(node: tuple | float) -> int:
+        number = len(nodes)
+        if not isinstance(node, tuple):
+            nodes.append([0, float("inf"), number, number, node])
+            return number
+        nodes.append([node[0], node[1], 0, 0, 0.0])
+        nodes[number][2:4] = add(node[2]), add(node[3])
+        return number
+
+    def depth(node: tuple | float) -> int:
+        return 1 + max(depth(node[2]), depth(node[3])) if isinstance(node, tuple) else 0
+
+    listed = lambda items, kind: F.split(F.lit(" ".join(map(str, items))), " ").cast(f"array<{kind}>")
+    roots = listed([add(tree) for tree in forest], "int")
+    feature, threshold, low, high, label = (
+        listed(["Infinity" if x == float("inf") else repr(x) for x in column], kind)
+        for column, kind in zip(zip(*nodes), ("int", "double", "int", "int", "double"))
+    )
+    steps = F.sequence(F.lit(1), F.lit(max(1, *map(depth, forest))))
+    down = lambda n: F.when(F.get(values, F.get(feature, n)) <= F.get(threshold, n), F.get(low, n)).otherwise(F.get(high, n))
+    leaf = lambda root: F.aggregate(steps, root, lambda n, _: down(n))
+    return F.aggregate(roots, F.lit(0.0), lambda a, root: a + F.get(label, leaf(root))) / len(forest)
