@@ -105,9 +105,11 @@ DROPPED_SET, INLINE_SET, SIDE_SET, MAIN_SET, ENCLOSING_SET, HINT_SET = (
     frozenset(x.split()) for x in (DROPPED, INLINE, SIDE, MAIN, ENCLOSING, HINTS)
 )
 
+# What begins with a "<": a comment, other things that are not elements, a tag, or a broken tag, which ends with the next
+# ">" or before the next "<" and so never makes a later one be read twice.
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>",
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/<>]*+)(?:(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|(?P<broken>[^<>]*+)(?:>|(?=<)|\Z))",
     re.S,
 )
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -144,6 +146,7 @@ def blocks_of(page: str) -> list[tuple[str, int, float, float, int]]:
     side, main, links = 0.0, 0, 0
     any_main = False
     at, size = 0, len(page)
+    ends: dict[str, re.Pattern | None] = {}  # closing tags of dropped elements, None once there are no more
 
     def flush() -> None:
         if pieces:
@@ -162,19 +165,30 @@ def blocks_of(page: str) -> list[tuple[str, int, float, float, int]]:
                 linked.append(text)
 
     while at < size:
-        tag = TAG.search(page, at)
-        if tag is None:
-            say(page[at:])
+        begin = page.find("<", at)
+        say(page[at:begin] if begin >= 0 else page[at:])
+        if begin < 0:
             break
-        say(page[at : tag.start()])
+        tag = TAG.match(page, begin)
+        if tag is None:
+            say("<")
+            at = begin + 1
+            continue
         at = tag.end()
         name = (tag["name"] or "").lower()
         if not name:
             continue
+        rest = tag["rest"] if tag["rest"] is not None else tag["broken"]
         if name in DROPPED_SET and not tag["close"]:
-            if not tag["rest"].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else (at if name in ("head", "title", "map", "option", "button") else size)
+            if not rest.endswith("/"):
+                close = ends.setdefault(name, re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I))
+                end = close.search(page, at) if close else None
+                if end:
+                    at = end.end()
+                else:
+                    # What follows an element that is never closed is read on, unless it is code.
+                    ends[name] = None
+                    at = size if name in ("script", "style") else at
             if name not in INLINE_SET and name not in ("svg", "math", "button", "map", "object"):
                 flush()
             continue
@@ -194,7 +208,7 @@ def blocks_of(page: str) -> list[tuple[str, int, float, float, int]]:
                     break
                 if name in ("p", "span", "a", "li") and stack[i][0] not in ("p", "span", "a", "li"):
                     break
-        elif not tag["rest"].endswith("/"):
+        elif not rest.endswith("/"):
             if name in ("p", "li") and stack and stack[-1][0] == name:
                 _, side, main = stack.pop()
             stack.append((name, side, main))
@@ -205,7 +219,7 @@ def blocks_of(page: str) -> list[tuple[str, int, float, float, int]]:
                     side = 0.5 if side == 1 else 0.0
                 main, any_main = 1, True
             else:
-                side = max(side, side_of(name, tag["rest"]))
+                side = max(side, side_of(name, rest))
     flush()
     return [(t, w, d, s, m if any_main else -1) for t, w, d, s, m in found]
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -275,6 +276,30 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0), "html", ("page_id",)).count() == 0
 
 
+def test_broken_pages_keep_their_text_and_leave_no_markup():
+    texts = lambda page: [b[0] for b in html_text.blocks_of(page)]
+    assert texts("<article><p>one two three</p><svg width=1><p>the rest") == ["one two three", "the rest"]
+    for name in ("svg", "object", "iframe", "canvas", "select", "video", "noscript", "textarea"):
+        assert texts(f"<p>one</p><{name} a='b'><p>two</p><{name}><p>three</p>") == ["one", "two", "three"]
+        assert texts(f"<p>one</p><{name}>gone</{name}><p>two</p><{name}>gone</{name.upper()} ><p>three</p>") == ["one", "two", "three"]
+    assert texts("<p>one</p><script>var x = '<p>no</p>';") == ["one"]
+    assert texts('<p title=">broken words">after words</p>') == ["after words"]
+    assert "<" not in "".join(texts('<p title=">broken>after words</p><p>more</p>')) and texts('<p title=">broken>after words</p><p>more</p>')[-1] == "more"
+    assert texts("<p>one <b two</p><p>three") == ["one", "three"] and texts("a < b and 3 <4") == ["a < b and 3 <4"]
+    assert texts("<p class='x' <p>one</p>") == ["one"] and texts("one<!-- no") == ["one"] and texts("one <a") == ["one"]
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<svg>", "<a x=\"", "<p title='", "<", "</", "<!", "<p>x<object>", "<a b='c' ", "<script ", "<![CDATA[", "<iframe x>y "])
+def test_a_long_broken_page_takes_time_in_proportion(piece):
+    def seconds(size):
+        page = piece * (size // len(piece))
+        began = time.perf_counter()
+        html_text.blocks_of(page)
+        return time.perf_counter() - began
+
+    assert seconds(1 << 20) < 10 and seconds(1 << 20) < 16 * seconds(1 << 17) + 0.5
+
+
 def test_main_text_inside_of_wrappers_with_telling_names(spark):
     one, two = " ".join(["word"] * 40), " ".join(["other"] * 35)
     links = "".join(f'<li><a href="/{i}">Part {i}</a></li>' for i in range(4))
