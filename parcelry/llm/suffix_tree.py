@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from parcelry.llm.common import bitmap_of, scratch_path, shuffle_width, slices, within
+from parcelry.llm.common import bitmap_of, drop_stored, scratch_path, shuffle_width, slices, stored, within
 
 END = b""
 #: Factor of the codes of contexts.
@@ -154,12 +154,6 @@ def counted(docs: DataFrame, length: int, frequent: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "context long, word long, suffix long, n long")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def weighed(tree: Tree, counts: DataFrame, below: DataFrame) -> DataFrame:
     """Rows (context, word, share, left, p, kept) of the counted words of a level.
 
@@ -174,12 +168,14 @@ def weighed(tree: Tree, counts: DataFrame, below: DataFrame) -> DataFrame:
     lower = below.select(F.col("context").alias("suffix"), "word", F.col("p").alias("under"))
     rows = counts.where(followed).join(lower, ["suffix", "word"]).join(sums, "context")
     rows = rows.withColumn("share", (n - tree.discount) / F.col("all")).withColumn("mixed", F.col("share") + F.col("left") * F.col("under"))
-    rows = stored(rows.select("context", "word", "n", "all", "seen", "entries", "left", "under", "share", "mixed"), "entries")
+    rows, path = stored(rows.select("context", "word", "n", "all", "seen", "entries", "left", "under", "share", "mixed"), "entries")
     counted_gain = F.sum(n * F.log(F.col("mixed") / F.col("under")))
     rest = (F.first("all") - F.first("seen")) * F.log(F.first("left"))
     good = rows.groupBy("context").agg((counted_gain + rest > tree.min_gain * F.first("entries")).alias("kept"))
     p = F.when(F.col("kept"), F.col("mixed")).otherwise(F.col("under"))
-    return stored(rows.join(good, "context").select("context", "word", "share", "left", p.alias("p"), "kept"), "level")
+    level, _ = stored(rows.join(good, "context").select("context", "word", "share", "left", p.alias("p"), "kept"), "level")
+    drop_stored(counts.sparkSession, path)
+    return level
 
 
 def grow(docs: DataFrame, vocabulary: DataFrame, total: int, distinct: int, tree: Tree) -> list[DataFrame]:
@@ -193,14 +189,15 @@ def grow(docs: DataFrame, vocabulary: DataFrame, total: int, distinct: int, tree
     least = tree.least(total)
     words = vocabulary.where(F.col("c") >= least).select("word", "c").mapInArrow(number, "code long, c long")
     root = (F.col("c") + 1) / F.lit(float(total + distinct + 1))
-    below = stored(words.select(F.lit(0).cast("long").alias("context"), F.col("code").alias("word"), root.alias("p")), "root")
+    below, _ = stored(words.select(F.lit(0).cast("long").alias("context"), F.col("code").alias("word"), root.alias("p")), "root")
     frequent, levels = bitmap_of(below.select(F.col("word").alias("code"))), []
     for length in range(1, tree.depth + 1):
         if not frequent.any():
             break
         rows = counted(docs, length, frequent).groupBy("context", "word", "suffix").agg(F.sum("n").alias("n"))
-        counts = stored(rows.where(F.col("n") >= least), "counts")
+        counts, path = stored(rows.where(F.col("n") >= least), "counts")
         below = weighed(tree, counts, below)
+        drop_stored(docs.sparkSession, path)
         levels.append(below)
         if length < tree.depth:
             frequent = bitmap_of(below.select(F.col("context").bitwiseXOR(F.col("word")).alias("code")))
@@ -218,7 +215,7 @@ def all_states(spark: SparkSession, levels: list[DataFrame]) -> DataFrame:
     out = spark.createDataFrame([], "code long, value double")
     for level in levels:
         out = out.union(states(level))
-    return stored(out, "states")
+    return stored(out, "states")[0]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -286,7 +283,8 @@ def score(df: DataFrame, key: str, text: str, train: Column, tree: Tree = Tree()
     sent, depth = spark.sparkContext.broadcast(bitmap_of(known_states)), tree.depth
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(shuffle_width(spark), -(-size // block_bytes))
-    spread = F.pmod(F.xxhash64("key", F.octet_length("text")), F.lit(blocks))
+    # By the text as well, so that very many rows of one key, or without one, are not held together.
+    spread = F.pmod(F.xxhash64("key", "text"), F.lit(blocks))
     grouped = docs.withColumn("block", spread).groupBy("block")
     kind = docs.schema["key"].dataType.simpleString()
 
@@ -336,7 +334,7 @@ def score(df: DataFrame, key: str, text: str, train: Column, tree: Tree = Tree()
         return pa.table([left["key"], left["train"], *found_], names=["key", "train", "n_tokens", "n_known", "base_score", "score"])
 
     asked = grouped.applyInArrow(ask, "block long, word binary, code long")
-    asked = stored(asked, "asked")
+    asked, _ = stored(asked, "asked")
     nothing = lambda kind_: F.lit(None).cast(kind_)
     of_words = asked.where("word is not null").select("block", "word").join(vocabulary, "word")
     of_states = asked.where("code is not null").select("block", "code").join(known_states, "code")
