@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelry.functions.dates import month_label
@@ -9,7 +13,7 @@ from parcelry.operators import console, contracts, dedup, listings as ops, stats
 from parcelry.operators.listings import LISTING_VIEW
 from parcelry.plans.bindings import AS_OF, LISTINGS_SQL, TIE_BREAK, listings, table
 from parcelry.plans.registry import Registry, rounded
-from parcelry.sources.tables import profile
+from parcelry.sources.tables import in_batches, profile
 
 registry = Registry()
 query = registry.query
@@ -480,6 +484,22 @@ def repeated_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.repeated_keys(listings(spark, sf_dir, ["article_id"]), "article_id")
 
 
+def _totals(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "quantity": [pc.sum(batch.column("l_quantity")).as_py()]})
+
+
+@query(
+    """SELECT count(*) AS n_rows, sum(l_quantity) AS quantity, true AS bounded FROM lineitem
+WHERE l_shipdate >= TIMESTAMP '1995-06-01' AND l_discount > 0.02"""
+)
+def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals that a function takes batch by batch over a pruned scan."""
+    late = (F.col("l_shipdate") >= F.lit("1995-06-01").cast("timestamp")) & (F.col("l_discount") > 0.02)
+    columns = ["l_quantity", "l_shipdate", "l_discount"]
+    found = in_batches(spark, f"{sf_dir}/lineitem.parquet", _totals, "n long, quantity double", columns, late, 1_000)
+    return found.agg(F.sum("n").alias("n_rows"), F.sum("quantity").alias("quantity"), (F.max("n") <= 1_000).alias("bounded"))
+
+
 @query("SELECT count(*) AS total_rows, CAST(11 AS INTEGER) AS num_columns FROM lineitem")
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile(spark, f"{sf_dir}/lineitem.parquet").select("total_rows", "num_columns")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -26,7 +27,8 @@ from parcelry.plans.bindings import (
 from parcelry.plans.registry import Registry, rounded
 from parcelry.schema import VERDICT
 from parcelry.session import ensure_checkpoint_dir
-from parcelry.sinks.tables import VersionedTable, merge_table
+from parcelry.sinks.tables import VersionedTable, merge_table, write_features
+from parcelry.sources import text_files
 from parcelry.streaming import verdict_cache
 from parcelry.streaming.incremental import detect_changes, first_seen
 from parcelry.streaming.progress import progress_report
@@ -675,8 +677,7 @@ def ordered_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.select("conv_id", F.array_join("items", "|").alias("joined"), F.size("items").cast("bigint").alias("n_items"))
 
 
-@query(
-    f"""WITH {LISTINGS_SQL}, kept AS (
+BOUNDARY_SQL = f"""WITH {LISTINGS_SQL}, kept AS (
   SELECT article_id, CAST(article_id AS BIGINT) // 10 AS way_id, CAST(article_id AS BIGINT) % 10 AS position, area_sqm, part_id
   FROM listings QUALIFY row_number() OVER (PARTITION BY article_id
     ORDER BY delivery_day NULLS FIRST, part_id, supplier_id, price_huf) = 1
@@ -685,8 +686,9 @@ def ordered_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM orders JOIN kept ON way_id = o_orderkey WHERE o_orderstatus <> 'P' AND part_id % 7 <> 0 GROUP BY o_custkey, way_id)
 SELECT CAST(o_custkey AS VARCHAR) AS relation_id, CASE WHEN count(*) = 1 THEN 'Polygon' ELSE 'MultiPolygon' END AS geometry_type,
        string_agg(ring, ';' ORDER BY way_id) AS shape FROM rings GROUP BY o_custkey"""
-)
-def boundary_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+
+def _map_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Customers as boundaries, their orders as ways, order lines as nodes (some not listed)."""
     rows = dedup.first_per_key(listings(spark, sf_dir, ["article_id", "area_sqm", *TIE_BREAK]), ["article_id"], TIE_BREAK)
     number = F.col("article_id").cast("bigint")
@@ -710,12 +712,72 @@ def boundary_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey",
         F.col("m"),
     ).select("relation_id", F.col("relation_id").alias("name"), F.col("items").alias("members"))
-    shapes = geo.assemble_boundaries(relations, ways, nodes)
+    return relations, ways, nodes
+
+
+def _as_document(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of a partition inside of one element, so that each file is a document."""
+    yield pd.DataFrame({"value": ["<osm>"]})
+    yield from frames
+    yield pd.DataFrame({"value": ["</osm>"]})
+
+
+def _shapes_as_text(shapes: DataFrame) -> DataFrame:
     point = lambda p: F.concat(p[0].cast("bigint").cast("string"), F.lit(" "), p[1].cast("bigint").cast("string"))
     ring = lambda r: F.array_join(F.transform(r, point), ",")
     return shapes.select("relation_id", "geometry_type", F.array_join(F.transform("rings", ring), ";").alias("shape"))
 
 
+@query(BOUNDARY_SQL)
+def boundary_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shapes_as_text(geo.assemble_boundaries(*_map_parts(spark, sf_dir)))
+
+
+@query(BOUNDARY_SQL)
+def map_extract_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by way of files: a map extract is written and read, and the features made of it as well."""
+    relations, ways, nodes = _map_parts(spark, sf_dir)
+    refs = F.array_join(F.transform("refs", lambda r: F.concat(F.lit('<nd ref="'), r, F.lit('"/>'))), "")
+    member = lambda m: F.format_string('<member type="%s" ref="%s" role="%s"/>', m["type"], m["ref"], m["role"])
+    members = F.array_join(F.transform("members", member), "")
+    lines = (
+        nodes.select(F.format_string('<node id="%s" lat="%s" lon="%s"/>', "node_id", F.col("lat").cast("string"), F.col("lon").cast("string")))
+        .union(ways.select(F.concat(F.lit('<way id="'), F.col("way_id"), F.lit('">'), refs, F.lit("</way>"))))
+        .union(relations.select(F.concat(
+            F.lit('<relation id="'), F.col("relation_id"), F.lit('">'), members, F.lit('<tag k="name" v="'), F.col("name"), F.lit('"/></relation>')
+        )))
+    )
+    folder = _scratch(spark, "extract")
+    lines.toDF("value").mapInPandas(_as_document, "value string").write.text(f"{folder}/map")
+    shapes = geo.assemble_boundaries(*text_files.read_map_xml(spark, f"{folder}/map"))
+    write_features(geo.feature_json(shapes), f"{folder}/features")
+    schema = "properties struct<name:string>, geometry struct<type:string,coordinates:string>"
+    features = spark.read.schema(schema).json(f"{folder}/features")
+    of_kind = lambda kind: F.from_json("geometry.coordinates", kind)
+    rings = F.when(F.col("geometry.type") == "Polygon", of_kind("array<array<array<double>>>")).otherwise(
+        F.flatten(of_kind("array<array<array<array<double>>>>"))
+    )
+    return _shapes_as_text(features.select(F.col("properties.name").alias("relation_id"), F.col("geometry.type").alias("geometry_type"), rings.alias("rings")))
+
+
+@query(
+    f"""WITH {LISTINGS_SQL} SELECT n_name AS area_name, count(article_id) AS listing_count,
+  '<b>' || n_name || '</b><br>Hirdetések száma: ' || count(article_id) AS popup
+FROM nation LEFT JOIN listings ON n_name = district WHERE n_nationkey % 5 <> 4 GROUP BY n_name"""
+)
+def geojson_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas read from a GeoJSON file (points are none), with their listings."""
+    kind = F.when(F.col("n_nationkey") % 5 == 4, "Point").when(F.col("n_nationkey") % 5 == 3, "MultiPolygon").otherwise("Polygon")
+    geometry = F.struct(kind.alias("type"), F.array(F.array(F.lit(1.0), F.lit(2.0))).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("n_name").alias("Nev"), F.col("n_nationkey").alias("id")).alias("properties"), geometry.alias("geometry"))
+    collection = F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list(feature).alias("features"))
+    folder = _scratch(spark, "areas")
+    table(spark, sf_dir, "nation").agg(F.to_json(collection).alias("value")).write.text(folder)
+    features, names = text_files.read_geojson(spark, folder)
+    found = geo.features_with_counts(geo.only_areas(features), listings(spark, sf_dir, ["article_id", "district"]), geo.feature_name(names))
+    return found.select("area_name", "listing_count", "popup")
+
+
 @query(
     f"""WITH {LISTINGS_SQL} SELECT n_name AS area_name, count(district) AS listing_count,
   '<b>' || n_name || '</b><br>Hirdetések száma: ' || count(district) AS popup

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -59,6 +60,30 @@ def scan(
     return df.select(*existing(df, columns)) if columns else df
 
 
+def in_batches(
+    spark: SparkSession,
+    path: str,
+    run: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]],
+    schema: str,
+    columns: Sequence[str] | None = None,
+    where: Column | None = None,
+    batch_rows: int = 10_000,
+) -> DataFrame:
+    """What ``run`` makes of a scan, a batch of at most ``batch_rows`` rows at a time.
+
+    Files are split at their row groups and read by as many tasks; the projection and what the predicate
+    can rule out by the groups' statistics never leave the reader. Every row is in exactly one batch;
+    ``run`` is called on the workers and sees one batch at a time, whatever the size of a file.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, batch_rows):
+                yield from run(batch.slice(start, batch_rows))
+
+    return scan(spark, path, columns, where).mapInArrow(each, schema)
+
+
 def row_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
     """Rows ``start`` to ``stop`` (exclusive) of each file, by stored position."""
     position = F.col("_metadata.row_index")

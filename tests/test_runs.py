@@ -7,6 +7,7 @@ from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -180,6 +181,20 @@ def test_profile_and_freshness(spark, sf_dir, tmp_path):
     assert names == [("id", "bigint")] and sample.count() == 3
 
 
+def test_every_row_is_in_one_batch_of_a_pruned_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    # Many row groups in each of a few files, ordered so that groups can be ruled out.
+    spark.range(0, 200_000, 1, 3).write.option("parquet.block.size", 64 * 1024).option("parquet.page.size", 8 * 1024).parquet(path)
+    listed = lambda batch: [pa.RecordBatch.from_pydict({"first": [batch.column(0)[0].as_py()], "ids": [batch.column(0).to_pylist()]})]
+    whole = tables.in_batches(spark, path, listed, "first long, ids array<long>", batch_rows=777).collect()
+    assert sorted(i for r in whole for i in r.ids) == list(range(200_000)) and max(len(r.ids) for r in whole) <= 777
+    part = tables.in_batches(spark, path, listed, "first long, ids array<long>", ["id"], F.col("id") >= 150_000, 777)
+    assert sorted(i for r in part.collect() for i in r.ids) == list(range(150_000, 200_000))
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(id,150000)" in plan
+    assert tables.in_batches(spark, path, listed, "first long, ids array<long>", where=F.col("id") < 0).count() == 0
+
+
 def test_prior_verdicts(spark):
     relevant = spark.createDataFrame([("a", "r1", 3)], "article_id string, reason string, floor int")
     irrelevant = spark.createDataFrame([("b", "r2")], "article_id string, reason_to_relevance string")
