@@ -290,6 +290,7 @@ def one_block(df: DataFrame, text: str, block: list[tuple], name: str, out: str,
             texts = batch.column(at).to_pylist()
             rows = [[dict(zip(("item", "start", "words", "distance"), m)) for m in ms] for ms in finder.find(texts)]
             yield batch, pa.array(rows, matched)
+        finder.hashes.clear()  # the worker outlives the task
 
     joined = map_columns(df, run, [text], found, out)
     return joined.withColumn(name, F.concat(quoted(name), found)).drop(found)

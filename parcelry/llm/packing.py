@@ -240,13 +240,14 @@ def pack_texts(
     kind = chosen.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer, spaced).encode, np.array([end_id], np.uint32)
+        known, end = encoder(tokenizer, spaced), np.array([end_id], np.uint32)
 
         def groups():
-            for batch in slices(batches, text, 8 << 20):
-                found = encode(batch.column(1))
+            for batch in slices(batches, text, 4 << 20):
+                found = known.encode(batch.column(1))
                 keys = batch.column(0).to_pylist()
                 yield [(k, np.concatenate([i, end]), None) for k, i in zip(keys, found)], batch.schema.field(0).type
+            known.forget()  # the worker outlives the task
 
         return packed(groups(), limits)
 
