@@ -30,7 +30,7 @@ from parcelry.session import ensure_checkpoint_dir
 from parcelry.sinks.tables import VersionedTable, merge_table, write_features
 from parcelry.sources import text_files
 from parcelry.streaming import verdict_cache
-from parcelry.streaming.incremental import detect_changes, first_seen
+from parcelry.streaming.incremental import detect_changes, first_seen, remembered
 from parcelry.streaming.progress import progress_report
 
 registry = Registry()
@@ -388,6 +388,34 @@ def streaming_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/rows").select("text_id")
 
 
+#: Time for which a user counts as known, in days, and days of an increment.
+KNOWN_DAYS, INCREMENT_DAYS = 2, 6
+
+
+@query(
+    f"""WITH days AS (SELECT user_id, epoch_us(CAST(ts AS TIMESTAMP)) AS us FROM events), late AS (
+  SELECT user_id FROM days WHERE us > (SELECT max(us) FROM days) - {2 * KNOWN_DAYS} * 86400000000)
+SELECT user_id, true AS state_is_bounded, user_id IN (SELECT user_id FROM late) AS may_be_remembered FROM days GROUP BY user_id"""
+)
+def streaming_first_seen_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of an event stream in increments of some days, known for a bounded time; the state is read back."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    start, end = events.agg(F.min("ts").cast("date"), F.max("ts")).first()
+    day, folder = F.datediff("ts", F.lit(start)), _scratch(spark, "users")
+    for first in range(0, (end.date() - start).days + 1, INCREMENT_DAYS):
+        events.where((day >= first) & (day < first + INCREMENT_DAYS)).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        kept = first_seen(stream, "user_id", "ts", f"{KNOWN_DAYS} days")
+        writer = kept.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/progress")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    held = remembered(spark, f"{folder}/progress").distinct()
+    late = events.where(F.col("ts") > F.lit(end) - F.make_dt_interval(F.lit(2 * KNOWN_DAYS))).select("user_id").distinct()
+    beyond = held.join(late, "user_id", "left_anti").count()
+    users = spark.read.parquet(f"{folder}/out").select("user_id").distinct()
+    marked = users.join(late.withColumn("may_be_remembered", F.lit(True)), "user_id", "left")
+    return marked.select("user_id", F.lit(beyond == 0).alias("state_is_bounded"), F.coalesce("may_be_remembered", F.lit(False)).alias("may_be_remembered"))
+
+
 @query(
     """SELECT sha256(coalesce(text, '')) AS cache_key, count(*) AS n_rows, count(*) - 1 AS hits,
        count(*) - count(DISTINCT doc_id % 2) AS hits_of_short_life FROM documents GROUP BY 1"""

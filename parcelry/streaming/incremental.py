@@ -72,8 +72,15 @@ def detect_changes(
 def first_seen(stream: DataFrame, key: str = "article_id", event_time: str | None = None, within: str = "1 day") -> DataFrame:
     """First row of each key over the life of the stream.
 
-    With an event time, keys are forgotten after ``within``, which bounds the state.
+    With an event time, a key is forgotten once the watermark, which stays ``within`` behind the newest
+    event, has passed its first row by ``within``; it then counts as new. That bounds the state to the keys
+    of twice that time. Rows older than the watermark are dropped.
     """
     if event_time is None:
         return stream.dropDuplicates([key])
     return stream.withWatermark(event_time, within).dropDuplicatesWithinWatermark([key])
+
+
+def remembered(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The keys that a query over ``first_seen`` keeps as state after its last batch."""
+    return spark.read.format("statestore").load(checkpoint).select("key.*")

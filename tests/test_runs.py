@@ -18,7 +18,7 @@ from parcelry.schema import CHECKSUM_STATE, DECISION_LOG, FEEDBACK, LISTING, VER
 from parcelry.session import cut_lineage
 from parcelry.sinks import tables as sinks
 from parcelry.sources import tables, text_files
-from parcelry.streaming.incremental import detect_changes, first_seen, listing_stream, state_before
+from parcelry.streaming.incremental import detect_changes, first_seen, listing_stream, remembered, state_before
 from parcelry.streaming.progress import progress_report
 from parcelry.streaming.verdict_cache import SETTINGS, held, serve
 
@@ -370,6 +370,24 @@ def test_first_seen_rows(spark, tmp_path):
     assert rows(spark.read.parquet(f"{folder}/out").select("article_id")) == [("a",), ("b",), ("c",)]
 
 
+def test_first_seen_forgets_in_time_and_drops_late_rows(spark, tmp_path):
+    folder, schema = str(tmp_path), "k string, ts timestamp"
+    day = lambda n, hour=0: pd.Timestamp(f"2024-01-{n:02d}") + pd.Timedelta(hours=hour)
+    for increment in (
+        [("a", day(1)), ("a", day(1, 1)), ("b", day(1, 2))],
+        [("a", day(1, 20)), ("c", day(4))],  # a is known still; the watermark is on the third day afterwards
+        [("a", day(4, 1)), ("b", day(2)), ("c", day(4, 2))],  # a is new again, b is late, c is known
+    ):
+        rows_in = [(k, t.to_pydatetime()) for k, t in increment]
+        spark.createDataFrame(rows_in, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = first_seen(spark.readStream.schema(schema).parquet(f"{folder}/in"), "k", "ts", "1 day")
+        writer = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/p")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r.k, r.ts.day, r.ts.hour) for r in spark.read.parquet(f"{folder}/out").collect())
+    assert got == [("a", 1, 0), ("a", 4, 1), ("b", 1, 2), ("c", 4, 0)]
+    assert rows(remembered(spark, f"{folder}/p")) == [("a",), ("c",)]
+
+
 def test_state_cache_answers_repeats(spark, tmp_path):
     folder = str(tmp_path)
     write_listings(spark, folder, ("k1", "first"), ("k2", "x"))
