@@ -28,7 +28,7 @@ def test_a_copy_without_training_data_keeps_every_other_query(tmp_path, pipeline
     copy = tmp_path / "copy"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache", "spark-warehouse"))
     if not pipeline:
-        (copy / "corpus_pipeline.py").unlink()
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
     import __spark_entry__ as contract
 
     own = {name for name in contract.queries() if not name.startswith("op") or not name[2:3].isdigit()} - {"pipeline"}
