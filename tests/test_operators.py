@@ -272,20 +272,51 @@ def reference_similarities(examples, texts):
     return result
 
 
-def test_similarity_equals_direct_computation_for_any_block_size(spark):
+def test_similarity_equals_direct_computation_for_any_size_of_cells(spark):
     examples = [(t, i % 3 != 0) for i, t in enumerate(example_texts(60, 5))]
     texts = example_texts(80, 6) + ["", "zzz yyy", *["lakás ház telek"] * 40]
     expected = reference_similarities(examples, texts)
-    classifier = similarity.ExampleClassifier.fit(spark.createDataFrame(examples, "description string, relevant boolean"))
     expected |= {i: (0.0, 0.0) for i in range(len(texts), len(texts) + 3)}
     df = spark.createDataFrame(list(enumerate(texts + [None] * 3)), "id int, t string")
-    for bound in (similarity.BLOCK_BYTES, 5000):
-        got = {r["id"]: (r["relevant_sim"], r["irrelevant_sim"]) for r in classifier.similarities(df, "id", "t", bound).collect()}
-        assert got.keys() == expected.keys()
+    labelled = spark.createDataFrame(examples, "description string, relevant boolean")
+    for size in (similarity.CELL_EXAMPLES, 4):
+        classifier = similarity.ExampleClassifier.fit(labelled, cell_examples=size)
+        assert len(classifier.cells.counts) == 2 if size > 4 else len(classifier.cells.counts) > 10
+        rows = classifier.similarities(df, "id", "t").collect()
+        got = {r["id"]: (r["relevant_sim"], r["irrelevant_sim"]) for r in rows}
+        assert len(rows) == len(expected) and got.keys() == expected.keys()
         for key, pair in expected.items():
             assert got[key] == pytest.approx(pair, abs=1e-9)
 
 
+def test_cells_split_into_parts_and_most_are_ruled_out(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "GROUP_TEXTS", 7)
+    monkeypatch.setattr(similarity, "GROUP_EXAMPLES", 3)
+    random.seed(8)
+    # Texts of eight vocabularies that share one word: nearest examples lie in cells of the own vocabulary.
+    kinds = [[f"{chr(97 + k) * 2}{w}" for w in WORDS] for k in range(8)]
+    text_of = lambda i: " ".join(["közös", *random.choices(kinds[i % 8], k=12)])
+    examples = [(text_of(i), i // 8 % 2 == 0) for i in range(320)]
+    texts = [text_of(i) for i in range(160)]
+    expected = reference_similarities(examples, texts)
+    labelled = spark.createDataFrame(examples, "description string, relevant boolean")
+    classifier = similarity.ExampleClassifier.fit(labelled, cell_examples=5)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    sims, further = classifier.found(df, "id", "t")
+    got = {r["id"]: (r["relevant_sim"], r["irrelevant_sim"]) for r in sims.collect()}
+    for key, pair in expected.items():
+        assert got[key] == pytest.approx(pair, abs=1e-9)
+    assert further.count() < 0.5 * len(texts) * len(classifier.cells.counts)
+
+
+def test_similarity_of_an_empty_table_and_of_repeated_keys(spark):
+    labelled = spark.createDataFrame([(t, i % 2 == 0) for i, t in enumerate(example_texts(40, 9))], "description string, relevant boolean")
+    classifier = similarity.ExampleClassifier.fit(labelled)
+    assert classifier.similarities(spark.createDataFrame([], "id int, t string"), "id", "t").collect() == []
+    rows = classifier.similarities(spark.createDataFrame([(1, "lakás ház"), (1, "lakás ház"), (None, "telek")], "id int, t string"), "id", "t")
+    assert sorted(r["id"] or 0 for r in rows.collect()) == [0, 1, 1]
+
+
 def test_too_few_examples(spark):
     few = spark.createDataFrame([("a b", True)] * 20 + [("c d", False)] * 4, "description string, relevant boolean")
     assert similarity.ExampleClassifier.fit(few) is None
