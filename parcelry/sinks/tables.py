@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
@@ -33,8 +33,9 @@ class VersionedTable:
     """Parquet in folders of their own and a commit file for each version; readers take the newest version.
 
     A job can so read the current version while writing the next, and a failed write leaves the
-    former version in place. A commit creates the file of its number, which only one writer can;
-    one that started from an older version has to start again.
+    former version in place. A commit puts a written file under its number, which only one writer can;
+    one that started from an older version has to start again. (This needs a file system whose rename leaves
+    an existing file alone, or a local one.)
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, strict: bool = True):
@@ -76,19 +77,23 @@ class VersionedTable:
         return read_table(self.spark, f"{self.path}/{self._folder(number)}", self.schema, self.strict)
 
     def _commit(self, number: int, folder: str) -> None:
-        """Make ``folder`` version ``number``; only one writer ever can."""
-        fs, at = self._fs(self._commit_file(number))
-        try:
-            stream = fs.create(at, False)
-        except Py4JJavaError as problem:
-            if fs.exists(at):
-                raise Conflict(f"version {number} exists") from problem
-            raise
+        """Make ``folder`` version ``number``; only one writer ever can, and no reader sees a commit file without its name."""
+        (fs, at), (_, draft) = self._fs(self._commit_file(number)), self._fs(f"{self.path}/_versions/draft-{folder}")
+        stream = fs.create(draft, True)
         try:
             stream.write(bytearray(folder.encode()))
         finally:
             stream.close()
-        # A local file system does not create in one step: of two writers the last one's name stays.
+        try:
+            if fs.getUri().getScheme() == "file":
+                # A local rename would replace what is there; a hard link does not.
+                os.link(draft.toUri().getPath(), at.toUri().getPath())
+            elif fs.exists(at) or not fs.rename(draft, at):
+                raise Conflict(f"version {number} exists")
+        except FileExistsError as problem:
+            raise Conflict(f"version {number} exists") from problem
+        finally:
+            fs.delete(draft, False)
         if self._folder(number) != folder:
             raise Conflict(f"version {number} is another writer's")
 

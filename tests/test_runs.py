@@ -514,3 +514,42 @@ def test_trial_mode_takes_the_first_rows_only(spark):
     by_rules = sorted(r.article_id for r in got if r.filtered_by == "worker")
     assert by_rules == [f"{i:03d}" for i in range(0, 20, 4)]
     assert sorted(r.article_id for r in got if r.filtered_by == "llm") == ["001", "002", "003", "005", "006", "007"]
+
+
+def test_a_commit_file_is_never_seen_without_its_name(spark, tmp_path):
+    table = sinks.VersionedTable(spark, str(tmp_path / "t"), CHECKSUM_STATE)
+    seen, over = set(), threading.Event()
+
+    def watch():
+        while not over.is_set():
+            for file in (tmp_path / "t" / "_versions").glob("0*"):
+                seen.add((int(file.name), file.read_bytes().decode()))
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        for number in range(1, 41):
+            table._commit(number, f"rows-{number}")
+    finally:
+        over.set()
+        watcher.join()
+    assert seen and all(name == f"rows-{number}" for number, name in seen)
+    with pytest.raises(sinks.Conflict):
+        table._commit(7, "rows-other")
+    assert table._folder(7) == "rows-7" and table.versions() == list(range(1, 41))
+    assert not list((tmp_path / "t" / "_versions").glob("draft-*"))
+
+
+def test_of_many_writers_one_commits_a_number(spark, tmp_path):
+    table = sinks.VersionedTable(spark, str(tmp_path / "t"), CHECKSUM_STATE)
+
+    def commit(folder):
+        try:
+            table._commit(1, folder)
+            return folder
+        except sinks.Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [f for f in pool.map(commit, [f"rows-{i}" for i in range(24)]) if f]
+    assert won == [table._folder(1)]
