@@ -349,8 +349,10 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
 
 def _article_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    """The documents as a stream. A glob names a table of one file as well as a folder of files; a plain path
+    would have to be a folder."""
+    schema = table(spark, sf_dir, "documents").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
 
 
 @query(f"WITH {CHANGES_SQL} SELECT article_id, checksum, change FROM changes WHERE change <> 'unchanged'")
@@ -385,7 +387,7 @@ def streaming_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
         .start()
     )
     running.awaitTermination()
-    return spark.read.parquet(f"{folder}/rows").select("text_id")
+    return spark.read.schema("text_id string").parquet(f"{folder}/rows")
 
 
 #: Time for which a user counts as known, in days, and days of an increment.
