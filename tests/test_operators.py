@@ -539,3 +539,25 @@ def test_boundary_shapes(spark):
     shapes = geo.assemble_boundaries(relations, ways, nodes).orderBy("relation_id").collect()
     assert shapes[0]["geometry_type"] == "Polygon" and shapes[0]["rings"] == [[[5, 6], [1, 2], [5, 6]]]
     assert shapes[1]["geometry_type"] == "MultiPolygon" and shapes[1]["rings"] == [[[3, 4]], [[5, 6], [1, 2], [5, 6]]]
+
+
+def _counted(df, column):
+    """``df`` with ``column`` passed through a function that counts its calls."""
+    calls = df.sparkSession.sparkContext.accumulator(0)
+
+    def same(value):
+        calls.add(1)
+        return value
+
+    through = F.udf(same, df.schema[column].dataType, useArrow=False).asNondeterministic()
+    return df.withColumn(column, through(F.col(column))), calls
+
+
+def test_neighbour_search_reads_its_queries_once(spark):
+    points = spark.range(300).select(
+        F.col("id").cast("string").alias("key"), F.array(F.col("id") * 1.0, (F.col("id") % 7) * 1.0).alias("features"), (F.col("id") * 2.0).alias("label")
+    )
+    queries, calls = _counted(points.where("key % 3 = 0"), "features")
+    near, _ = neighbours.NeighbourModel.fit(points, 3, cell_points=50).found(queries)
+    assert near.where(F.size("near") == 3).count() == 100
+    assert calls.value == 100
