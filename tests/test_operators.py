@@ -561,3 +561,31 @@ def test_neighbour_search_reads_its_queries_once(spark):
     near, _ = neighbours.NeighbourModel.fit(points, 3, cell_points=50).found(queries)
     assert near.where(F.size("near") == 3).count() == 100
     assert calls.value == 100
+
+
+def _price_listings(spark, n=400):
+    listed = spark.range(n).select(
+        F.col("id").cast("string").alias("article_id"), (2e7 + F.col("id") * 1e5).alias("price_huf"), (30.0 + F.col("id") % 50).alias("area_sqm"),
+        (F.col("id") % 4).cast("double").alias("rooms"), (F.col("id") % 9).cast("int").alias("floor"), F.concat(F.lit("d"), F.col("id") % 3).alias("district"),
+        F.lit(True).alias("relevant"),
+    )
+    return listed
+
+
+def test_price_data_reads_its_listings_once(spark):
+    listings, calls = _counted(_price_listings(spark), "area_sqm")
+    data = pricing.PriceData.of(listings)
+    assert data.train.count() + data.test.count() == 400
+    assert calls.value <= 400
+
+
+def test_parts_of_price_data_follow_cores_and_rows_not_the_shuffle_width(spark, monkeypatch):
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        slots = spark.sparkContext.defaultParallelism
+        assert pricing.PriceData.of(_price_listings(spark)).train.rdd.getNumPartitions() == slots
+        monkeypatch.setattr(pricing, "PART_ROWS", 20)
+        assert pricing.PriceData.of(_price_listings(spark)).train.rdd.getNumPartitions() == 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
