@@ -4,6 +4,7 @@ import statistics
 import subprocess
 import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -309,6 +310,33 @@ def test_cells_split_into_parts_and_most_are_ruled_out(spark, monkeypatch):
     assert further.count() < 0.5 * len(texts) * len(classifier.cells.counts)
 
 
+def test_blocks_of_texts_and_parts_of_cells_find_the_same(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_TEXTS", 7)
+    monkeypatch.setattr(similarity, "BLOCK_EXAMPLES", 9)
+    examples = [(t, i % 3 != 0) for i, t in enumerate(example_texts(120, 5))]
+    texts = example_texts(60, 6)
+    # The second fit has cells that are larger than a part.
+    for size in (4, 60):
+        classifier = similarity.ExampleClassifier.fit(spark.createDataFrame(examples, "description string, relevant boolean"), cell_examples=size)
+        sims = classifier.similarities(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t")
+        got = {r["id"]: (r["relevant_sim"], r["irrelevant_sim"]) for r in sims.collect()}
+        for key, pair in reference_similarities(examples, texts).items():
+            assert got[key] == pytest.approx(pair, abs=1e-9)
+
+
+def test_vectors_are_not_stored_for_every_cell_they_meet(spark):
+    examples = [(t, i % 3 != 0) for i, t in enumerate(example_texts(400, 5))]
+    classifier = similarity.ExampleClassifier.fit(spark.createDataFrame(examples, "description string, relevant boolean"), cell_examples=2)
+    df = spark.createDataFrame(list(enumerate(example_texts(200, 6))), "id int, t string")
+    stored = lambda: sum(f.stat().st_size for f in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).rglob("part-*"))
+    before = stored()
+    sims, further = classifier.found(df, "id", "t")
+    assert sims.count() == 200
+    written, meetings = stored() - before, further.count()
+    vectors = classifier.vectors.packed(df, "id", "t").agg(F.sum(F.octet_length("vector"))).first()[0]
+    assert meetings > 2_000 and written < 5 * vectors
+
+
 def test_similarity_of_an_empty_table_and_of_repeated_keys(spark):
     labelled = spark.createDataFrame([(t, i % 2 == 0) for i, t in enumerate(example_texts(40, 9))], "description string, relevant boolean")
     classifier = similarity.ExampleClassifier.fit(labelled)
