@@ -310,6 +310,20 @@ def test_cells_split_into_parts_and_most_are_ruled_out(spark, monkeypatch):
     assert further.count() < 0.5 * len(texts) * len(classifier.cells.counts)
 
 
+def test_terms_are_counted_without_a_row_for_each_occurrence(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "WORDS_COUNTED", 5, raising=False)
+    texts = ["ab cd ab cd ab", "", None, "x", "cd ab", "ab", "ef", " ".join(["ab"] * 30)]
+    total, df = Counter(), Counter()
+    for text in texts:
+        words = [w for w in (text or "").split() if len(w) > 1]
+        found = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        total.update(found)
+        df.update(set(found))
+    counted = similarity.term_totals(spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1), "t")
+    assert {r["term"]: (r["total"], r["df"]) for r in counted.collect()} == {t: (total[t], df[t]) for t in total}
+    assert "Generate" not in counted._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_blocks_of_texts_and_parts_of_cells_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK_TEXTS", 7)
     monkeypatch.setattr(similarity, "BLOCK_EXAMPLES", 9)
