@@ -8,7 +8,8 @@ ends. Each symbol also carries the stretch of words that its being there depends
 A window of words has as its anchor a symbol whose stretch lies inside it: of the highest round that
 has one, the one with the smallest name. The anchor depends on the window's words alone, so equal
 windows have equal anchors wherever they occur. Neighbouring windows with one anchor make an
-occurrence: its anchor's name, a hash of its words (its span), and the document. Then
+occurrence: its anchor's name, a hash of its words (its span), the document and where in it the
+windows start. Then
 
 - a name seen in one document only has no shared window; a bitmap of the others' names spares the
   occurrences of most such names every further step;
@@ -16,13 +17,15 @@ occurrence: its anchor's name, a hash of its words (its span), and the document.
 - those in the smallest document, where the name has other spans as well, are compared with the first
   occurrences of these by the 128-bit hashes of their windows.
 
-The texts are grouped into blocks of documents, to which the answers for their occurrences are sent.
+Texts are parsed once. They are grouped into blocks of documents, to which what is asked of or known about
+their windows is sent by row (the tag, a 64-bit hash of document and text) and place; nothing is parsed again.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -148,21 +151,26 @@ class Hashes(dict):
         return found
 
 
-class Block:
-    """Words, occurrences and hashes of some documents."""
+class Texts:
+    """Words of some documents and their hashes, zeros before, between and after the documents."""
 
-    def __init__(self, texts: list[str | None], window: int, hashes: Hashes):
-        self.window = window
+    def __init__(self, texts: list[str | None], hashes: Hashes):
         self.split = [words_of(t) for t in texts]
         parts, zero = [], np.zeros(1, np.uint64)
         for words in self.split:
             parts += [zero, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))]
         self.words = np.concatenate([*parts, zero])
-        lengths = np.array([len(w) for w in self.split], np.int64)
-        self.begins = np.cumsum(lengths + 1) - lengths
-        windows = np.maximum(lengths - window + 1, 0)
-        offset = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-        starts = np.repeat(self.begins, windows) + offset
+        self.lengths = np.array([len(w) for w in self.split], np.int64)
+        self.begins = np.cumsum(self.lengths + 1) - self.lengths
+
+
+class Block(Texts):
+    """Words, occurrences and hashes of some documents."""
+
+    def __init__(self, texts: list[str | None], window: int, hashes: Hashes):
+        super().__init__(texts, hashes)
+        windows = np.maximum(self.lengths - window + 1, 0)
+        starts = np.repeat(self.begins, windows) + counted_up(windows)
         names, places = anchors(self.words, starts, window)
         new = np.ones(len(starts), bool)
         new[1:] = (starts[1:] != starts[:-1] + 1) | (names[1:] != names[:-1]) | (places[1:] != places[:-1])
@@ -171,21 +179,20 @@ class Block:
         self.high = starts[np.append(at[1:], len(starts)) - 1] if len(at) else starts
         self.name = names[at]
         self.owner = np.searchsorted(self.begins, self.low, side="right") - 1
-        self.stretches = Stretches(self.words)
-        span = mix(self.stretches.of(self.low, self.high + window, 0) + mix((places[at] - self.low).astype(np.uint64), 9))
+        stretches = Stretches(self.words)
+        span = mix(stretches.of(self.low, self.high + window, 0) + mix((places[at] - self.low).astype(np.uint64), 9))
         self.span = mix(span + (self.high - self.low).astype(np.uint64))
 
-    def matched(self, names: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences among the given (name, span), and the place of each there."""
-        order = np.lexsort((spans, names))
-        both = names[order] + mix(spans[order], 4)
-        by = np.argsort(both, kind="stable")
-        order, both = order[by], both[by]
-        if not len(both):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(both, self.name + mix(self.span, 4)), len(both) - 1)
-        hit = np.flatnonzero((names[order[at]] == self.name) & (spans[order[at]] == self.span))
-        return hit, order[at[hit]]
+
+def counted_up(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each count, exclusive, one after the other."""
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def rows_by_tag(tags: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct tag, in the order of tags, and the place of each wanted tag among them (all occur)."""
+    known, first = np.unique(tags, return_index=True)
+    return first, np.searchsorted(known, wanted)
 
 
 def signed(values: np.ndarray) -> pa.Array:
@@ -209,18 +216,20 @@ def remove_shared(df: DataFrame, key: str, text: str, window: int = 50, block_by
     docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(shuffle_width(spark), -(-total // block_bytes))
-    block_of = lambda tag: F.pmod(tag.cast("long"), F.lit(blocks))
-    docs = docs.withColumn("doc", F.coalesce("key", F.lit(int(LAST)))).withColumn("tag", F.hash("doc", "text"))
+    block_of = F.pmod("tag", F.lit(blocks)).alias("block")
+    docs = docs.withColumn("doc", F.coalesce("key", F.lit(int(LAST)))).withColumn("tag", F.xxhash64("doc", "text"))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in slices(batches, "text"):
             held = Block(batch.column(0).to_pylist(), window, hashes)
             doc, tag = (batch.column(i).to_numpy()[held.owner] for i in (1, 2))
-            columns = [signed(held.name), signed(held.span), pa.array(doc), pa.array(tag)]
-            yield pa.RecordBatch.from_arrays(columns, names=["name", "span", "doc", "tag"])
+            start, more = held.low - held.begins[held.owner], held.high - held.low
+            columns = [signed(held.name), signed(held.span), pa.array(doc), pa.array(tag), *[pa.array(x.astype(np.int32)) for x in (start, more)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["name", "span", "doc", "tag", "start", "more"])
 
-    found = docs.select("text", "doc", "tag").mapInArrow(occurrences, "name long, span long, doc long, tag int")
+    kinds = "name long, span long, doc long, tag long, start int, more int"
+    found = docs.select("text", "doc", "tag").mapInArrow(occurrences, kinds)
     seen, seen_path = stored(found, "occurrences")
     names = seen.groupBy("name").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
     bitmap = spark.sparkContext.broadcast(bitmap_of(names.select(F.col("name").alias("code"))))
@@ -229,65 +238,58 @@ def remove_shared(df: DataFrame, key: str, text: str, window: int = 50, block_by
         for batch in batches:
             yield batch.filter(pa.array(within(bitmap.value, unsigned(batch.column(0)))))
 
-    repeated, repeated_path = stored(seen.mapInArrow(often, "name long, span long, doc long, tag int"), "repeated")
+    repeated, repeated_path = stored(seen.mapInArrow(often, kinds), "repeated")
     drop_stored(spark, seen_path)
     variants = repeated.groupBy("name", "span").agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
     by_name = variants.groupBy("name").agg(F.count(F.lit(1)).alias("spans"), F.min("low").alias("lowest"), F.max("high").alias("highest"))
     shared = variants.join(by_name.where("lowest < highest"), "name").select("name", "span", "low", "spans")
     shared, _ = stored(shared, "shared")
     met = repeated.join(shared, ["name", "span"])
-    whole = met.where("doc > low").select(block_of(F.col("tag")).alias("block"), F.col("name").alias("a"), F.col("span").alias("b"), F.col("low").alias("c"))
+    whole = met.where("doc > low").select(block_of, "tag", "start", "more")
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Hashes of the windows of the asked occurrences, with the row's tag and the window's place."""
-        wanted = left.filter(pc.is_in(left["doc"], value_set=right["low"].combine_chunks() if right.num_rows else pa.array([], pa.int64())))
-        held = Block(wanted["text"].to_pylist(), window, Hashes())
-        names, spans, low = (right[c].to_numpy() for c in ("name", "span", "low"))
-        hit, at = held.matched(names.view(np.uint64), spans.view(np.uint64))
-        doc, tag = wanted["doc"].to_numpy(), wanted["tag"].to_numpy().astype(np.int64)
-        hit = hit[doc[held.owner[hit]] == low[at]] if len(hit) else hit
-        count = held.high[hit] - held.low[hit] + 1
-        offset = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-        start = np.repeat(held.low[hit], count) + offset
-        owner = np.repeat(held.owner[hit], count)
-        place = (tag[owner] << 32) | (start - held.begins[owner])
-        hashes = [signed(held.stretches.of(start, start + window, i)) for i in (0, 1)]
-        return pa.table([pa.array(doc[owner]), pa.array(place), *hashes], names=["low", "place", "h1", "h2"])
-
-    asked = met.where("doc = low and spans > 1").select(block_of(F.col("tag")).alias("block"), "name", "span", "low")
-    texts = docs.withColumn("block", block_of(F.col("tag"))).select("key", "text", "doc", "tag", "block")
-    hashed = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(windows, "low long, place long, h1 long, h2 long")
+        """Hashes of the windows of the asked occurrences, with the row's document and tag and the window's place."""
+        tag, place, more = (right[c].to_numpy() for c in ("tag", "start", "more"))
+        order = np.lexsort((place, tag))
+        tag, place, more = tag[order], place[order].astype(np.int64), more[order].astype(np.int64)
+        new = np.ones(len(tag), bool)
+        new[1:] = (tag[1:] != tag[:-1]) | (place[1:] != place[:-1])
+        rows, row = rows_by_tag(left["tag"].to_numpy(), tag[new])
+        asked_rows, row = np.unique(row, return_inverse=True)
+        rows = rows[asked_rows]
+        held, count = Texts(left["text"].take(pa.array(rows)).to_pylist(), Hashes()), more[new] + 1
+        owner, place = np.repeat(row, count), np.repeat(place[new], count) + counted_up(count)
+        start, stretches = held.begins[owner] + place, Stretches(held.words)
+        of_row = [pa.array(left[c].to_numpy()[rows][owner]) for c in ("doc", "tag")]
+        hashes = [signed(stretches.of(start, start + window, i)) for i in (0, 1)]
+        return pa.table([*of_row, pa.array(place.astype(np.int32)), *hashes], names=["low", "tag", "start", "h1", "h2"])
+
+    asked = met.where("doc = low and spans > 1").select(block_of, "tag", "start", "more")
+    texts = docs.withColumn("block", block_of).select("key", "text", "doc", "tag", "block")
+    hashed = texts.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(windows, "low long, tag long, start int, h1 long, h2 long")
     # A row for each span that has a window; copies of a span are not among them.
     earliest = hashed.withColumn("from", F.min("low").over(Window.partitionBy("h1", "h2"))).where(F.col("from") < F.col("low"))
-    block = block_of(F.shiftright("place", 32))
-    single = earliest.select(block.alias("block"), F.col("low").alias("a"), F.col("place").alias("b"), F.lit(None).cast("long").alias("c"))
+    single = earliest.select(block_of, "tag", "start", F.lit(0).alias("more"))
 
     def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
         """The documents of a block without the words of windows that a smaller document has."""
-        keys, texts, doc = left["key"], left["text"].to_pylist(), left["doc"].to_numpy()
-        if not right.num_rows:
-            split = [words_of(t) for t in texts]
-            gone = [np.zeros(len(w), bool) for w in split]
-        else:
-            held = Block(texts, window, Hashes())
-            split = held.split
-            edge = np.zeros(len(held.words) + window + 1, np.int64)
-            spans, places = right.filter(pc.is_valid(right["c"])), right.filter(pc.is_null(right["c"]))
-            hit, at = held.matched(unsigned(spans["a"]), unsigned(spans["b"]))
-            hit = hit[spans["c"].to_numpy()[at] < doc[held.owner[hit]]] if len(hit) else hit
-            np.add.at(edge, held.low[hit], 1)
-            np.add.at(edge, held.high[hit] + window, -1)
-            starts = starts_of(places["a"].to_numpy(), places["b"].to_numpy(), doc, left["tag"].to_numpy(), held.begins)
-            np.add.at(edge, starts, 1)
-            np.add.at(edge, starts + window, -1)
-            covered = np.cumsum(edge)[: len(held.words)] > 0
-            gone = [covered[b : b + len(w)] for b, w in zip(held.begins, split)]
-        kept = [b" ".join(w for w, g in zip(words, mask) if not g) if mask.any() else b" ".join(words) for words, mask in zip(split, gone)]
+        first, row = rows_by_tag(left["tag"].to_numpy(), right["tag"].to_numpy())
+        _, copy_of = rows_by_tag(left["tag"].to_numpy(), left["tag"].to_numpy())
+        split = [words_of(t) for t in left["text"].take(pa.array(first)).to_pylist()]
+        ends = np.cumsum([len(w) for w in split], dtype=np.int64)
+        begins = np.append(0, ends[:-1])[: len(split)]
+        edge = np.zeros(int(ends[-1] if len(ends) else 0) + 1, np.int64)
+        start = begins[row] + right["start"].to_numpy()
+        np.add.at(edge, start, 1)
+        np.add.at(edge, start + right["more"].to_numpy() + window, -1)
+        stays = np.cumsum(edge) <= 0
+        kept = [b" ".join(words if (m := stays[b:e]).all() else compress(words, m.tolist())) for words, b, e in zip(split, begins, ends)]
+        lengths, gone = ends - begins, np.append(0, np.cumsum(~stays))
         columns = [
-            keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys,
-            pa.array([len(w) for w in split], pa.int64()),
-            pa.array([int(m.sum()) for m in gone], pa.int64()),
-            pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()),
+            left["key"].combine_chunks(),
+            pa.array(lengths[copy_of]),
+            pa.array((gone[ends] - gone[begins])[copy_of]),
+            pa.array([k.decode("utf-8", "surrogatepass") for k in kept], pa.string()).take(pa.array(copy_of)),
         ]
         return pa.table(columns, names=["key", "n_words", "n_removed", "kept"])
 
@@ -295,17 +297,3 @@ def remove_shared(df: DataFrame, key: str, text: str, window: int = 50, block_by
         cleaned, "key long, n_words long, n_removed long, kept string"
     )
     return result.withColumnRenamed("key", key)
-
-
-def starts_of(docs: np.ndarray, places: np.ndarray, doc: np.ndarray, tag: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Where the windows at ``places`` (tag and offset) of ``docs`` start, in every row with that document and tag."""
-    order = np.lexsort((places, docs))
-    docs, places = docs[order], places[order]
-    low_tag = tag.astype(np.int64) << 32
-    found = [np.zeros(0, np.int64)]
-    for row in np.flatnonzero(np.isin(doc, docs)):
-        first, last = np.searchsorted(docs, doc[row], "left"), np.searchsorted(docs, doc[row], "right")
-        inner = places[first:last]
-        inner = inner[np.searchsorted(inner, low_tag[row], "left") : np.searchsorted(inner, low_tag[row] + (1 << 32), "left")]
-        found.append(begins[row] + (inner - low_tag[row]))
-    return np.concatenate(found)

@@ -622,6 +622,25 @@ def test_shared_passages_equal_brute_force(spark, odd_rows):
     assert substring_dedup.remove_shared(df.limit(0), "doc_id", "text", 50).count() == 0
 
 
+def test_shared_passages_parse_each_text_once(spark, odd_rows, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+
+    class Noted(substring_dedup.Block):
+        def __init__(self, texts, window, hashes):
+            with open(f"{folder}/{random.SystemRandom().getrandbits(64)}", "w") as note:
+                note.write(str(len(texts)))
+            super().__init__(texts, window, hashes)
+
+    base = " ".join(f"w{i}" for i in range(200))
+    rows = [(k, t) for k, t, _ in odd_rows] + [(100 + i, f"{base} v{i} {base}") for i in range(20)] + [(None, f"x {base}")] * 5
+    df = documents(spark, [(k, t, "s") for k, t in rows]).localCheckpoint()
+    with monkeypatch.context() as patched:
+        patched.setattr(substring_dedup, "Block", Noted)
+        got = substring_dedup.remove_shared(df, "doc_id", "text", 50).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute_removal(rows, 50)
+    assert sum(int(note.read_text()) for note in tmp_path.iterdir()) == len(rows)
+
+
 # --- Benchmark passages
 
 
