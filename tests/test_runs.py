@@ -19,6 +19,7 @@ from parcelry.schema import CHECKSUM_STATE, DECISION_LOG, FEEDBACK, LISTING, VER
 from parcelry.session import cut_lineage
 from parcelry.sinks import tables as sinks
 from parcelry.sources import tables, text_files
+from parcelry.streaming import verdict_cache
 from parcelry.streaming.incremental import detect_changes, first_seen, listing_stream, remembered, state_before
 from parcelry.streaming.progress import progress_report
 from parcelry.streaming.verdict_cache import SETTINGS, held, serve
@@ -448,6 +449,24 @@ def test_expired_verdicts_leave_the_state(spark, tmp_path):
     assert held(spark, f"{folder}/p").count() <= 100
 
 
+def test_cache_is_not_called_for_each_key(spark, tmp_path, monkeypatch):
+    folder, calls = str(tmp_path), tmp_path / "calls"
+
+    class Noted(verdict_cache.VerdictCache):
+        def handleInputRows(self, key, rows, timerValues):
+            with open(calls, "a") as note:
+                note.write(".")
+            yield from super().handleInputRows(key, rows, timerValues)
+
+    monkeypatch.setattr(verdict_cache, "VerdictCache", Noted)
+    keys = [None, "", *map(str, range(1498))]
+    cache_run(spark, folder, [(k, f"answer {k}") for k in keys] * 2, 3_600_000)
+    assert len(calls.read_text()) <= 1024
+    got = Counter(tuple(r) for r in spark.read.parquet(f"{folder}/out").select("cache_key", "answer", "cache_hit").collect())
+    assert got == Counter((k, f"answer {k}", hit) for k in keys for hit in (False, True))
+    assert Counter(rows(held(spark, f"{folder}/p").fillna("null"))) == Counter(("null" if k is None else k, f"answer {k}") for k in keys)
+
+
 def slow(prompts):
     time.sleep(0.1)
     return ["ok"] * len(prompts)
