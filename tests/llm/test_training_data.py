@@ -584,6 +584,42 @@ def test_suffix_tree_equals_plain_counts_over_rare_and_long_contexts(spark, sf_d
     assert phrase.score - phrase.base_score > 6
 
 
+def test_suffix_tree_is_the_same_in_small_blocks_and_groups_with_heavy_contexts(spark, odd_rows):
+    rnd = random.Random(12)
+    words = ["the", "of", "in", "a", *[f"w{i}" for i in range(60)]]
+    rows = [(1000 + i, " ".join(rnd.choices(words, [40, 30, 20, 10, *[1] * 60], k=rnd.randrange(160)))) for i in range(150)]
+    rows += [(2000 + i, t) for i, t in enumerate(t for _, t, _ in odd_rows if len(t or "") < 10_000)]
+    tree, trained = suffix_tree.Tree(), lambda k: k % 4 != 1
+    expected, kept = plain_tree_scores(rows, trained, tree)
+    assert all(n > 0 for n in kept[:3])
+    df = documents(spark, [(k, t, "s") for k, t in rows])
+    docs = df.select(F.col("doc_id").alias("key"), F.lit(True).alias("train"), "text")
+    counts = suffix_tree.word_counts(df).groupBy("word").agg(F.sum("n").alias("c"), F.sum("n").alias("seen"))
+    vocabulary, _ = suffix_tree.numbered(counts)
+    total, distinct = vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
+    blocks, _ = suffix_tree.coded(suffix_tree.blocks_of(docs, 1 << 12), vocabulary, total, distinct, 2)
+    heavy = suffix_tree.heavy_contexts(blocks, vocabulary, 4, 2, 100)
+    single = vocabulary.where("seen > 100").count()
+    assert blocks.count() > 8 and len(heavy) > single > 2
+    sent = suffix_tree.sent_tokens(blocks, 4, heavy, 7)
+    assert sent.count() <= 7 * blocks.count()
+    scored = suffix_tree.score(df, "doc_id", "text", F.col("doc_id") % 4 != 1, tree, block_bytes=1 << 12, light=100, group=1500).collect()
+    assert len(scored) == len(rows)
+    assert {r.doc_id: r.score for r in scored} == pytest.approx(expected, rel=1e-9)
+
+
+def test_suffix_tree_sends_a_token_in_few_bytes(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), F.lit(True).alias("train"), "text")
+    counts = suffix_tree.word_counts(docs).groupBy("word").agg(F.sum("n").alias("c"))
+    vocabulary, _ = suffix_tree.numbered(counts)
+    total, distinct = vocabulary.agg(F.sum("c"), F.count(F.lit(1))).first()
+    blocks, _ = suffix_tree.coded(suffix_tree.blocks_of(docs), vocabulary, total, distinct, 2)
+    sent = suffix_tree.sent_tokens(blocks, 4, np.zeros(0, np.uint64), 2)
+    size = F.octet_length("words") + F.octet_length("counts") + F.octet_length("docs")
+    size += F.aggregate("columns", F.lit(0), lambda x, y: x + F.octet_length(y))
+    assert sent.agg(F.sum(size)).first()[0] < 16 * total
+
+
 # --- Shared passages
 
 
