@@ -2,12 +2,13 @@
 
 Both tokenizers cut a text at white space, and between words and punctuation, before any merge. The ids
 of a text so are the ids of its pieces, cut at some of these places, one after the other. A piece that a
-worker has met is not encoded again.
+worker knows is not encoded again; when these become too many, the half that was met most often stays.
 """
 
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,14 @@ from parcelry.llm.common import worker_state
 WHITE = "\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 #: A space that a byte-level tokenizer does not simply give to the word behind it.
 LOOSE_SPACE = f"^ | $| [{WHITE}]|[{WHITE}] "
-#: What a byte may be: part of a word, punctuation that ends one, any visible ASCII character.
+#: What a byte may be: part of a word, a mark that ends one, any visible ASCII character.
 WORD, POINT, PLAIN = 1, 2, 4
 
 
 def kinds() -> np.ndarray:
     found = np.zeros(256, np.uint8)
     for byte in range(33, 127):
-        found[byte] = PLAIN | (WORD if chr(byte).isalnum() else 0) | (POINT if chr(byte) in ".,;:!?" else 0)
+        found[byte] = PLAIN | (WORD if chr(byte).isalnum() else POINT)
     return found
 
 
@@ -34,7 +35,7 @@ KINDS = kinds()
 
 
 def cut_at_words(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Where the pieces begin: at every space, at points behind a word, before and behind a single line
+    """Where the pieces begin: at every space, at marks behind a word, before and behind a single line
     break between visible characters, and where a text begins. ``edges`` are the texts' begins and the end."""
     kind = KINDS[data]
     cut = data == 32
@@ -77,17 +78,31 @@ class Encoder:
         self.number: dict[str, int] = {}
         self.chars, self.used = 0, 0
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def add(self, pieces: list[str], ids: list[int], sizes: np.ndarray) -> None:
+        #: Of each piece by its number: where its ids start, how many they are, how often it was met.
+        self.starts, self.sizes, self.times = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def thin(self) -> None:
+        """Keep the pieces met most often, half as many and as long as may be known, and halve their counts."""
+        names = list(self.number)
+        kept = np.argsort(-self.times[: len(names)], kind="stable")[: self.max_pieces // 2]
+        chars = np.cumsum([len(names[i]) for i in kept], dtype=np.int64)
+        kept = kept[chars <= self.max_chars // 2]
+        times = self.times[kept] // 2
+        ids, sizes = self.ids_of(kept)
+        self.number, self.chars, self.used = {}, 0, 0
+        self.add([names[i] for i in kept], ids, sizes)
+        self.times[: len(kept)], self.times[len(kept) :] = times, 0
+
+    def add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         low, total = len(self.number), len(ids)
+        high = low + len(pieces)
         self.flat = grown(self.flat, self.used + total)
-        self.starts, self.sizes = grown(self.starts, low + len(pieces)), grown(self.sizes, low + len(pieces))
+        self.starts, self.sizes, self.times = grown(self.starts, high), grown(self.sizes, high), grown(self.times, high)
         self.flat[self.used : self.used + total] = ids
-        self.sizes[low : low + len(pieces)] = sizes
-        self.starts[low : low + len(pieces)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[low:high] = sizes
+        self.starts[low:high] = self.used + np.cumsum(sizes) - sizes
         self.used += total
-        self.number.update(zip(pieces, range(low, low + len(pieces))))
+        self.number.update(zip(pieces, range(low, high)))
         self.chars += sum(map(len, pieces))
 
     def learn(self, fresh: list[str], together: int = 200, at_once: int = 8000) -> None:
@@ -98,37 +113,49 @@ class Encoder:
         for at in range(0, len(alone), at_once):
             part = alone[at : at + at_once]
             found = [f.ids for f in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self.add(part, [i for ids in found for i in ids], np.fromiter(map(len, found), np.int64, len(found)))
+            self.add(part, flat_ids(found), np.fromiter(map(len, found), np.int64, len(found)))
         for at in range(0, len(joined), at_once):
-            parts = [joined[i : i + together] for i in range(at, min(at + at_once, len(joined)), together)]
+            pieces = joined[at : at + at_once]
+            parts = [pieces[i : i + together] for i in range(0, len(pieces), together)]
             if self.spaced:
-                for part, found in zip(parts, self.tokenizer.encode_batch_fast(list(map("".join, parts)), add_special_tokens=False)):
-                    ids = found.ids
-                    ends = np.cumsum(pc.binary_length(pa.array(part, pa.string())).to_numpy(), dtype=np.int64)
-                    self.add(part, ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right"), prepend=0))
+                found = self.tokenizer.encode_batch_fast(list(map("".join, parts)), add_special_tokens=False)
+                ids = flat_ids([f.ids for f in found])
+                ends = np.cumsum(pc.binary_length(pa.array(pieces, pa.string())).to_numpy(), dtype=np.int64)
+                self.add(pieces, ids, np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends, side="right"), prepend=0))
             else:
                 for part, found in zip(parts, self.tokenizer.encode_batch(list(map(" ".join, parts)), add_special_tokens=False)):
                     ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
                     begins = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
-                    self.add(part, found.ids, np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(part)))
+                    sizes = np.bincount(np.searchsorted(ends, begins, side="right"), minlength=len(part))
+                    self.add(part, flat_ids([found.ids]), sizes)
 
     def numbers(self, pieces: pa.Array) -> np.ndarray:
         """Number of each piece, new ones learnt first."""
         coded = pieces.dictionary_encode()
         names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.number.get, names))
-        if None in found:
-            self.learn([n for n, number in zip(names, found) if number is None])
-            found = list(map(self.number.__getitem__, names))
-        return np.array(found, np.int64)[coded.indices.to_numpy()]
+        found = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
+        fresh = np.flatnonzero(found < 0).tolist()
+        if fresh:
+            # In the order in which they are learnt, which is that of their numbers.
+            if self.spaced:
+                fresh.sort(key=lambda i: names[i][0] == " ")
+            found[fresh] = len(self.number) + np.arange(len(fresh))
+            self.learn([names[i] for i in fresh])
+        indices = coded.indices.to_numpy()
+        self.times[found] += np.bincount(indices, minlength=len(found))
+        return found[indices]
 
     def ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces one after the other, and how many each has."""
-        sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        place = np.repeat(self.starts[numbers] - ends + sizes, sizes)
-        place += np.arange(len(place))
-        return self.flat[place], sizes
+        if not len(numbers):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        known = len(self.number)
+        offsets = 4 * np.append(self.starts[:known], self.used)
+        held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), known, [None, pa.py_buffer(offsets), pa.py_buffer(self.flat)])
+        taken = held.take(pa.array(numbers))
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[: len(numbers) + 1] // 4
+        ids = np.frombuffer(taken.buffers()[2], np.uint32) if ends[-1] else np.zeros(0, np.uint32)
+        return ids[: ends[-1]], np.diff(ends)
 
     def whole(self, texts: pa.Array) -> np.ndarray:
         """Texts that cannot be cut at spaces: with the string of a special token, or with loose spaces."""
@@ -143,7 +170,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text (null: none)."""
         if len(self.number) > self.max_pieces or self.chars > self.max_chars:
-            self.forget()
+            self.thin()
         if not len(texts):
             return []
         texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -163,6 +190,10 @@ class Encoder:
         return found
 
 
+def flat_ids(parts: list[list[int]]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.uint32), *[np.array(ids, np.uint32) for ids in parts]])
+
+
 def grown(array: np.ndarray, size: int) -> np.ndarray:
     if size <= len(array):
         return array

@@ -37,15 +37,19 @@ RECORD = (
 )
 
 
+#: Bits of each number below 2**16, one at least.
+SHORT_WIDTHS = np.maximum(np.frexp(np.arange(1 << 16))[1], 1).astype(np.uint8)
+
+
 def widths(ids: np.ndarray) -> np.ndarray:
     """Bits of each id, one at least, 61 for any that needs the escape."""
-    found = np.ones(len(ids), np.uint8)
-    for bit in range(1, 61):
-        over = ids >= np.uint64(1 << bit)
-        if not over.any():
+    found = SHORT_WIDTHS[ids & np.uint64(0xFFFF)]
+    for shift in (16, 32, 48):
+        over = np.flatnonzero(ids >= np.uint64(1 << shift))
+        if not len(over):
             break
-        found += over
-    return found
+        found[over] = SHORT_WIDTHS[(ids[over] >> np.uint64(shift)) & np.uint64(0xFFFF)] + shift
+    return np.minimum(found, 61)
 
 
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,17 +64,18 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat[:n] = widths(ids)
     width[:, :BLOCK] = flat.reshape(blocks, BLOCK)
     # The most ids that fit one word from each place; places behind the block's end hold nothing.
-    selector = np.full((blocks, BLOCK), ESCAPE, np.uint8)
+    # What fits a selector of more ids fits those of fewer ids too, so that the fitting ones need only be counted.
+    fitting = np.zeros((blocks, BLOCK), np.uint8)
     most, taken = np.zeros((blocks, BLOCK), np.uint8), 0
     for choice in range(13, -1, -1):
         while taken < COUNTS[choice]:
             np.maximum(most, width[:, taken : taken + BLOCK], out=most)
             taken += 1
-        fits = most <= BITS[choice]
-        selector[fits] = choice
-        if not (most <= BITS[0 if choice == 0 else choice - 1]).any() and choice < 13:
-            if not (most <= 1).any() and most.min() > BITS[max(choice - 1, 0)]:
-                break
+        fits = most <= np.uint8(BITS[choice])
+        if not fits.any():
+            break
+        fitting += fits
+    selector = np.where(fitting > 0, np.uint8(14) - fitting, np.uint8(ESCAPE))
     filled = np.full(blocks, BLOCK)
     filled[-1] = n - (blocks - 1) * BLOCK
     begins = np.zeros((blocks, BLOCK), bool)

@@ -360,6 +360,27 @@ def test_encoder_equals_the_library(name, spaced):
     assert [f.tolist() for f in found] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_keeps_the_pieces_met_most_often():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, plain = encoding.Encoder(path, True, max_pieces=100), Tokenizer.from_file(path)
+    learnt, learn = [], encoder.learn
+    encoder.learn = lambda fresh: (learnt.extend(fresh), learn(fresh))
+    for batch in range(12):
+        texts = [f"often met words came$$$ came*** don't'll stay's x{batch}y{i} É{i}, #{i}" + " words met often" * 3 for i in range(40)]
+        found = encoder.encode(pa.array(texts))
+        assert [ids.tolist() for ids in found] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(encoder.number) < 400
+    assert all(learnt.count(piece) == 1 for piece in (" often", " met", " words", " came", "$$$"))
+
+
+def test_encoder_forgets_long_pieces_too():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, plain = encoding.Encoder(path, False, max_chars=500), Tokenizer.from_file(path)
+    for text in ("z" * 600, "a b c", "y" * 300 + " b", "c " + "x" * 300, "", "b c"):
+        assert encoder.encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert encoder.chars <= 1300
+
+
 def test_token_files_round_trip(spark, odd_rows, tmp_path):
     df = clashing(documents(spark, odd_rows))
     path = public_tokenizers.path("byte_bpe_50k.json")
