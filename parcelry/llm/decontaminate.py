@@ -24,12 +24,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from parcelry.llm.common import map_columns, quoted, slices, stored, worker_state, working_name
 
 EDGES = string.punctuation + "«»„“”‘’‚…–—¿¡"
+#: What ``str.split`` cuts at, as bytes and beyond ASCII.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f "
+AROUND = EDGES + SPACES
+WHITE = np.isin(np.arange(256), np.frombuffer(SPACES.encode(), np.uint8))
+OTHER_SPACES = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Chance that a repetition finds a segment at its edit limit, measured for words dropped (the worst of dropped, put
 # in and replaced ones) with two sampled steps: about 0.53 * exp(-0.0275 * words) from 5 to 47 words. It differs between
 # passages, so that fewer are found than at an equal chance; this much less makes up for it.
@@ -55,12 +61,17 @@ class Search:
         return math.ceil(math.log(1 - self.recall) / math.log(1 - chance))
 
 
+def word_hash(word: str) -> int:
+    """64-bit hash of a word without case, surrounding punctuation and white space; 0 for none left."""
+    plain = word.lower().strip(AROUND)
+    return (xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) or 1) if plain else 0
+
+
 class WordHashes(dict):
-    """64-bit hash of each word met, without case and surrounding punctuation; 0 for none left."""
+    """Hash of each word met."""
 
     def __missing__(self, word: str) -> int:
-        plain = word.lower().strip(EDGES)
-        found = (xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass")) or 1) if plain else 0
+        found = word_hash(word)
         if len(self) > 400_000:
             self.clear()
         self[word] = found
@@ -73,6 +84,28 @@ def hashed(text: str | None, hashes: WordHashes) -> np.ndarray:
     return found[found != 0]
 
 
+def hashed_texts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of all texts; which of them each word is, those without a hash left out;
+    and how many words each text has."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    other = pc.match_substring_regex(texts, OTHER_SPACES)
+    if pc.any(other).as_py():
+        texts = pc.if_else(other, pc.replace_substring_regex(pc.if_else(other, texts, ""), OTHER_SPACES, " "), texts)
+    content = b"\n".join([*texts.cast(pa.binary()).to_pylist(), b""])
+    white = WHITE[np.frombuffer(content, np.uint8)]
+    starts = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
+    ends = np.cumsum(pc.binary_length(texts).to_numpy() + 1, dtype=np.int64)
+    # A word has the white space behind it, which its hash leaves out.
+    offsets = np.append(starts, len(content)).astype(np.int32)
+    coded = pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(content)).dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    hashes = np.fromiter(map(word_hash, names), np.uint64, len(names))
+    which = coded.indices.to_numpy()
+    kept = (hashes != 0)[which]
+    before = np.concatenate([[0], np.cumsum(kept)])[np.searchsorted(starts, ends)]
+    return hashes, which[kept], np.diff(before, prepend=0)
+
+
 class Items:
     """Items of one block, cut into segments, and these by length with their keys of every repetition."""
 
@@ -148,20 +181,41 @@ class Items:
         copy = column - np.maximum.accumulate(np.where(changed, column, 0), axis=1)
         return starts[(copy < self.times[length][ordered]).sum(axis=1) >= need]
 
-    def candidates(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(window start, segment) of windows that share a key; ``words`` holds the texts, with ``longest``
-        zeros before, between and behind them."""
+    def places(self, words: np.ndarray) -> np.ndarray:
+        """Place of each word in the vocabulary, or its size for other words."""
         place = np.searchsorted(self.vocabulary, words)
         place[place == len(self.vocabulary)] = 0
         place[self.vocabulary[place] != words] = len(self.vocabulary)
-        total = np.concatenate([[0], np.cumsum(place < len(self.vocabulary), dtype=np.int32)])
+        return place
+
+    def inside(self, place: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+        """How many words of each window any segment of the length has; counted where windows are."""
+        first = np.flatnonzero(np.diff(starts, prepend=-length - 1) > length)
+        last = np.append(first[1:], len(starts)) - 1
+        sizes = starts[last] + length - starts[first]
+        shift = starts[first] - np.cumsum(sizes) + sizes
+        found = (self.times[length] > 0)[place[np.arange(sizes.sum()) + np.repeat(shift, sizes)]]
+        counted = np.concatenate([[0], np.cumsum(found, dtype=np.int32)])
+        at = starts - np.repeat(shift, last - first + 1)
+        return counted[at + length] - counted[at]
+
+    def candidates(self, words: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window start, segment) of windows that share a key; ``words`` holds the texts, with ``longest``
+        zeros before, between and behind them, and ``place`` the words' places in the vocabulary."""
+        others = np.concatenate([[0], np.cumsum(place == len(self.vocabulary), dtype=np.int32)])
         size = len(words) - self.longest
+        most, few = -1, None
         for length, held in self.keys.items():
-            need = length - int(self.search.max_edits * length)
-            starts = np.flatnonzero(total[length : length + size] - total[:size] >= need)
+            spare = int(self.search.max_edits * length)
+            need = length - spare
+            # A longer window with no more words to spare begins where a shorter one does.
+            if spare == most:
+                few = few[others[few + length] - others[few] <= spare]
+            else:
+                most, few = spare, np.flatnonzero(others[length : length + size] - others[:size] <= spare)
+            starts = few
             if len(starts):
-                inside = np.concatenate([[0], np.cumsum(self.times[length][place] > 0, dtype=np.int32)])
-                starts = starts[inside[starts + length] - inside[starts] >= need]
+                starts = starts[self.inside(place, starts, length) >= need]
             starts = [self.shared(place, starts[low : low + 4096], length, need) for low in range(0, len(starts), 4096)]
             starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
             for low in range(0, len(starts), 2048):
@@ -192,19 +246,23 @@ class Finder:
     """Matches of one block of items in texts."""
 
     def __init__(self, items: list[tuple], search: Search):
-        self.items, self.search, self.hashes = Items(items, search), search, WordHashes()
+        self.items, self.search = Items(items, search), search
 
-    def find(self, texts: list[str | None]) -> list[list[tuple]]:
+    def find(self, texts: pa.Array | list[str | None]) -> list[list[tuple]]:
         """For each text its (item, start, words, distance), for every item passages that do not overlap."""
-        gap = np.zeros(self.items.longest, np.uint64)
-        docs = [hashed(t, self.hashes) for t in texts]
-        found: list[list[tuple]] = [[] for _ in docs]
-        if not self.items.lengths or not docs:
+        found: list[list[tuple]] = [[] for _ in range(len(texts))]
+        if not self.items.lengths or not found:
             return found
-        words = np.concatenate([gap, *[part for d in docs for part in (d, gap)]])
-        lengths = np.array([len(d) for d in docs], np.int64)
-        begins = len(gap) + np.cumsum(lengths + len(gap)) - lengths - len(gap)
-        pairs = [np.stack(p, axis=1) for p in self.items.candidates(words)]
+        hashes, which, lengths = hashed_texts(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        gap = self.items.longest
+        begins = gap + np.cumsum(lengths + gap) - lengths - gap
+        at = np.arange(len(which)) + np.repeat(gap * np.arange(1, len(lengths) + 1), lengths)
+        words = np.zeros(len(which) + gap * (len(lengths) + 1), np.uint64)
+        words[at] = hashes[which]
+        place = np.full(len(words), len(self.items.vocabulary))
+        place[at] = self.items.places(hashes)[which]
+        docs = [words[b : b + n] for b, n in zip(begins.tolist(), lengths.tolist())]
+        pairs = [np.stack(p, axis=1) for p in self.items.candidates(words, place)]
         if not pairs:
             return found
         pairs = np.unique(np.concatenate(pairs), axis=0)
@@ -287,10 +345,8 @@ def one_block(df: DataFrame, text: str, block: list[tuple], name: str, out: str,
         key = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
         matched = pa.list_(pa.struct([("item", key)] + [(c, pa.int64()) for c in ("start", "words", "distance")]))
         for batch in slices(batches, at, 8 << 20):
-            texts = batch.column(at).to_pylist()
-            rows = [[dict(zip(("item", "start", "words", "distance"), m)) for m in ms] for ms in finder.find(texts)]
+            rows = [[dict(zip(("item", "start", "words", "distance"), m)) for m in ms] for ms in finder.find(batch.column(at))]
             yield batch, pa.array(rows, matched)
-        finder.hashes.clear()  # the worker outlives the task
 
     joined = map_columns(df, run, [text], found, out)
     return joined.withColumn(name, F.concat(quoted(name), found)).drop(found)

@@ -784,6 +784,31 @@ def test_blocks_of_items_give_the_same_matches(spark, sf_dir):
     assert found[0] == found[1] and found[0]
 
 
+def test_words_of_a_batch_are_hashed_once_and_as_one_by_one(monkeypatch):
+    rnd = random.Random(5)
+    spaces = [c for c in map(chr, range(0x3001)) if c.isspace()]
+    signs = ["a", "B", "Σ", "ΑΣ", "İ", "é", ".", "«", "'", "\0", "\u200b", "…", "👍", *spaces, *" " * 20]
+    texts = ["".join(rnd.choices(signs, k=rnd.randrange(40))) for _ in range(3000)] + [None, "", " ", "a", " \u3000", "Often " * 5000]
+    known, word_hash, calls = decontaminate.WordHashes(), decontaminate.word_hash, []
+    expected = [decontaminate.hashed(t, known).tolist() for t in texts]
+    monkeypatch.setattr(decontaminate, "word_hash", lambda word: calls.append(word) or word_hash(word))
+    hashes, which, lengths = decontaminate.hashed_texts(pa.array(texts))
+    assert [part.tolist() for part in np.split(hashes[which], np.cumsum(lengths)[:-1])] == expected
+    assert len(calls) == len(set(calls)) and calls.count("Often ") == 1
+    assert [part.tolist() for part in decontaminate.hashed_texts(pa.array([None, ""], pa.string()))] == [[], [], [0, 0]]
+
+
+def test_item_words_are_counted_only_where_windows_are():
+    rnd = np.random.default_rng(6)
+    items = decontaminate.Items([(n, " ".join(f"w{w}" for w in rnd.integers(0, 60, 20))) for n in range(4)], decontaminate.Search())
+    words = np.where(rnd.random(5000) < 0.5, rnd.choice(items.vocabulary, 5000), np.uint64(7))
+    place = items.places(words)
+    for starts in ([0], [0, 1, 2], [10, 30, 50, 51, 71, 400, 4980], range(0, 4981, 3), range(4981)):
+        starts = np.array(starts)
+        plain = (items.times[20] > 0)[place[starts[:, None] + np.arange(20)]].sum(axis=1)
+        assert (items.inside(place, starts, 20) == plain).all()
+
+
 # --- Pipeline
 
 
