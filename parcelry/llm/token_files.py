@@ -52,6 +52,15 @@ def widths(ids: np.ndarray) -> np.ndarray:
     return np.minimum(found, 61)
 
 
+def alike(chosen: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.uint64]]:
+    """Words of one selector that hold as many ids: their places, how many, and bits of an id."""
+    kind = chosen.astype(np.uint16) * np.uint16(64) + count.astype(np.uint16)
+    order = np.argsort(kind, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1):
+        if len(at):
+            yield at, int(count[at[0]]), BITS[chosen[at[0]]]
+
+
 def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, the word at which each block starts, and the wide ids, of unsigned 64-bit ids."""
     ids = ids.astype(np.uint64)
@@ -95,9 +104,11 @@ def encode_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wide = ids[starts[escaped]]
     words[escaped] |= np.arange(len(wide), dtype=np.uint64)
     count[escaped] = 0
-    for j in range(int(count.max(initial=0))):
-        has = np.flatnonzero(count > j)
-        words[has] |= ids[starts[has] + j] << (BITS[chosen[has]] * np.uint64(j))
+    for at, held, bits in alike(chosen, count):
+        first, found = starts[at], words[at]
+        for j in range(held):
+            found |= ids[first + j] << (bits * np.uint64(j))
+        words[at] = found
     return words, block_starts, wide
 
 
@@ -113,14 +124,14 @@ def decode_ids(words: np.ndarray, block_starts: np.ndarray, wide: np.ndarray, n:
     in_block = ends - count - before[block]
     filled = np.minimum(n - block * BLOCK, BLOCK)
     count = np.minimum(count, filled - in_block)
-    total = int(count.sum())
-    place = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
-    bits = np.repeat(BITS[chosen], count)
-    mask = np.repeat((np.uint64(1) << BITS[chosen]) - np.uint64(1), count)
-    ids = (np.repeat(words, count) >> (bits * place.astype(np.uint64))) & mask
-    escaped = np.repeat(chosen == ESCAPE, count)
-    if escaped.any():
-        ids[escaped] = wide[ids[escaped].astype(np.int64)]
+    begins = np.cumsum(count) - count
+    ids = np.empty(n, np.uint64)
+    for at, held, bits in alike(chosen, count):
+        first, found = begins[at], words[at]
+        for j in range(held):
+            ids[first + j] = (found >> (bits * np.uint64(j))) & ((np.uint64(1) << bits) - np.uint64(1))
+    escaped = begins[chosen == ESCAPE]
+    ids[escaped] = wide[ids[escaped].astype(np.int64)]
     return ids
 
 
