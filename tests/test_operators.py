@@ -428,6 +428,31 @@ def test_cuts_put_every_point_into_one_cell():
     assert neighbours.Cuts.fit(np.ones((9, 2)), 4).cells == 1 and neighbours.Cuts.fit(np.zeros((0, 2)), 4).cells == 1
 
 
+def test_queries_walk_the_cuts_together_to_the_cells_in_reach():
+    points = np.random.default_rng(3).uniform(0, 9, (600, 4)).round(1)
+    cuts = neighbours.Cuts.fit(points[:300], 40)
+    own = cuts.cell_of(points)
+    numbers, counts = np.unique(own, return_counts=True)
+    low, high = (np.array([edge(points[own == c]) for c in numbers]) for edge in (lambda p: p.min(axis=0), lambda p: p.max(axis=0)))
+    cells = neighbours.Cells(numbers, counts, low, high)
+    queries, limits = points[::3] + 0.5, np.random.default_rng(4).uniform(0, 6, 200)
+    row, place = cells.reached(cuts, queries, limits)
+    expected = [(i, p) for i in range(200) for p in cells.within(queries[i], 5, limits[i]).tolist()]
+    assert sorted(zip(row.tolist(), place.tolist())) == expected and 200 < len(expected) < 200 * len(numbers) / 2
+
+
+def test_nearest_of_many_queries_with_equal_distances_and_limits():
+    points = np.random.default_rng(5).integers(0, 3, (500, 3)).astype(float)
+    queries, limits = points[:90], np.tile([np.inf, 1.0, 0.0], 30)
+    found = [*neighbours.nearest(queries, points, np.arange(500)[::-1], 4, limits)]
+    got = list(zip(*(np.concatenate(f).tolist() for f in zip(*found))))
+    expected = []
+    for i, (query, limit) in enumerate(zip(queries, limits)):
+        near = sorted((d, -j) for j, d in enumerate(((points - query) ** 2).sum(axis=1).tolist()) if d <= limit)[:4]
+        expected += [(i, -j, d) for d, j in near]
+    assert got == expected
+
+
 def test_fewer_points_than_neighbours(spark):
     model = neighbours.NeighbourModel.fit(
         spark.createDataFrame([("a", [0.0], 1.0), ("b", [3.0], 4.0)], "key string, features array<double>, label double"), cell_points=1
@@ -631,3 +656,9 @@ def test_parts_of_price_data_follow_cores_and_rows_not_the_shuffle_width(spark,
         assert pricing.PriceData.of(_price_listings(spark)).train.rdd.getNumPartitions() == 20
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", width)
+
+
+def test_models_are_fitted_one_at_a_time_where_a_pass_fills_the_cores(spark, monkeypatch):
+    assert pricing.fits_at_once(pricing.PriceData.of(_price_listings(spark)).train) == pricing.FITS_AT_ONCE
+    monkeypatch.setattr(pricing, "PART_ROWS", 20)
+    assert pricing.fits_at_once(pricing.PriceData.of(_price_listings(spark)).train) == 1
