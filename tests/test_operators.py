@@ -351,6 +351,31 @@ def test_vectors_are_not_stored_for_every_cell_they_meet(spark):
     assert meetings > 2_000 and written < 5 * vectors
 
 
+def test_packed_vectors_take_a_byte_for_a_term_and_come_back_as_weights():
+    idf = np.linspace(1, 3, 500)
+    counts = np.random.default_rng(1).poisson(0.3, (50, 500))
+    counts[0], counts[1, 7], counts[2, 499], counts[3, 0] = 0, 255, 256, 2**40
+    packed = similarity.pack(counts).to_pylist()
+    assert packed[0] == b"" and all(len(v) < 64 + 1.1 * (row > 0).sum() for v, row in zip(packed[4:], counts[4:]))
+    weights = counts * idf
+    expected = np.divide(weights, np.linalg.norm(weights, axis=1, keepdims=True), out=np.zeros((50, 500)), where=weights > 0)
+    assert np.allclose(similarity.unpack(packed, idf), expected, rtol=1e-14, atol=0)
+    assert similarity.unpack([], idf).shape == (0, 500)
+
+
+def test_copies_that_travel_grow_with_large_blocks_only(spark, monkeypatch):
+    # Disk of the search: a text goes to each part of the examples, an example to each block of texts.
+    assert similarity.BLOCK_TEXTS >= 100_000 and similarity.BLOCK_EXAMPLES >= 100_000
+    monkeypatch.setattr(similarity, "EXAMPLES_UNPACKED", 7)
+    monkeypatch.setattr(similarity, "LEAST_BLOCK", 30)
+    examples, texts = [(t, i % 3 != 0) for i, t in enumerate(example_texts(90, 5))], example_texts(80, 6)
+    classifier = similarity.ExampleClassifier.fit(spark.createDataFrame(examples, "description string, relevant boolean"), cell_examples=5)
+    sims = classifier.similarities(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t")
+    got = {r["id"]: (r["relevant_sim"], r["irrelevant_sim"]) for r in sims.collect()}
+    for key, pair in reference_similarities(examples, texts).items():
+        assert got[key] == pytest.approx(pair, abs=1e-9)
+
+
 def test_similarity_of_an_empty_table_and_of_repeated_keys(spark):
     labelled = spark.createDataFrame([(t, i % 2 == 0) for i, t in enumerate(example_texts(40, 9))], "description string, relevant boolean")
     classifier = similarity.ExampleClassifier.fit(labelled)
